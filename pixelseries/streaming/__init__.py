@@ -1,0 +1 @@
+"""Empty on purpose: the pipeline is batch only, no operator keeps stream state."""
