@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
-HASH_BUCKETS = 65_536
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salts: int = SALTS) -> DataFrame:
@@ -35,24 +34,26 @@ def first_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 def mark_fraction(df: DataFrame, hash_hex: Column, tie: Sequence[str], fraction: float, flag: str) -> DataFrame:
     """Flag exactly ``int(fraction * count)`` rows, those with the smallest ``(hash, tie)``.
 
-    Rows are counted per leading 16 bits of the hash.  Whole buckets fall on
-    one side of the cut; only the one bucket the cut goes through is ranked.
-    The bucket table has at most 65,536 rows, so it is safe to broadcast.
+    Rows are counted per leading 16 bits of the hash, which shows the bucket
+    the cut goes through.  Only that bucket is ranked; the last flagged key
+    then splits all rows in a narrow pass, without a shuffle or a big limit.
     """
-    df = df.withColumn("__hash", hash_hex).withColumn("__bucket", F.conv(F.substring("__hash", 1, 4), 16, 10).cast("int"))
-    counts = df.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    running = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wanted = F.floor(F.lit(fraction) * F.sum("__n").over(everything)).cast("bigint")
-    cut = counts.select(
-        F.col("__bucket"),
-        (F.sum("__n").over(running) - F.col("__n")).alias("__before"),
-        F.col("__n"),
-        wanted.alias("__wanted"),
+    keyed = df.withColumn("__key", F.struct(hash_hex.alias("h"), *tie)).withColumn("__bucket", F.substring("__key.h", 1, 4))
+    counts = keyed.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    total = counts.agg(F.floor(F.lit(fraction) * F.sum("__n"))).scalar()
+    running = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 65,536 rows
+    cut = (
+        counts.withColumn("__upto", F.sum("__n").over(running))
+        .withColumn("__need", total - (F.col("__upto") - F.col("__n")))
+        .filter((F.col("__need") > 0) & (F.col("__need") <= F.col("__n")))
+        .select("__bucket", "__need")
     )
-    side = F.when(F.col("__before") + F.col("__n") <= F.col("__wanted"), F.lit(0)).when(F.col("__before") >= F.col("__wanted"), F.lit(2)).otherwise(F.lit(1))
-    marked = df.join(F.broadcast(cut.withColumn("__side", side)), "__bucket")
-    sure = marked.filter(F.col("__side") != 1).withColumn(flag, F.col("__side") == 0)
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__hash", *tie))
-    torn = marked.filter(F.col("__side") == 1).withColumn(flag, rank + F.col("__before") <= F.col("__wanted"))
-    return sure.unionByName(torn).drop("__hash", "__bucket", "__before", "__n", "__wanted", "__side")
+    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__key"))
+    last = (
+        keyed.join(F.broadcast(cut), "__bucket")  # one row
+        .withColumn("__rank", rank)
+        .filter(F.col("__rank") == F.col("__need"))
+        .select("__key")
+        .scalar()
+    )
+    return keyed.withColumn(flag, F.coalesce(F.col("__key") <= last, F.lit(False))).drop("__key", "__bucket")
