@@ -37,14 +37,14 @@ def frame_date(t):
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cloudy, gappy satellite frames: one row per pixel and observed frame."""
     p = pixel_count(spark, sf_dir)
-    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    price, key = F.col("o_totalprice") / 700_019.37, F.col("o_orderkey")
     return (
         table(spark, sf_dir, "orders")
         .groupBy((F.col("o_custkey") % p).alias("pixel_id"), F.floor(day_of("o_orderdate") / 5).cast("int").alias("t"))
         .agg(
             F.avg(price).alias("s2_B08"),
-            F.avg(price * (1 + key % 7) / 10).alias("s2_B04"),
-            F.avg(price * (1 + key % 5) / 10).alias("s2_B03"),
+            F.avg(0.02 + price * (1 + key % 7) / 10).alias("s2_B04"),
+            F.avg(0.03 + price * (1 + key % 5) / 10).alias("s2_B03"),
             F.when(F.min(key) % 11 == 0, 1).otherwise(0).alias("s2_mask"),
         )
         .select(
@@ -68,9 +68,9 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy((F.col("l_partkey") % p).alias("pixel_id"), F.col("l_shipdate").cast("date").alias("day"))
         .agg(
             F.sum("l_quantity").alias("era5_tp"),
-            F.max("l_extendedprice").alias("era5_maxt"),
-            F.min("l_extendedprice").alias("era5_mint"),
-            F.avg("l_extendedprice").alias("era5_t"),
+            (F.max("l_extendedprice") / 3517.31931).alias("era5_maxt"),
+            (F.min("l_extendedprice") / 3517.31931).alias("era5_mint"),
+            (F.avg("l_extendedprice") / 3517.31931).alias("era5_t"),
         )
     )
 
@@ -96,7 +96,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy((F.col("l_orderkey") % m).cast("int").alias("row"), (F.col("l_partkey") % m).cast("int").alias("col"))
-        .agg((F.avg("l_extendedprice") / 1000).alias("z"))
+        .agg((F.avg("l_extendedprice") / 733.71937).alias("z"))
     )
 
 
@@ -110,7 +110,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_orderkey") % m).cast("int").alias("row"),
             (F.col("l_partkey") % m).cast("int").alias("col"),
         )
-        .agg((F.avg("l_extendedprice") / 1000).alias("z"))
+        .agg((F.avg("l_extendedprice") / 733.71937).alias("z"))
         .withColumn("z", F.when((31 * F.col("row") + 17 * F.col("col") + F.col("tile_id")) % 4 != 0, F.col("z")))
     )
 
@@ -150,9 +150,9 @@ class Sql:
              DATE '{DAY0}' + CAST(5 * t AS INTEGER) AS ts, s2_B08, s2_B04, s2_B03, s2_mask
       FROM (SELECT o_custkey % {P} AS pixel_id,
                    datediff('day', DATE '{DAY0}', CAST(o_orderdate AS DATE)) // 5 AS t,
-                   avg(o_totalprice) AS s2_B08,
-                   avg(o_totalprice * (1 + o_orderkey % 7) / 10) AS s2_B04,
-                   avg(o_totalprice * (1 + o_orderkey % 5) / 10) AS s2_B03,
+                   avg(o_totalprice / 700019.37::DOUBLE) AS s2_B08,
+                   avg(0.02::DOUBLE + o_totalprice / 700019.37::DOUBLE * (1 + o_orderkey % 7) / 10) AS s2_B04,
+                   avg(0.03::DOUBLE + o_totalprice / 700019.37::DOUBLE * (1 + o_orderkey % 5) / 10) AS s2_B03,
                    CASE WHEN min(o_orderkey) % 11 = 0 THEN 1 ELSE 0 END AS s2_mask
             FROM orders GROUP BY 1, 2))"""
 
@@ -167,7 +167,7 @@ class Sql:
 
     WEATHER = f"""weather AS (
       SELECT l_partkey % {P} AS pixel_id, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS era5_tp,
-             max(l_extendedprice) AS era5_maxt, min(l_extendedprice) AS era5_mint, avg(l_extendedprice) AS era5_t
+             max(l_extendedprice) / 3517.31931::DOUBLE AS era5_maxt, min(l_extendedprice) / 3517.31931::DOUBLE AS era5_mint, avg(l_extendedprice) / 3517.31931::DOUBLE AS era5_t
       FROM lineitem GROUP BY 1, 2)"""
 
     STATIC_RAW = f"""static_raw AS (
@@ -177,13 +177,13 @@ class Sql:
       FROM part)"""
 
     GRID = f"""grid AS (
-      SELECT l_orderkey % {M} AS "row", l_partkey % {M} AS col, avg(l_extendedprice) / 1000 AS z
+      SELECT l_orderkey % {M} AS "row", l_partkey % {M} AS col, avg(l_extendedprice) / 733.71937::DOUBLE AS z
       FROM lineitem GROUP BY 1, 2)"""
 
     TILES = f"""tiles AS (
       SELECT tile_id, "row", col, CASE WHEN (31 * "row" + 17 * col + tile_id) % 4 <> 0 THEN z END AS z
       FROM (SELECT l_linenumber AS tile_id, l_orderkey % {M} AS "row", l_partkey % {M} AS col,
-                   avg(l_extendedprice) / 1000 AS z
+                   avg(l_extendedprice) / 733.71937::DOUBLE AS z
             FROM lineitem GROUP BY 1, 2, 3))"""
 
     POLYGONS = f"""polygons AS (

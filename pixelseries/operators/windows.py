@@ -72,17 +72,17 @@ def season_windows(packed: DataFrame, context: int, target: int, shift: int = 0,
 
 def long_samples(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Packed samples -> one row per frame with ``part`` (context/target) and ``step`` counted over both."""
-    tagged = [
-        F.transform(F.col(part), lambda f, p=part: f.withField("part", F.lit(p)))
-        for part in ("context", "target")
-    ]
-    return samples.select(*keys, F.posexplode(F.concat(*tagged)).alias("step", "frame")).select(*keys, "step", "frame.*")
+    def tagged(part: str) -> Column:
+        return F.transform(F.col(part), lambda f: f.withField("part", F.lit(part)))
+
+    both = F.concat(tagged("context"), tagged("target"))
+    return samples.select(*keys, F.posexplode(both).alias("step", "frame")).select(*keys, "step", "frame.*")
 
 
 def band_matrix(frames_array: Column | str, bands: Sequence[str]) -> Column:
     """Frame structs -> ``array(band, time)`` of doubles, the layout samples are stored in."""
     frames_array = F.col(frames_array) if isinstance(frames_array, str) else frames_array
-    return F.array(*[F.transform(frames_array, lambda f, b=b: f[b].cast("double")) for b in bands])
+    return F.array(*[frames_array[b].cast("array<double>") for b in bands])
 
 
 def last_summer_frame(calendar: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
