@@ -27,11 +27,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+INDEXES = ("t", "start_t", "row", "col")
+
+
 def query(text: str | None = None):
-    """Register a query under its function name, with its SQL if there is one."""
+    """Register a query under its function name, with its SQL if there is one.
+
+    Frame and cell numbers are ints in the library and bigints in the SQL.
+    """
 
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            found = fn(spark, sf_dir)
+            return found.withColumns({c: F.col(c).cast("bigint") for c in INDEXES if c in found.columns})
+
+        QUERIES[fn.__name__] = run
         if text is not None:
             ORACLE[fn.__name__] = text
         return fn
@@ -1059,9 +1069,7 @@ ERRORS = "per AS (SELECT sample_id, count(*) AS n_steps, sum((pred - truth) * (p
 )
 def q_rmse(spark, sf):
     pairs = predictions(spark, sf)
-    parts = [scores.rmse(pairs), scores.loss("l2")(pairs), scores.rmse(pairs, compat_batch=64).withColumnRenamed("rmse", "rmse_compat")]
-    one = [p.withColumn("k", F.lit(0)) for p in parts]
-    found = one[0].join(one[1], "k").join(one[2], "k")  # one row each
+    found = scores.rmse(pairs).withColumns({"l2": scores.loss("l2")(pairs).scalar(), "rmse_compat": scores.rmse(pairs, compat_batch=64).scalar()})
     return found.select(r4("rmse", 6).alias("rmse"), r4("l2", 8).alias("l2"), r4("rmse_compat", 6).alias("rmse_compat"))
 
 

@@ -1,64 +1,95 @@
-"""Multi-step forecasts with Spark ML: a context in, all target steps out."""
+"""Multi-step forecasts with Spark ML: a context in, all target steps out.
+
+The forecaster is linear with one level per target step.  Every sample has all
+steps, so its least-squares fit splits into a regression of the mean target on
+the context (one row per sample) and the mean offset of each step: the training
+data is never repeated per step.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scores import rmse
 
 
-def context_features(samples: DataFrame, bands: Sequence[str], out: str = "context_vector") -> DataFrame:
+def context_features(samples: DataFrame, bands: Sequence[str], out: str = "features") -> DataFrame:
     """All bands of all context frames as one vector."""
-    flat = F.flatten(F.array(*[F.col(f"context.{b}") for b in bands]))
+    flat = F.flatten(F.array(*[F.col(f"context.{b}").cast("array<double>") for b in bands]))
     return samples.withColumn(out, array_to_vector(flat))
 
 
 def training_rows(samples: DataFrame, bands: Sequence[str], target_band: str, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """One row per sample and target step: context vector, step and ``truth``."""
-    return context_features(samples, bands).select(*keys, "context_vector", F.posexplode(f"target.{target_band}").alias("step", "truth"))
+    """One row per sample: ``features``, the ``truth`` array and its mean ``level``."""
+    truth = F.col(f"target.{target_band}").cast("array<double>")
+    level = F.aggregate(truth, F.lit(0.0), lambda a, v: a + v) / F.size(truth)
+    return context_features(samples, bands).select(*keys, "features", truth.alias("truth"), level.alias("level"))
+
+
+@dataclass(frozen=True)
+class Forecaster:
+    level_model: LinearRegressionModel
+    step_offsets: list[float]
+
+    def predict(self, rows: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+        """``(keys..., step, pred)``, and ``truth`` where the rows carry it."""
+        offsets = F.array(*[F.lit(o) for o in self.step_offsets])
+        level = self.level_model.transform(rows)
+        known = "truth" in rows.columns
+        steps = F.transform(
+            offsets,
+            lambda o, i: F.struct(
+                i.cast("int").alias("step"),
+                (F.col("pred_level") + o).alias("pred"),
+                *([F.get("truth", i).alias("truth")] if known else []),
+            ),
+        )
+        return level.select(*keys, F.inline(steps))
+
 
+def step_offsets(rows: DataFrame, horizon: int) -> list[float]:
+    """Mean of each target step above the sample's level: ``horizon`` numbers from one pass."""
+    means = rows.agg(*[F.avg(F.get("truth", F.lit(i)) - F.col("level")).alias(f"o{i}") for i in range(horizon)])
+    return list(means.first())
 
-def direct_forecaster(horizon: int, reg_param: float = 0.01, elastic_net: float = 0.0) -> Pipeline:
-    """Direct strategy: one linear model of the context with a level per target step."""
-    steps = OneHotEncoder(inputCol="step", outputCol="step_vector", dropLast=False, handleInvalid="error")
-    join = VectorAssembler(inputCols=["context_vector", "step_vector"], outputCol="features")
-    model = LinearRegression(featuresCol="features", labelCol="truth", predictionCol="pred", regParam=reg_param, elasticNetParam=elastic_net)
-    return Pipeline(stages=[steps, join, model])
 
+def fit_level(rows: DataFrame, reg_param: float = 0.01, elastic_net: float = 0.0) -> LinearRegressionModel:
+    """One pass over the rows: the normal equations are summed on the executors."""
+    return LinearRegression(
+        featuresCol="features", labelCol="level", predictionCol="pred_level", regParam=reg_param, elasticNetParam=elastic_net, solver="normal"
+    ).fit(rows)
 
-def predict(model: PipelineModel, rows: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Predictions ``(keys..., step, pred, truth)``."""
-    return model.transform(rows).select(*keys, "step", "pred", "truth")
 
+def fit_forecaster(rows: DataFrame, horizon: int, **setting: float) -> Forecaster:
+    return Forecaster(fit_level(rows, **setting), step_offsets(rows, horizon))
 
-def score_track(model: PipelineModel, samples: DataFrame, bands: Sequence[str], target_band: str, track: str, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+
+def score_track(model: Forecaster, samples: DataFrame, bands: Sequence[str], target_band: str, track: str, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Predictions for one test track; the track is a value of ``split``."""
-    return predict(model, training_rows(samples.filter(F.col("split") == track), bands, target_band, keys), keys)
+    return model.predict(training_rows(samples.filter(F.col("split") == track), bands, target_band, keys), keys)
 
 
 def grid_search(train: DataFrame, validation: DataFrame, horizon: int, params: Mapping[str, Sequence[float]]) -> DataFrame:
     """Validation RMSE of every parameter combination: ``(trial, <params>, rmse)``.
 
-    The rows are cached once for all fits; a fit is one distributed pass.
+    The rows (one per sample) are cached for the fits and scored in one job.
     """
     train, validation = train.cache(), validation.cache()
-    names = list(params)
+    offsets = step_offsets(train, horizon)
     scored = []
     for values in product(*params.values()):
-        setting = dict(zip(names, values))
-        model = direct_forecaster(horizon, **setting).fit(train)
+        setting = dict(zip(params, values))
+        model = Forecaster(fit_level(train, **setting), offsets)
         trial = "config_" + "_".join(f"({k}={v})" for k, v in setting.items())
-        scored.append(
-            rmse(predict(model, validation, [])).select(F.lit(trial).alias("trial"), *[F.lit(v).alias(k) for k, v in setting.items()], "rmse")
-        )
+        found = rmse(model.predict(validation, []))
+        scored.append(found.select(F.lit(trial).alias("trial"), *[F.lit(v).alias(k) for k, v in setting.items()], "rmse"))
     result = scored[0]
     for other in scored[1:]:
         result = result.unionByName(other)

@@ -53,13 +53,11 @@ def grid_summary(points: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame
     """Bounds, size in cells and step of a regular grid given by its cell centres."""
     # the distinct coordinates of a grid axis are few, the cells are not: reduce each axis first
     def axis(c: str, p: str) -> DataFrame:
-        return points.select(c).distinct().agg(F.min(c).alias(f"min_{p}"), F.max(c).alias(f"max_{p}"), F.count("*").alias(f"n_{p}"))
+        low, high, n = F.min(c), F.max(c), F.count("*")
+        step = F.try_divide(high - low, n - 1)
+        return points.select(c).distinct().agg(F.struct(low.alias(f"min_{p}"), high.alias(f"max_{p}"), n.alias(f"n_{p}"), step.alias(f"step_{p}")).alias(p))
 
-    def step(p: str) -> Column:
-        return F.try_divide(F.col(f"max_{p}") - F.col(f"min_{p}"), F.col(f"n_{p}") - 1).alias(f"step_{p}")
-
-    both = axis(x, "x").withColumn("k", F.lit(0)).join(axis(y, "y").withColumn("k", F.lit(0)), "k")  # one row each
-    return both.select("min_x", "max_x", "n_x", step("x"), "min_y", "max_y", "n_y", step("y"))
+    return axis(x, "x").withColumn("y", axis(y, "y").scalar()).select("x.*", "y.*")
 
 
 # --- neighbourhoods ----------------------------------------------------------

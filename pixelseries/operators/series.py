@@ -61,10 +61,9 @@ def _lerp(value: str, x: Column, p: Column, n: Column, hold_ends: bool) -> Colum
 
 
 def _interpolate(df: DataFrame, bands: Sequence[str], x: Column, keys: Sequence[str], hold_ends: bool) -> DataFrame:
-    found = df
-    for i, band in enumerate(bands):
-        before, after = _neighbours(band, x, keys)
-        found = found.withColumns({f"__p{i}": before, f"__n{i}": after})
+    pairs = [_neighbours(band, x, keys) for band in bands]
+    # all bands in one projection: one sort per direction
+    found = df.withColumns({f"__{side}{i}": c for i, pair in enumerate(pairs) for side, c in zip("pn", pair)})
     filled = {b: _lerp(b, x, F.col(f"__p{i}"), F.col(f"__n{i}"), hold_ends) for i, b in enumerate(bands)}
     return found.withColumns(filled).drop(*[f"__{s}{i}" for i in range(len(bands)) for s in "pn"])
 
@@ -76,7 +75,9 @@ def fill_by_index(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIX
 
 def fill_by_time(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL, ts: str = "ts") -> DataFrame:
     """Linear in time; values before the first and after the last known one stay missing."""
-    x = F.unix_seconds(F.col(ts).cast("timestamp")).cast("double")
+    is_date = df.schema[ts].dataType.typeName() == "date"
+    x = F.unix_date(ts) if is_date else F.unix_micros(F.col(ts).cast("timestamp"))
+    x = x.cast("double")
     return _interpolate(df, bands, x, keys, hold_ends=False)
 
 

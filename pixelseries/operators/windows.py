@@ -38,15 +38,22 @@ def season_starts(series: Column, context: int, target: int, shift: int = 0, com
     ``compat`` leaves out the last start of each year.
     """
     every = sliding_starts(series, context, target, shift)
-    starts = F.filter(every, lambda s: F.month(series[s + F.lit(context)]["ts"]).between(6, 8))
+
+    def target_date(s: Column) -> Column:
+        return F.get(series, s + F.lit(context))["ts"]
+
+    def in_season(s: Column) -> Column:
+        return F.month(target_date(s)).between(6, 8)
+
     if not compat:
-        return starts
+        return F.filter(every, in_season)
+    last = F.size(series) - F.lit(shift + context + target)
 
     def followed(s: Column) -> Column:
-        this, after = (F.year(series[s + F.lit(context + d)]["ts"]) for d in (0, 1))
-        return F.array_contains(starts, s + F.lit(1)) & (this == after)
+        after = s + F.lit(1)
+        return in_season(s) & (after <= last) & in_season(after) & (F.year(target_date(s)) == F.year(target_date(after)))
 
-    return F.filter(starts, followed)
+    return F.filter(every, followed)
 
 
 def cut_windows(packed: DataFrame, starts: Column, context: int, target: int, keys: Sequence[str] = PIXEL) -> DataFrame:

@@ -7,22 +7,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.forecast import direct_forecaster, grid_search, score_track, training_rows
+from ..operators.forecast import fit_forecaster, grid_search, score_track, training_rows
 from ..operators.sampling import validation_split
+from ..session import cut_lineage
 
 
 def forecast_scores(samples: DataFrame, bands: Sequence[str], target_band: str, horizon: int, train: str = "train", track: str = "test") -> DataFrame:
     """Fit on one split, predict another: error per target step."""
-    rows = training_rows(samples.filter(F.col("split") == train), bands, target_band)
-    model = direct_forecaster(horizon).fit(rows)
+    model = fit_forecaster(training_rows(samples.filter(F.col("split") == train), bands, target_band), horizon)
     scored = score_track(model, samples, bands, target_band, track)
     error = F.col("pred") - F.col("truth")
     return scored.groupBy("step").agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse")).orderBy("step")
 
 
 def tune(samples: DataFrame, bands: Sequence[str], target_band: str, horizon: int, params: Mapping[str, Sequence[float]], val_fraction: float = 0.05, seed: int = 0) -> DataFrame:
-    """Validation RMSE of every setting on an exact-size seeded split."""
-    flagged = validation_split(samples, val_fraction, seed)
-    train = training_rows(flagged.filter(~F.col("is_val")), bands, target_band)
-    validation = training_rows(flagged.filter(F.col("is_val")), bands, target_band)
-    return grid_search(train, validation, horizon, params)
+    """Validation RMSE of every setting on an exact-size seeded split.
+
+    The windows are cut once; the split then reads just the stored names.
+    """
+    rows = cut_lineage(training_rows(samples, bands, target_band))
+    flagged = validation_split(rows, val_fraction, seed)
+    return grid_search(flagged.filter(~F.col("is_val")), flagged.filter(F.col("is_val")), horizon, params)
