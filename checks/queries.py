@@ -434,24 +434,26 @@ def q_loess(spark, sf):
     return _loess(spark, sf, 3)
 
 
-CLEAN = (
-    Sql.DENSE
-    + """, cl AS (SELECT *, CASE WHEN s2_mask = 0 THEN s2_ndvi END AS c, week(ts) AS wk FROM dense),
+def clean_cte(max_gap: int) -> str:
+    """``cd`` masked values, ``cs`` flags per pixel, ``co`` smoothed series."""
+    return (
+        Sql.DENSE
+        + f""", cl AS (SELECT *, CASE WHEN s2_mask = 0 THEN s2_ndvi END AS c, week(ts) AS wk FROM dense),
     cq AS (SELECT pixel_id, wk, quantile_cont(c, 0.05) AS q FROM cl GROUP BY 1, 2),
     cd AS (SELECT scene_id, pixel_id, t, CASE WHEN c >= q THEN c END AS d FROM cl JOIN cq USING (pixel_id, wk)),
     cr AS (SELECT pixel_id, grp, count(*) FILTER (d IS NULL) AS len, count(d) AS k
            FROM (SELECT *, count(d) OVER (PARTITION BY pixel_id ORDER BY t) AS grp FROM cd) GROUP BY 1, 2),
-    cs AS (SELECT pixel_id, CASE WHEN max(len) <= 12 AND sum(k) > 0 THEN 1 ELSE 0 END AS to_sample FROM cr GROUP BY 1),
+    cs AS (SELECT pixel_id, CASE WHEN max(len) <= {max_gap} AND sum(k) > 0 THEN 1 ELSE 0 END AS to_sample FROM cr GROUP BY 1),
     """
-    + fill_cte("ci", "cd", "d")
-    + ","
-    + loess_cte("co", "ci", "v", 3)
-)
+        + fill_cte("ci", "cd", "d")
+        + ","
+        + loess_cte("co", "ci", "v", 3)
+    )
 
 
 @query(
     sql(
-        CLEAN,
+        clean_cte(12),
         body="""SELECT pixel_id, t, to_sample, round(CASE WHEN to_sample = 1 THEN f ELSE d END, 4) AS s2_ndvi
         FROM co JOIN cd USING (pixel_id, t) JOIN cs USING (pixel_id)""",
     )
@@ -1179,7 +1181,7 @@ def q_pending_trials(spark, sf):
     return tuning.pending_trials(parameter_grid(spark, sf), done)
 
 
-# --- forecasting and whole builds: no SQL equivalent --------------------------------
+# --- forecasting (no SQL equivalent) and the whole build --------------------------------
 
 @query()
 def q_forecast(spark, sf):
@@ -1192,7 +1194,25 @@ def q_grid_search(spark, sf):
     return tune(samples(spark, sf), ["s2_ndvi"], "s2_ndvi", TARGET, {"reg_param": [0.001, 0.1], "elastic_net": [0.0, 0.5]}, val_fraction=0.2, seed=42)
 
 
-@query()
+DATASET = (
+    clean_cte(36)
+    + ", "
+    + Sql.STATIC_RAW
+    + f""", elig AS (SELECT DISTINCT f.scene_id, f.pixel_id FROM frames f JOIN cs USING (pixel_id)
+             JOIN (SELECT pixel_id, avg(nullif("DEM", -9999)) AS dem FROM static_raw GROUP BY 1) s USING (pixel_id) WHERE to_sample = 1 AND dem > 900),
+    starts AS (SELECT start_t FROM (SELECT unnest(range({fx.N_FRAMES - CONTEXT - TARGET - 18 + 1})) AS start_t)
+               WHERE month(DATE '{fx.DAY0}' + CAST(5 * (start_t + {CONTEXT}) AS INTEGER)) BETWEEN 6 AND 8),
+    drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, start_t ORDER BY md5(concat_ws(':', '0', scene_id, start_t, pixel_id))) AS rn FROM elig CROSS JOIN starts) WHERE rn <= 2)"""
+)
+
+
+@query(
+    sql(
+        DATASET,
+        body=f"""SELECT scene_id, d.pixel_id, start_t, {CONTEXT} AS n_context, {TARGET} AS n_target, round(a.f, 4) AS first_ndvi, round(b.f, 4) AS last_ndvi
+        FROM drawn d JOIN co a ON a.pixel_id = d.pixel_id AND a.t = start_t JOIN co b ON b.pixel_id = d.pixel_id AND b.t = start_t + {CONTEXT + TARGET - 1}""",
+    )
+)
 def q_dataset_build(spark, sf):
     frames = B.add_ndvi(fx.frames(spark, sf))
     static = (

@@ -23,6 +23,14 @@ def trial_grid(lists: DataFrame) -> DataFrame:
     return grid.withColumn("trial", name)
 
 
+def with_settings(trials: DataFrame, settings: str, values: Mapping[str, str]) -> DataFrame:
+    """Write parameter columns into the nested ``settings`` struct; keys are dotted paths."""
+    struct = F.col(settings)
+    for path, column in values.items():
+        struct = struct.withField(path, F.col(column))
+    return trials.withColumn(settings, struct)
+
+
 def pending_trials(grid: DataFrame, done: DataFrame, mode: str = "add") -> DataFrame:
     """``add``: the trials without a run yet; ``overwrite``: all of them."""
     if mode == "overwrite":
