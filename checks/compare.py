@@ -38,7 +38,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else value + 0.0
+        return None if math.isnan(value) else value
     if isinstance(value, datetime.datetime):
         return value.date() if value.time() == datetime.time() else value
     return value
@@ -64,7 +64,7 @@ def compare(spark: SparkSession, con, name: str, sf_dir: str) -> str | None:
         return f"rows {len(got)} / {len(want)}"
     if not got:
         return "both empty"
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
+    bad = [(g, w) for g, w in zip(got, want) if repr(g) != repr(w)]  # repr also tells 0.0 from -0.0
     if bad:
         return f"{len(bad)} of {len(got)} rows differ, e.g. {bad[0][0]} / {bad[0][1]}"
     types = [(n, type(g), type(w)) for n, g, w in zip(got_names, got[0], want[0]) if g is not None and w is not None and type(g) is not type(w)]

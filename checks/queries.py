@@ -1,4 +1,7 @@
-"""One query per operator over the given tables, each with its reference SQL."""
+"""One query per operator over the given tables, each with its reference SQL.
+
+Rounding to zero keeps the sign in SQL but not in Spark, hence ``+ 0.0`` on signed values.
+"""
 
 from __future__ import annotations
 
@@ -203,8 +206,8 @@ def q_baseline_scores_samples(spark, sf):
     sql(
         Sql.FRAMES,
         body="""SELECT scene_id, pixel_id, t, ts, round(s2_B08, 4) AS "s2_B08",
-        round((s2_B08 - s2_B04) / (s2_B08 + s2_B04), 4) AS s2_ndvi, round((s2_B08 - s2_B03) / (s2_B08 + s2_B03), 4) AS s2_ndwi,
-        round((s2_B08 - s2_B04) / (s2_B08 + s2_B04 + 1e-6), 4) AS ndvi_eps FROM frames""",
+        round((s2_B08 - s2_B04) / (s2_B08 + s2_B04), 4) + 0.0::DOUBLE AS s2_ndvi, round((s2_B08 - s2_B03) / (s2_B08 + s2_B03), 4) + 0.0::DOUBLE AS s2_ndwi,
+        round((s2_B08 - s2_B04) / (s2_B08 + s2_B04 + 1e-6), 4) + 0.0::DOUBLE AS ndvi_eps FROM frames""",
     )
 )
 def q_normalized_difference(spark, sf):
@@ -361,7 +364,7 @@ def q_longest_gap(spark, sf):
     return clean.attach_flag(gaps, flags)
 
 
-@query(sql(FILLED, body="SELECT scene_id, pixel_id, t, round(v, 4) AS s2_ndvi FROM filled"))
+@query(sql(FILLED, body="SELECT scene_id, pixel_id, t, round(v, 4) + 0.0::DOUBLE AS s2_ndvi FROM filled"))
 def q_interp_clamped(spark, sf):
     return filled_ndvi(spark, sf).select("scene_id", "pixel_id", "t", r4("s2_ndvi").alias("s2_ndvi"))
 
@@ -416,7 +419,7 @@ def _loess(spark, sf, passes):
 
 
 def _loess_sql(passes):
-    return sql(FILLED, loess_cte("lo", "filled", "v", passes), body="SELECT pixel_id, t, round(f, 4) AS s2_ndvi FROM lo")
+    return sql(FILLED, loess_cte("lo", "filled", "v", passes), body="SELECT pixel_id, t, round(f, 4) + 0.0::DOUBLE AS s2_ndvi FROM lo")
 
 
 @query(_loess_sql(0))
@@ -454,7 +457,7 @@ def clean_cte(max_gap: int) -> str:
 @query(
     sql(
         clean_cte(12),
-        body="""SELECT pixel_id, t, to_sample, round(CASE WHEN to_sample = 1 THEN f ELSE d END, 4) AS s2_ndvi
+        body="""SELECT pixel_id, t, to_sample, round(CASE WHEN to_sample = 1 THEN f ELSE d END, 4) + 0.0::DOUBLE AS s2_ndvi
         FROM co JOIN cd USING (pixel_id, t) JOIN cs USING (pixel_id)""",
     )
 )
@@ -517,7 +520,7 @@ def q_minmax_normalise(spark, sf):
     sql(
         FILLED,
         SAMPLES,
-        body=f"""SELECT sample_id, scene_id, pixel_id, start_t, part, step, ts, round(v, 4) AS s2_ndvi FROM sample_frames""",
+        body=f"""SELECT sample_id, scene_id, pixel_id, start_t, part, step, ts, round(v, 4) + 0.0::DOUBLE AS s2_ndvi FROM sample_frames""",
     )
 )
 def q_sliding_windows(spark, sf):
@@ -532,8 +535,8 @@ def q_sliding_windows(spark, sf):
         FILLED,
         SAMPLES,
         body=f"""SELECT sample_id, {CONTEXT} AS n_context, {TARGET} AS n_target, 1 AS n_bands,
-          round(max(v) FILTER (part = 'context' AND step = 0), 4) AS first_context, round(max(v) FILTER (part = 'context' AND step = {CONTEXT - 1}), 4) AS last_context,
-          round(max(v) FILTER (part = 'target' AND step = {TARGET - 1}), 4) AS last_target, round(sum(v), 4) AS total
+          round(max(v) FILTER (part = 'context' AND step = 0), 4) + 0.0::DOUBLE AS first_context, round(max(v) FILTER (part = 'context' AND step = {CONTEXT - 1}), 4) + 0.0::DOUBLE AS last_context,
+          round(max(v) FILTER (part = 'target' AND step = {TARGET - 1}), 4) + 0.0::DOUBLE AS last_target, round(sum(v), 4) + 0.0::DOUBLE AS total
         FROM sample_frames GROUP BY 1""",
     )
 )
@@ -957,7 +960,7 @@ def q_slope(spark, sf):
     return _surface(spark, sf).select("row", "col", r4("slope").alias("slope"))
 
 
-@query(sql(AROUND, body='SELECT "row", col, round(aspect, 4) AS aspect, round(cos(radians(aspect)), 4) AS northing, round(sin(radians(aspect)), 4) AS easting FROM sf'))
+@query(sql(AROUND, body='SELECT "row", col, round(aspect, 4) AS aspect, round(cos(radians(aspect)), 4) + 0.0::DOUBLE AS northing, round(sin(radians(aspect)), 4) + 0.0::DOUBLE AS easting FROM sf'))
 def q_aspect_components(spark, sf):
     return _surface(spark, sf).select("row", "col", r4("aspect").alias("aspect"), r4(C.northing("aspect")).alias("northing"), r4(C.easting("aspect")).alias("easting"))
 
@@ -976,7 +979,7 @@ def q_ruggedness(spark, sf):
     return _surface(spark, sf).select("row", "col", r4("rugg").alias("rugg"))
 
 
-@query(sql(AROUND, body='SELECT "row", col, round(plan_curv, 4) AS plan_curv, round(profile_curv, 4) AS profile_curv, round((plan_curv + profile_curv) / 2, 4) AS curv FROM sf'))
+@query(sql(AROUND, body='SELECT "row", col, round(plan_curv, 4) + 0.0::DOUBLE AS plan_curv, round(profile_curv, 4) + 0.0::DOUBLE AS profile_curv, round((plan_curv + profile_curv) / 2, 4) + 0.0::DOUBLE AS curv FROM sf'))
 def q_curvature(spark, sf):
     return _surface(spark, sf).select("row", "col", *[r4(c).alias(c) for c in ("plan_curv", "profile_curv", "curv")])
 
@@ -985,12 +988,12 @@ BOX = Sql.GRID + """, box AS (SELECT g."row", g.col, g.z, count(*) AS n, avg(h.z
       FROM grid g JOIN grid h ON h."row" BETWEEN g."row" - 3 AND g."row" + 3 AND h.col BETWEEN g.col - 5 AND g.col + 5 GROUP BY 1, 2, 3)"""
 
 
-@query(sql(BOX, body="""SELECT "row", col, round(CASE WHEN z < mean THEN (z - mean) / (mean - lo) WHEN z > mean THEN (z - mean) / (hi - mean) ELSE 0 END, 4) AS rtp FROM box"""))
+@query(sql(BOX, body="""SELECT "row", col, round(CASE WHEN z < mean THEN (z - mean) / (mean - lo) WHEN z > mean THEN (z - mean) / (hi - mean) ELSE 0 END, 4) + 0.0::DOUBLE AS rtp FROM box"""))
 def q_relative_position(spark, sf):
     return terrain.relative_position(fx.grid(spark, sf), 11, 7, TILE).withColumn("rtp", r4("rtp"))
 
 
-@query(sql(BOX, body="""SELECT "row", col, round(coalesce((z - mean) / nullif(sd, 0), 0), 4) AS dev FROM box"""))
+@query(sql(BOX, body="""SELECT "row", col, round(coalesce((z - mean) / nullif(sd, 0), 0), 4) + 0.0::DOUBLE AS dev FROM box"""))
 def q_deviation(spark, sf):
     return terrain.deviation(fx.grid(spark, sf), 11, 7, TILE).withColumn("dev", r4("dev"))
 
@@ -1023,7 +1026,7 @@ def q_flow_accumulation(spark, sf):
     return terrain.flow_accumulation(_surface(spark, sf))
 
 
-@query(sql(FLOW, body='SELECT f."row", f.col, round(ln(acc / nullif(tan(radians(slope)), 0)), 4) AS twi FROM flow f JOIN sf s ON s."row" = f."row" AND s.col = f.col', recursive=True))
+@query(sql(FLOW, body='SELECT f."row", f.col, round(ln(acc / nullif(tan(radians(slope)), 0)), 4) + 0.0::DOUBLE AS twi FROM flow f JOIN sf s ON s."row" = f."row" AND s.col = f.col', recursive=True))
 def q_wetness_index(spark, sf):
     base = _surface(spark, sf)
     return terrain.wetness(base, terrain.flow_accumulation(base)).withColumn("twi", r4("twi"))
@@ -1085,7 +1088,7 @@ def q_per_sample_scores(spark, sf):
     sql(
         Sql.FRAMES,
         "lc AS (SELECT p_partkey AS pixel_id, p_size AS landcover FROM part)",
-        body="""SELECT pixel_id, t, round(CASE WHEN landcover BETWEEN 10 AND 30 THEN chg END, 4) AS change FROM (
+        body="""SELECT pixel_id, t, round(CASE WHEN landcover BETWEEN 10 AND 30 THEN chg END, 4) + 0.0::DOUBLE AS change FROM (
           SELECT pixel_id, t, (nd - lag(nd) OVER (PARTITION BY pixel_id ORDER BY t) + 1) / 2 AS chg FROM (SELECT *, (s2_B08 - s2_B04) / (s2_B08 + s2_B04) AS nd FROM frames)) LEFT JOIN lc USING (pixel_id)""",
     )
 )
@@ -1096,7 +1099,7 @@ def q_change_map(spark, sf):
 
 
 REPORT = f"""SELECT s.sample_id, any_value(s.lon) AS lon, any_value(s.lat) AS lat, p.step, any_value(s.start) + CAST(5 * (p.step + 1) AS INTEGER) AS date,
-          round(any_value(p.pred), 4) AS pred, round(any_value(p.truth), 4) AS truth, round(avg(s.v), 4) AS context_mean
+          round(any_value(p.pred), 4) + 0.0::DOUBLE AS pred, round(any_value(p.truth), 4) + 0.0::DOUBLE AS truth, round(avg(s.v), 4) + 0.0::DOUBLE AS context_mean
         FROM sample_frames s JOIN predictions p ON p.sample_id = s.sample_id
         WHERE s.part = 'context' AND {IN_RANGE}"""
 
@@ -1209,7 +1212,7 @@ DATASET = (
 @query(
     sql(
         DATASET,
-        body=f"""SELECT scene_id, d.pixel_id, start_t, {CONTEXT} AS n_context, {TARGET} AS n_target, round(a.f, 4) AS first_ndvi, round(b.f, 4) AS last_ndvi
+        body=f"""SELECT scene_id, d.pixel_id, start_t, {CONTEXT} AS n_context, {TARGET} AS n_target, round(a.f, 4) + 0.0::DOUBLE AS first_ndvi, round(b.f, 4) + 0.0::DOUBLE AS last_ndvi
         FROM drawn d JOIN co a ON a.pixel_id = d.pixel_id AND a.t = start_t JOIN co b ON b.pixel_id = d.pixel_id AND b.t = start_t + {CONTEXT + TARGET - 1}""",
     )
 )

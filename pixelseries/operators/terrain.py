@@ -39,8 +39,7 @@ def slope_degrees(dx: float, dy: float) -> Column:
 def aspect_degrees(dx: float, dy: float) -> Column:
     """Direction of steepest descent, clockwise from north; missing on flat cells."""
     p, q = _gradient(dx, dy)
-    azimuth = F.degrees(F.atan2(-p, -q))
-    return F.when((p != 0) | (q != 0), F.when(azimuth < 0, azimuth + 360).otherwise(azimuth))
+    return F.when((p != 0) | (q != 0), F.pmod(F.degrees(F.atan2(-p, -q)), F.lit(360.0)))
 
 
 def ruggedness() -> Column:
@@ -64,21 +63,27 @@ def curvatures(dx: float, dy: float) -> tuple[Column, Column, Column]:
     return plan, profile, (plan + profile) / 2
 
 
-def flow_direction(dx: float, dy: float) -> Column:
-    """Code of the steepest descending neighbour, the lowest code of equals; 0 in sinks and on flats."""
-    distance = {c: math.hypot(dx * abs(DIRECTIONS[k][1]), dy * abs(DIRECTIONS[k][0])) for c, k in _DIRECTION_OF.items()}
-    drops = [
-        F.struct(((F.col("z") - F.col(c)) / distance[c]).alias("drop"), F.lit(-code).alias("code"))
-        for c, code in _DIRECTION_OF.items()
-    ]
-    best = F.array_max(F.array(*[F.when(F.col(c).isNotNull(), s) for c, s in zip(_DIRECTION_OF, drops)]))
-    return F.when(best["drop"] > 0, -best["code"]).otherwise(F.lit(0))
+def with_pointer(around: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Add ``pointer``: the code of the steepest descending neighbour.
+
+    The lowest code of equals; 0 in sinks and on flats.
+    """
+    drops = {}
+    for code in DIRECTIONS:
+        name = next(n for n, c in _DIRECTION_OF.items() if c == code)
+        row, col = DIRECTIONS[code]
+        drops[code] = (F.col("z") - F.col(name)) / math.hypot(dx * abs(col), dy * abs(row))
+    pointer = F.lit(0)
+    for code in reversed(DIRECTIONS):  # the lowest code is tested first
+        pointer = F.when(drops[code] == F.col("__fall"), F.lit(code)).otherwise(pointer)
+    steepest = around.withColumn("__fall", F.greatest(*drops.values()))
+    return steepest.withColumn("pointer", F.when(F.col("__fall") > 0, pointer).otherwise(F.lit(0))).drop("__fall")
 
 
 def surface(cells: DataFrame, dx: float, dy: float, size: int = TILE) -> DataFrame:
     """All 3 x 3 features in one pass over the neighbourhood."""
     plan, profile, mean = curvatures(dx, dy)
-    return with_neighbours(cells, size).select(
+    return with_pointer(with_neighbours(cells, size), dx, dy).select(
         "row", "col", "z",
         slope_degrees(dx, dy).alias("slope"),
         aspect_degrees(dx, dy).alias("aspect"),
@@ -86,14 +91,14 @@ def surface(cells: DataFrame, dx: float, dy: float, size: int = TILE) -> DataFra
         plan.alias("plan_curv"),
         profile.alias("profile_curv"),
         mean.alias("curv"),
-        flow_direction(dx, dy).alias("pointer"),
+        "pointer",
     )
 
 
 def flow_accumulation(pointers: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Number of cells that drain through each cell, itself included.
 
-    ``pointers(row, col, pointer)`` as from :func:`flow_direction`.  Each round
+    ``pointers(row, col, pointer)`` as from :func:`with_pointer`.  Each round
     doubles the distance a cell looks downstream, so the number of rounds is
     the logarithm of the longest flow path.  Only cells whose path goes on
     take part in a round; contributions are pre-aggregated before the shuffle.
