@@ -215,6 +215,21 @@ def _centres(target: DataFrame, meta: GridMeta) -> tuple[Column, Column]:
     return cell_centre("col", meta.ulx, meta.dx), cell_centre("row", meta.uly, -meta.dy)
 
 
+def _needed(source_meta: GridMeta, target_meta: GridMeta, margin: float) -> Column:
+    """True for source cells some target centre reads; ``margin`` is half a cell for bilinear.
+
+    A narrow test before the join: coarsening by ``k`` shuffles ``1/k^2`` (or
+    ``4/k^2``) of the source instead of all of it.
+    """
+    def axis(c: str, offset: float, source: float, target: float, n: int) -> Column:
+        first = ((F.col(c) - margin) * source - offset) / target - 0.5
+        last = ((F.col(c) + 1 + margin) * source - offset) / target - 0.5
+        return F.ceil(F.greatest(first - 1e-6, F.lit(0.0))) <= F.least(last + 1e-6, F.lit(float(n - 1)))
+
+    a, b = source_meta, target_meta
+    return axis("col", b.ulx - a.ulx, a.dx, b.dx, b.width) & axis("row", a.uly - b.uly, a.dy, b.dy, b.height)
+
+
 def align_nearest(source: DataFrame, source_meta: GridMeta, target: DataFrame, target_meta: GridMeta, bands: Sequence[str] = ("z",)) -> DataFrame:
     """Value of the source cell under each target cell centre; NULL outside the source.
 
@@ -224,7 +239,8 @@ def align_nearest(source: DataFrame, source_meta: GridMeta, target: DataFrame, t
     looked_up = target.withColumns(
         {"__c": cell_index(x, source_meta.ulx, source_meta.dx), "__r": F.floor((F.lit(source_meta.uly) - y) / source_meta.dy).cast("bigint")}
     )
-    layer = source.select(F.col("row").cast("bigint").alias("__r"), F.col("col").cast("bigint").alias("__c"), *bands)
+    read = source.filter(_needed(source_meta, target_meta, 0.0))
+    layer = read.select(F.col("row").cast("bigint").alias("__r"), F.col("col").cast("bigint").alias("__c"), *bands)
     return looked_up.join(layer, ["__r", "__c"], "left").drop("__r", "__c")
 
 
@@ -248,7 +264,8 @@ def align_bilinear(source: DataFrame, source_meta: GridMeta, target: DataFrame,
         .withColumns({"__fx": F.col("__x") - F.col("__c0"), "__fy": F.col("__y") - F.col("__r0")})
         .select("row", "col", F.inline(corners))
     )
-    layer = source.filter(F.col("z").isNotNull()).select(F.col("row").cast("bigint").alias("__r"), F.col("col").cast("bigint").alias("__c"), "z")
+    read = source.filter(F.col("z").isNotNull() & _needed(source_meta, target_meta, 0.5))
+    layer = read.select(F.col("row").cast("bigint").alias("__r"), F.col("col").cast("bigint").alias("__c"), "z")
     return (
         corner_rows.join(layer, ["__r", "__c"], "left")
         .groupBy("row", "col")
@@ -394,13 +411,26 @@ def burn_mask(vertices: DataFrame, cells: DataFrame, meta: GridMeta, out: str =
 
 # --- static layers on pixels ---------------------------------------------------
 
+MAX_TILES = 100_000  # 16 bytes each: a tile list this long is safe to broadcast
+
+
 def overlay(pixels: DataFrame, layers: DataFrame, meta: GridMeta, bands: Sequence[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Nearest layer values on pixel centres; all layers of a grid share one join.
 
-    Pixels outside the layers, and nodata cells, get missing values.
+    Pixels outside the layers, and nodata cells, get missing values.  Scenes
+    cover little of a country-wide layer: when the tiles they touch are few
+    (counted first), the layer is cut to these tiles before it is shuffled.
     """
     placed = pixels.withColumns(
         {"__c": cell_index(lon, meta.ulx, meta.dx), "__r": F.floor((F.lit(meta.uly) - F.col(lat)) / meta.dy).cast("bigint")}
     )
     source = layers.select(F.col("row").cast("bigint").alias("__r"), F.col("col").cast("bigint").alias("__c"), *[to_missing(b).alias(b) for b in bands])
+
+    def tile(c: str) -> Column:
+        return F.floor(F.col(c) / TILE).alias(f"{c}_tile")
+
+    touched = placed.select(tile("__r"), tile("__c")).distinct()
+    if touched.limit(MAX_TILES + 1).count() <= MAX_TILES:
+        tiled_source = source.withColumns({"__r_tile": tile("__r"), "__c_tile": tile("__c")})
+        source = tiled_source.join(F.broadcast(touched), ["__r_tile", "__c_tile"], "left_semi").drop("__r_tile", "__c_tile")
     return placed.join(source, ["__r", "__c"], "left").drop("__r", "__c")

@@ -113,6 +113,28 @@ def test_bilinear_ignores_missing_cells(spark):
     assert array(found, (1, 1))[0, 0] == 1.0
 
 
+@pytest.mark.parametrize("method", ["near", "bilinear"])
+@pytest.mark.parametrize("dx, dy, ulx, uly", [(1.0, 1.0, 0.0, 10.0), (0.3, 0.7, 0.0, 10.0), (3.0, 2.0, 1.1, 9.3), (2.5, 4.0, -3.2, 13.7), (7.0, 7.0, 0.5, 9.5)])
+def test_alignment_reads_every_cell_it_needs(spark, method, dx, dy, ulx, uly):
+    a = rugged(10, 12, 0.2)
+    target = GridMeta(ulx, uly, dx, dy, int(12 / dx) + 2, int(10 / dy) + 2)
+    found = array(raster.align(cells(spark, a), META, raster.all_cells(spark, target), target, method), (target.height, target.width))
+    for r in range(target.height):
+        for c in range(target.width):
+            x, y = ulx + (c + 0.5) * dx, 10 - (uly - (r + 0.5) * dy)
+            if method == "near":
+                spots = [(math.floor(y), math.floor(x), 1.0)]
+            else:
+                fx, fy = x - 0.5 - math.floor(x - 0.5), y - 0.5 - math.floor(y - 0.5)
+                spots = [(math.floor(y - 0.5) + i, math.floor(x - 0.5) + j, (fy if i else 1 - fy) * (fx if j else 1 - fx)) for i in (0, 1) for j in (0, 1)]
+            known = [(a[i, j], w) for i, j, w in spots if 0 <= i < 10 and 0 <= j < 12 and not math.isnan(a[i, j])]
+            total = sum(w for _, w in known)
+            if total:
+                assert found[r, c] == pytest.approx(sum(v * w for v, w in known) / total)
+            else:
+                assert math.isnan(found[r, c])
+
+
 def test_uncropped_box_grows_outward(spark):
     meta = GridMeta(0.4, 5.3, 1.0, 1.0, 4, 3).snapped(2.0, 2.0)
     assert (meta.ulx, meta.uly, meta.width, meta.height) == (0.0, 6.0, 3, 2)
