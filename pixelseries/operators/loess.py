@@ -34,8 +34,8 @@ def loess_udf(frac: float, passes: int = PASSES):
         import numpy as np
         import pandas as pd
 
-        def fit(y):
-            m, n = y.shape
+        def neighbourhoods(n):
+            """Per point: its neighbours, their distances and their tricube weights."""
             k = int(frac * n + 1e-10)
             if k < 2:
                 raise ValueError(f"frac={frac} spans fewer than 2 of {n} frames")
@@ -45,18 +45,46 @@ def loess_udf(frac: float, passes: int = PASSES):
             dx = (near - i[:, None]).astype(float)
             reach = np.maximum(i - left, left + k - 1 - i)[:, None]
             share = np.abs(dx) / reach
-            tricube = np.where(share >= FAR, 0.0, np.where(share <= NEAR, 1.0, (1 - share**3) ** 3))
+            return near, dx, np.where(share >= FAR, 0.0, np.where(share <= NEAR, 1.0, (1 - share**3) ** 3))
+
+        def moments(near, dx, tricube):
+            """Per run of 64 points: the frames they use and matrices for the weighted sums of ``dx^p``."""
+            runs = []
+            for lo in range(0, len(near), 64):
+                at = slice(lo, lo + 64)
+                used = slice(near[at].min(), near[at].max() + 1)
+                sums = np.zeros((3, len(near[at]), used.stop - used.start))
+                for power in range(3):
+                    np.put_along_axis(sums[power], near[at] - used.start, tricube[at] * dx[at] ** power, axis=1)
+                runs.append((at, used, [m.T.copy() for m in sums]))
+            return runs
+
+        def weighted(values, power, runs):
+            out = np.empty_like(values)
+            for at, used, sums in runs:
+                out[:, at] = values[:, used] @ sums[power]
+            return out
+
+        def fit(y, near, dx, tricube, runs):
             trust = np.ones_like(y)
             for done in range(passes + 1):
-                w = tricube * trust[:, near]
-                total = w.sum(axis=2)
-                ok = total > 0
-                w = w / np.where(ok, total, 1.0)[:, :, None]
-                centre = (w * dx).sum(axis=2)
-                off = dx - centre[:, :, None]
-                spread = np.maximum((w * off * off).sum(axis=2), 1e-12)
-                gain = 1 - (centre / spread)[:, :, None] * off
-                fitted = np.where(ok, (w * gain * y[:, near]).sum(axis=2), y)
+                w0, w1, w2 = (weighted(trust, power, runs) for power in (0, 1, 2))
+                wy, wxy = (weighted(trust * y, power, runs) for power in (0, 1))
+                ok = w0 > 0
+                total = np.where(ok, w0, 1.0)
+                centre, level = w1 / total, wy / total
+                spread = w2 / total - centre * centre
+                slope = (wxy / total - centre * level) / np.where(spread > 0, spread, 1.0)
+                fitted = np.where(ok, level - centre * slope, y)
+                # next to no weight off one point: sums cancel, so these few are fitted term by term
+                row, at = np.nonzero(ok & (spread < 1e-2))
+                if len(row):
+                    w = tricube[at] * trust[row[:, None], near[at]]
+                    w /= w.sum(axis=1, keepdims=True)
+                    off = dx[at] - (w * dx[at]).sum(axis=1, keepdims=True)
+                    tilt = off[:, :1] - dx[at][:, :1]  # minus the weighted centre
+                    gain = 1 + tilt * off / np.maximum((w * off * off).sum(axis=1, keepdims=True), 1e-12)
+                    fitted[row, at] = (w * gain * y[row[:, None], near[at]]).sum(axis=1)
                 if done < passes:
                     miss = np.abs(y - fitted)
                     median = np.median(miss, axis=1, keepdims=True)
@@ -71,10 +99,12 @@ def loess_udf(frac: float, passes: int = PASSES):
         for at, y in enumerate(values):
             if y is not None and len(y) and not np.isnan(y).any():
                 by_length.setdefault(len(y), []).append(at)
-        for where in by_length.values():
-            for lo in range(0, len(where), 32):  # bounds the m * n * k work arrays
-                block = where[lo : lo + 32]
-                for at, fitted in zip(block, fit(np.stack([values[a] for a in block]))):
+        for n, where in by_length.items():
+            hood = neighbourhoods(n)
+            runs = moments(*hood)
+            for lo in range(0, len(where), 256):
+                block = where[lo : lo + 256]
+                for at, fitted in zip(block, fit(np.stack([values[a] for a in block]), *hood, runs)):
                     out[at] = fitted
         return pd.Series(out, dtype=object)
 

@@ -114,6 +114,15 @@ def test_loess_equals_pointwise_fits(spark, frac, passes):
     assert np.allclose(got, reference_loess(y, frac, passes), atol=1e-9)
 
 
+def test_loess_with_weight_on_few_points(spark):
+    y = np.zeros(60)  # a median residual of almost nothing: most neighbours lose all weight
+    y[::7] = 1e3
+    y += np.random.default_rng(2).normal(0, 1e-6, 60)
+    for frac in (0.1, 0.3):
+        got = values_of(smooth_series(frames(spark, [float(v) for v in y]), ["v"], frac, 3))
+        assert np.allclose(got, reference_loess(y, frac, 3), atol=1e-5)
+
+
 def test_loess_reproduces_lines_and_constants(spark):
     line = [0.5 * t - 3 for t in range(40)]
     assert np.allclose(values_of(smooth_series(frames(spark, line), ["v"], 0.2)), line)
