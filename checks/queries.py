@@ -699,17 +699,17 @@ def q_negative_scenes_stratified(spark, sf):
         Sql.FRAMES,
         Sql.STATIC_RAW,
         f"""elig AS (SELECT f.scene_id, f.pixel_id FROM (SELECT scene_id, pixel_id, count(*) FILTER (s2_mask = 0) AS n FROM frames GROUP BY 1, 2) f
-             JOIN (SELECT pixel_id, avg(nullif("DEM", -9999)) AS dem FROM static_raw GROUP BY 1) s USING (pixel_id)
-             WHERE n > 100 AND dem > 950),
+             JOIN (SELECT pixel_id, avg(nullif("CLAY0_5", -9999)) AS clay FROM static_raw GROUP BY 1) s USING (pixel_id)
+             WHERE n > 20 AND clay > 25),
           starts AS (SELECT unnest(range(0, {fx.N_FRAMES - CONTEXT - TARGET + 1}, {STRIDE})) AS start_t)""",
         body="""SELECT scene_id, start_t, pixel_id FROM (
           SELECT *, row_number() OVER (PARTITION BY scene_id, start_t ORDER BY md5(concat_ws(':', '3', scene_id, start_t, pixel_id))) AS rn FROM elig CROSS JOIN starts) WHERE rn <= 2""",
     )
 )
 def q_pixels_per_scene(spark, sf):
-    usable = fx.frames(spark, sf).groupBy("scene_id", "pixel_id").agg((F.count(F.when(F.col("s2_mask") == 0, 1)) > 100).cast("int").alias("to_sample"))
-    forest = B.clean_missing(fx.static_raw(spark, sf), ["DEM"]).groupBy("pixel_id").agg(F.avg("DEM").alias("forest"))
-    eligible = usable.join(forest, "pixel_id").filter(C.eligible_pixel("to_sample", "forest", 950.0))
+    usable = fx.frames(spark, sf).groupBy("scene_id", "pixel_id").agg((F.count(F.when(F.col("s2_mask") == 0, 1)) > 20).cast("int").alias("to_sample"))
+    forest = B.clean_missing(fx.static_raw(spark, sf), ["CLAY0_5"]).groupBy("pixel_id").agg(F.avg("CLAY0_5").alias("forest"))
+    eligible = usable.join(forest, "pixel_id").filter(C.eligible_pixel("to_sample", "forest", 25.0))
     starts = F.sequence(F.lit(0), F.lit(fx.N_FRAMES - CONTEXT - TARGET), F.lit(STRIDE))
     candidates = eligible.select("scene_id", "pixel_id", F.explode(starts).alias("start_t"))
     return sampling.draw_pixels(candidates, 2, seed=3).select("scene_id", "start_t", "pixel_id")
