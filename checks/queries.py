@@ -24,7 +24,7 @@ from pixelseries.sources import store
 from . import fixtures as fx
 from .fixtures import Sql, sql
 
-CONTEXT, TARGET, STRIDE = 54, 18, 9
+CONTEXT, TARGET = 54, 18
 TILE = 48
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,7 +84,7 @@ def named_samples(packed_windows: DataFrame) -> DataFrame:
 
 def samples(spark, sf):
     packed = windows.pack_series(filled_ndvi(spark, sf), ["s2_ndvi"])
-    return named_samples(windows.sliding_windows(packed, CONTEXT, TARGET, 0, STRIDE))
+    return named_samples(windows.sliding_windows(packed, CONTEXT, TARGET))
 
 
 def sample_keys(spark, sf):
@@ -151,7 +151,7 @@ SAMPLE_KEYS = f"""sample_starts AS (
              DATE '{fx.DAY0}' + CAST(5 * w.start_t AS INTEGER) AS start,
              DATE '{fx.DAY0}' + CAST(5 * (w.start_t + {CONTEXT + TARGET - 1}) AS INTEGER) AS "end"
       FROM (SELECT DISTINCT scene_id, pixel_id FROM frames) p
-      CROSS JOIN (SELECT unnest(range(0, {fx.N_FRAMES - CONTEXT - TARGET + 1}, {STRIDE})) AS start_t) w),
+      CROSS JOIN (SELECT unnest(range({fx.N_FRAMES - CONTEXT - TARGET + 1})) AS start_t) w),
     sample_keys AS (SELECT s.*, {SAMPLE_ID} AS sample_id FROM sample_starts s)"""
 
 SAMPLES = SAMPLE_KEYS + f""",
@@ -195,7 +195,7 @@ def q_baseline_scores(spark, sf):
     return rounded_scores(found)
 
 
-@query(sql(FILLED, body="").rstrip() + baseline_sql(f"SELECT unnest(range(0, {fx.N_FRAMES - CONTEXT - TARGET + 1}, {STRIDE})) AS start_t"))
+@query(sql(FILLED, body="").rstrip() + baseline_sql(f"SELECT unnest(range({fx.N_FRAMES - CONTEXT - TARGET + 1})) AS start_t"))
 def q_baseline_scores_samples(spark, sf):
     return rounded_scores(scores.baseline_scores(samples(spark, sf), "s2_ndvi"))
 
@@ -701,7 +701,7 @@ def q_negative_scenes_stratified(spark, sf):
         f"""elig AS (SELECT f.scene_id, f.pixel_id FROM (SELECT scene_id, pixel_id, count(*) FILTER (s2_mask = 0) AS n FROM frames GROUP BY 1, 2) f
              JOIN (SELECT pixel_id, avg(nullif("CLAY0_5", -9999)) AS clay FROM static_raw GROUP BY 1) s USING (pixel_id)
              WHERE n > 20 AND clay > 25),
-          starts AS (SELECT unnest(range(0, {fx.N_FRAMES - CONTEXT - TARGET + 1}, {STRIDE})) AS start_t)""",
+          starts AS (SELECT unnest(range({fx.N_FRAMES - CONTEXT - TARGET + 1})) AS start_t)""",
         body="""SELECT scene_id, start_t, pixel_id FROM (
           SELECT *, row_number() OVER (PARTITION BY scene_id, start_t ORDER BY md5(concat_ws(':', '3', scene_id, start_t, pixel_id))) AS rn FROM elig CROSS JOIN starts) WHERE rn <= 2""",
     )
@@ -710,7 +710,7 @@ def q_pixels_per_scene(spark, sf):
     usable = fx.frames(spark, sf).groupBy("scene_id", "pixel_id").agg((F.count(F.when(F.col("s2_mask") == 0, 1)) > 20).cast("int").alias("to_sample"))
     forest = B.clean_missing(fx.static_raw(spark, sf), ["CLAY0_5"]).groupBy("pixel_id").agg(F.avg("CLAY0_5").alias("forest"))
     eligible = usable.join(forest, "pixel_id").filter(C.eligible_pixel("to_sample", "forest", 25.0))
-    starts = F.sequence(F.lit(0), F.lit(fx.N_FRAMES - CONTEXT - TARGET), F.lit(STRIDE))
+    starts = F.sequence(F.lit(0), F.lit(fx.N_FRAMES - CONTEXT - TARGET))
     candidates = eligible.select("scene_id", "pixel_id", F.explode(starts).alias("start_t"))
     return sampling.draw_pixels(candidates, 2, seed=3).select("scene_id", "start_t", "pixel_id")
 

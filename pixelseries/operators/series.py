@@ -30,7 +30,7 @@ def densify(frames: DataFrame, n_frames: int, keys: Sequence[str] = PIXEL, bands
     """
     w = Window.partitionBy(*keys).orderBy("t")
     lo = F.when(F.lag("t").over(w).isNull(), F.lit(0)).otherwise(F.col("t"))
-    hi = F.coalesce(F.lead("t").over(w) - 1, F.lit(n_frames - 1))
+    hi = F.greatest(F.coalesce(F.lead("t").over(w) - 1, F.lit(n_frames - 1)), F.col("t"))
     rows = (
         frames.filter(F.col("t").between(0, n_frames - 1))
         .select(*keys, *carry, F.col("t").cast("int").alias("t"), *bands)

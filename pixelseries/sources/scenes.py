@@ -52,9 +52,9 @@ def tile_attributes(urls: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """Names of the files that match a glob, minus those with an excluded ending; contents are not read."""
+    """Names of the files that match a glob, minus those with an excluded ending, by name; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     names = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path")
     for ending in exclude:
         names = names.filter(~F.col("file_name").endswith(ending))
-    return names
+    return names.orderBy("file_name")
