@@ -42,9 +42,7 @@ def clean_series(df: DataFrame, max_gap: int, remove_pct: float, loess_frac: flo
     # the mask itself is an s2 layer, but must not be lost before it is used
     cleaned = drop_low_values(mask_clouds(df, [b for b in bands if b != "s2_mask"]), [b for b in bands if b != "s2_mask"], remove_pct, keys)
     flagged = flag_usable(cleaned, "s2_ndvi", max_gap, keys)
-    usable = {b: F.when(F.col("to_sample") == 1, F.col(f"__f_{b}")).otherwise(F.col(b)) for b in smooth}
-    filled = fill_by_index(flagged.withColumns({f"__f_{b}": F.col(b) for b in smooth}), [f"__f_{b}" for b in smooth], keys)
-    filled = filled.withColumns(usable).drop(*[f"__f_{b}" for b in smooth])
+    filled = fill_by_index(flagged, smooth, keys, where=F.col("to_sample") == 1)
     return smooth_series(filled, smooth, loess_frac, passes, keys, usable="to_sample")
 
 

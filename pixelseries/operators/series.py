@@ -60,17 +60,22 @@ def _lerp(value: str, x: Column, p: Column, n: Column, hold_ends: bool) -> Colum
     return filled.otherwise(F.coalesce(p["v"], n["v"])) if hold_ends else filled
 
 
-def _interpolate(df: DataFrame, bands: Sequence[str], x: Column, keys: Sequence[str], hold_ends: bool) -> DataFrame:
+def _interpolate(df: DataFrame, bands: Sequence[str], x: Column, keys: Sequence[str], hold_ends: bool, where: Column | None = None) -> DataFrame:
     pairs = [_neighbours(band, x, keys) for band in bands]
     # all bands in one projection: one sort per direction
     found = df.withColumns({f"__{side}{i}": c for i, pair in enumerate(pairs) for side, c in zip("pn", pair)})
     filled = {b: _lerp(b, x, F.col(f"__p{i}"), F.col(f"__n{i}"), hold_ends) for i, b in enumerate(bands)}
+    if where is not None:
+        filled = {b: F.when(where, new).otherwise(F.col(b)) for b, new in filled.items()}
     return found.withColumns(filled).drop(*[f"__{s}{i}" for i in range(len(bands)) for s in "pn"])
 
 
-def fill_by_index(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL) -> DataFrame:
-    """Linear by frame number; the ends hold the nearest known value."""
-    return _interpolate(df, bands, F.col("t").cast("double"), keys, hold_ends=True)
+def fill_by_index(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL, where: Column | None = None) -> DataFrame:
+    """Linear by frame number; the ends hold the nearest known value.
+
+    Rows outside ``where`` keep their values.
+    """
+    return _interpolate(df, bands, F.col("t").cast("double"), keys, hold_ends=True, where=where)
 
 
 def fill_by_time(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL, ts: str = "ts") -> DataFrame:
