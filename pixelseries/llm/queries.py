@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import mixed_words
 from .shards import assign_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,10 @@ FROM dealt
 @query(JUMP_SQL)
 def op5_jump_shards(spark, sf):
     return assign_shards(table(spark, sf, "documents"), SHARDS, PARTS)
+
+
+# --- mixing ------------------------------------------------------------------
+
+@query()
+def op7_entropy_mix(spark, sf):
+    return mixed_words(table(spark, sf, "documents"))
