@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mixed_words
+from .quality import assess
 from .shards import assign_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,10 @@ def op5_jump_shards(spark, sf):
 @query()
 def op7_entropy_mix(spark, sf):
     return mixed_words(table(spark, sf, "documents"))
+
+
+# --- quality -----------------------------------------------------------------
+
+@query()
+def op2_robust_outliers(spark, sf):
+    return assess(table(spark, sf, "documents"))
