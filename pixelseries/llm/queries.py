@@ -11,6 +11,7 @@ from .common import table
 from .mixing import mixed_words
 from .quality import assess
 from .shards import assign_shards
+from .urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +78,10 @@ def op7_entropy_mix(spark, sf):
 @query()
 def op2_robust_outliers(spark, sf):
     return assess(table(spark, sf, "documents"))
+
+
+# --- URL filters -------------------------------------------------------------
+
+@query()
+def op6_association_rules(spark, sf):
+    return filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels"))
