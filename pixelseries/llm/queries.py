@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import digests
 from .common import table
 from .mixing import mixed_words
 from .quality import assess
@@ -85,3 +86,16 @@ def op2_robust_outliers(spark, sf):
 @query()
 def op6_association_rules(spark, sf):
     return filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels"))
+
+
+# --- tokens ------------------------------------------------------------------
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op8_speculative_bpe(spark, sf):
+    return digests(table(spark, sf, "documents"), word_vocabulary()).drop("ids")
