@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import digests
 from .common import table
 from .mixing import mixed_words
+from .near_dups import near_duplicates
 from .quality import assess
 from .shards import assign_shards
 from .urls import filter_urls
@@ -99,3 +100,10 @@ def word_vocabulary() -> str:
 @query()
 def op8_speculative_bpe(spark, sf):
     return digests(table(spark, sf, "documents"), word_vocabulary()).drop("ids")
+
+
+# --- near-duplicates ---------------------------------------------------------
+
+@query()
+def op4_bayes_minhash(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"), size=2, percent=80)
