@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import digests
 from .common import table
+from .lines import dedup_lines
 from .mixing import mixed_words
 from .near_dups import near_duplicates
 from .quality import assess
@@ -107,3 +108,11 @@ def op8_speculative_bpe(spark, sf):
 @query()
 def op4_bayes_minhash(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), size=2, percent=80)
+
+
+# --- lines -------------------------------------------------------------------
+
+@query()
+def op10_simhash_lines(spark, sf):
+    found = dedup_lines(table(spark, sf, "documents"), "n_lines", "n_dropped")
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
