@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .bpe import digests
 from .common import table
+from .langid import predict_languages
 from .lines import dedup_lines
 from .mixing import mixed_words
 from .near_dups import near_duplicates
 from .quality import assess
 from .shards import assign_shards
 from .urls import filter_urls
+from .vptree import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +118,17 @@ def op4_bayes_minhash(spark, sf):
 def op10_simhash_lines(spark, sf):
     found = dedup_lines(table(spark, sf, "documents"), "n_lines", "n_dropped")
     return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+# --- language ----------------------------------------------------------------
+
+@query()
+def op9_bloom_language(spark, sf):
+    return predict_languages(table(spark, sf, "documents"))
+
+
+# --- nearest neighbours ------------------------------------------------------
+
+@query()
+def op3_vantage_trees(spark, sf):
+    return nearest(table(spark, sf, "embeddings"))
