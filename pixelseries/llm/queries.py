@@ -11,6 +11,7 @@ from .bpe import digests
 from .common import table
 from .langid import predict_languages
 from .lines import dedup_lines
+from .lm import score
 from .mixing import mixed_words
 from .near_dups import near_duplicates
 from .quality import assess
@@ -132,3 +133,10 @@ def op9_bloom_language(spark, sf):
 @query()
 def op3_vantage_trees(spark, sf):
     return nearest(table(spark, sf, "embeddings"))
+
+
+# --- language model ----------------------------------------------------------
+
+@query()
+def op1_deleted_interpolation(spark, sf):
+    return score(table(spark, sf, "documents"))
