@@ -20,6 +20,8 @@ DIMENSIONS = len(FLOORS)
 CORE, STEPS = 0.75, 4
 #: Groups with fewer rows are pooled: first by language, then all together.
 LEAST_ROWS = 60
+#: A large group's rows meet its estimate in this many parts, should the estimates be too many to be sent to every task.
+SALTS = 16
 #: A clean row is rejected with this chance if its features are normal.
 TAIL = 1e-9
 
@@ -101,6 +103,11 @@ def _distance(x: list[Column], at=F.col) -> Column:
     return sum((at(f"p{i}{j}") * off[i] * off[j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
 
 
+def _salted(estimates: DataFrame) -> DataFrame:
+    """Estimates once per salt, as one small file: its size is what Spark decides by how to join it."""
+    return cut_lineage(estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(1))
+
+
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     x = [F.col(f"x{i}") for i in range(DIMENSIONS)]
     sums = [F.sum(v).alias(f"t{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"t{i}{j}") for i, j in PAIRS]
@@ -116,7 +123,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     """Two first estimates per group: median with median deviations, and the plain mean and covariance."""
     d = range(DIMENSIONS)
     medians = cut_lineage(rows.groupBy("fit").agg(*(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in d)))
-    spreads = rows.join(medians, "fit").groupBy("fit").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in d))
+    spreads = rows.join(_salted(medians), ["fit", "salt"]).groupBy("fit").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in d))
     zero = [F.lit(0.0).alias(_pair(i, j)) for i, j in PAIRS if i < j]
     robust = medians.join(spreads, "fit").select("fit", F.lit(0).alias("start"), *MEANS, *((1.4826 * F.col(f"d{i}")).alias(f"r{i}") for i in d))
     robust = robust.select("fit", "start", *MEANS, *((F.col(f"r{i}") ** 2).alias(_pair(i, i)) for i in d), *zero)
@@ -133,7 +140,7 @@ def _refined(rows: DataFrame, params: DataFrame) -> DataFrame:
     """
     keys = ["fit", "start"]
     d2 = _distance([F.col(f"x{i}") for i in range(DIMENSIONS)])
-    near = rows.join(params, "fit").withColumn("bin", F.round(16 * F.log2(F.greatest(d2, F.lit(1e-6)))).cast("int"))
+    near = rows.join(_salted(params), ["fit", "salt"]).withColumn("bin", F.round(16 * F.log2(F.greatest(d2, F.lit(1e-6)))).cast("int"))
     bins = _moments(near, [*keys, "bin"])
     w = W.partitionBy(*keys)
     before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -173,9 +180,9 @@ def fit_outliers(stats: DataFrame) -> Outliers:
     lacking = F.col("n") < LEAST_ROWS
     rest = F.sum(F.when(lacking, F.col("n"))).over(W.partitionBy("lang"))
     fit = F.when(~lacking, _fit_key(F.col("lang"), F.col("source"))).when(rest >= LEAST_ROWS, F.concat(F.lit("rest "), F.to_json(F.struct("lang")))).otherwise("rest")
-    pairs = cut_lineage(counts.withColumn("fit", fit).select("lang", "source", "fit"))
+    pairs = cut_lineage(counts.withColumn("fit", fit).select("lang", "source", "fit").repartition(1))
     p = pairs.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "fit")
-    rows = usable.join(p, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))).select("fit", *(f"x{i}" for i in range(DIMENSIONS)))
+    rows = usable.join(p, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))).select("fit", F.pmod(F.xxhash64(*(f"x{i}" for i in range(DIMENSIONS))), F.lit(SALTS)).cast("int").alias("salt"), *(f"x{i}" for i in range(DIMENSIONS)))
     rows = cut_lineage(rows)
 
     keys = ["fit", "start"]
@@ -183,12 +190,12 @@ def fit_outliers(stats: DataFrame) -> Outliers:
     for _ in range(STEPS):
         params = cut_lineage(_inverted(_refined(rows, params), keys))
     best = params.groupBy("fit").agg(F.min(F.struct("logdet", "start", *MEANS, *PRECISION)).alias("best")).select("fit", "best.*")
-    best = cut_lineage(best)
+    best = cut_lineage(best.repartition(1))
     d2 = _distance([F.col(f"x{i}") for i in range(DIMENSIONS)])
-    middle = rows.join(best, "fit").groupBy("fit").agg(F.percentile_approx(d2, 0.5, 1000).alias("middle"))
+    middle = rows.join(_salted(best), ["fit", "salt"]).groupBy("fit").agg(F.percentile_approx(d2, 0.5, 1000).alias("middle"))
     scale = F.greatest(F.col("middle") / chi_square(DIMENSIONS, 0.5), F.lit(1.0))
     limits = best.join(middle, "fit").withColumn("limit", scale * chi_square(DIMENSIONS, TAIL))
-    return Outliers(cut_lineage(pairs.join(limits, "fit").select("lang", "source", *MEANS, *PRECISION, "limit")))
+    return Outliers(cut_lineage(pairs.join(limits, "fit").select("lang", "source", *MEANS, *PRECISION, "limit").repartition(1)))
 
 
 def assess(docs: DataFrame) -> DataFrame:
