@@ -20,7 +20,9 @@ from .common import spare
 END = "</w>"
 #: Words that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
-PAIR = 1 << 20
+PAIR, NONE, LONG = 1 << 20, 1 << 62, 200
+#: Text bytes encoded at once.
+BATCH = 2 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -30,6 +32,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare_code)) for b in range(256)]
 
 
+def token_names(spec: dict) -> pa.Array:
+    """Token strings by id."""
+    ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+    names = [""] * (max(ids.values()) + 1)
+    for name, i in ids.items():
+        names[i] = name
+    return pa.array(names)
+
+
 class Vocabulary:
     """A word-level BPE: lower case, words end in ``</w>``, bytes as symbols."""
 
@@ -41,17 +52,17 @@ class Vocabulary:
         self.pieces = regex.compile(pattern, regex.V0)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.symbols = byte_symbols()
-        size = max([*ids.values(), *self.special.values()]) + 1
-        self.names = [""] * size
-        for name, i in [*ids.items(), *self.special.items()]:
-            self.names[i] = name
+        self.names = token_names(spec).to_pylist()
         self.inner = {k: i for k, i in ids.items() if not k.endswith(END)}
         self.final = {k[: -len(END)]: i for k, i in ids.items() if k.endswith(END)}
         self.longest = max(map(len, [*self.inner, *self.final]))
+        self.reach: dict[str, int] = {}
+        for name in self.inner:
+            self.reach[name[:2]] = max(self.reach.get(name[:2], 1), len(name))
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a] * PAIR + ids[b]] = rank * PAIR + ids[a + b]
         self.good_pairs: dict[int, bool] = {}
         self.good_tokens: dict[int, bool] = {}
         self.forget()
@@ -72,34 +83,49 @@ class Vocabulary:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, the leftmost first, until none is left."""
-        n = len(ids)
+        if len(ids) > LONG:
+            return self.merge_long(ids)
+        ids, get = list(ids), self.merges.get
+        steps = [get(a * PAIR + b, NONE) for a, b in zip(ids, ids[1:])]
+        while steps and (best := min(steps)) != NONE:
+            i = steps.index(best)
+            ids[i] = best % PAIR
+            del ids[i + 1], steps[i]
+            if i:
+                steps[i - 1] = get(ids[i - 1] * PAIR + ids[i], NONE)
+            if i < len(steps):
+                steps[i] = get(ids[i] * PAIR + ids[i + 1], NONE)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, for words of many symbols."""
+        n, ids, get = len(ids), list(ids), self.merges.get
         following, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(step, i, ids[i], ids[i + 1]) for i in range(n - 1) if (step := get(ids[i] * PAIR + ids[i + 1])) is not None]
         heapify(heap)
-        ids = list(ids)
         while heap:
-            _, i, left, right, new = heappop(heap)
+            step, i, left, right = heappop(heap)
             j = following[i]
             if j < 0 or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], ids[j], following[i] = new, -1, following[j]
+            ids[i], ids[j], following[i] = step % PAIR, -1, following[j]
             if following[j] >= 0:
                 before[following[j]] = i
             for a, b in ((before[i], i), (i, following[i])):
-                if a >= 0 and b >= 0 and (m := self.merges.get((ids[a], ids[b]))):
-                    heappush(heap, (m[0], a, ids[a], ids[b], m[1]))
+                if a >= 0 and b >= 0 and (step := get(ids[a] * PAIR + ids[b])) is not None:
+                    heappush(heap, (step, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
     # --- speculation ---------------------------------------------------------
 
     def longest_match(self, word: str) -> list[int]:
-        found, at, n, inner, final = [], 0, len(word), self.inner, self.final
+        found, at, n, inner, final, reach = [], 0, len(word), self.inner, self.final, self.reach
         while at < n:
             token = final.get(word[at:]) if n - at <= self.longest else None
             if token is not None:
                 found.append(token)
                 break
-            for stop in range(min(n - 1, at + self.longest), at, -1):
+            for stop in range(min(n - 1, at + reach.get(word[at : at + 2], 1)), at, -1):
                 token = inner.get(word[at:stop])
                 if token is not None:
                     break
@@ -136,6 +162,8 @@ class Vocabulary:
 
     def compatible(self, pair: int) -> bool:
         if pair not in self.good_pairs:
+            if len(self.good_pairs) > REMEMBERED:
+                self.good_pairs.clear()
             a, b = divmod(pair, PAIR)
             self.good_pairs[pair] = self.merge(self.units(a) + self.units(b)) == [a, b]
         return self.good_pairs[pair]
@@ -189,7 +217,7 @@ class Vocabulary:
 _LOADED: dict[int, Vocabulary] = {}
 
 
-def _vocabulary(shared) -> Vocabulary:
+def _vocabulary(shared: "_Shared") -> Vocabulary:
     """The worker's vocabulary; built once per process."""
     if shared.id not in _LOADED:
         _LOADED.clear()
@@ -221,7 +249,7 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, BATCH):
             coded = vocabulary.encode(batch.column(text).to_pylist())
             kept = [n for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), coded], names=[*kept, out])
@@ -240,7 +268,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     out = spare(rows, "__bpe_decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(_vocabulary(shared).names)
+        names = token_names(json.loads(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
