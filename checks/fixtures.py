@@ -65,12 +65,16 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixel_count(spark, sf_dir)
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_partkey") % p).alias("pixel_id"), F.col("l_shipdate").cast("date").alias("day"))
+        .groupBy(F.floor((F.col("l_partkey") % p) / 5).alias("scene_id"), (F.col("l_partkey") % p).alias("pixel_id"), F.col("l_shipdate").cast("date").alias("day"))
         .agg(
             F.sum("l_quantity").alias("era5_tp"),
             (F.max("l_extendedprice") / 3517.31931).alias("era5_maxt"),
             (F.min("l_extendedprice") / 3517.31931).alias("era5_mint"),
             (F.avg("l_extendedprice") / 3517.31931).alias("era5_t"),
+            F.avg(F.col("l_tax") * 7.31937).alias("era5_sp"),
+            F.sum("l_discount").alias("era5_sr"),
+            F.avg(F.col("l_discount") * 3.71319).alias("era5_ap"),
+            F.avg(F.col("l_tax") * 11.09171).alias("era5_dp"),
         )
     )
 
@@ -116,22 +120,26 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A closed quadrilateral and a closed triangle per supplier, vertices off the cell centres."""
+    """A closed quadrilateral with a hole and a closed triangle per supplier, vertices off the cell centres, numbered in tens."""
     k = F.col("s_suppkey")
     m = grid_side(spark, sf_dir)
     side = 3 + k % 5
     ox, oy = (7 * k) % (m - 8) + F.lit(0.25), (11 * k) % (m - 8) + F.lit(0.25)
-    corners = {0: [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], 1: [(0, 0), (1, 0.3), (0.4, 1), (0, 0)]}
+    corners = {
+        (0, 0): [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)],
+        (0, 1): [(0.3, 0.3), (0.7, 0.3), (0.7, 0.7), (0.3, 0.7), (0.3, 0.3)],
+        (1, 0): [(0, 0), (1, 0.3), (0.4, 1), (0, 0)],
+    }
 
-    def vertices(shape: int):
+    def vertices(shape: int, ring: int):
         return F.array(
             *[
-                F.struct(F.lit(i).alias("seq"), (ox + shape * 2 + side * dx).alias("px"), (oy + shape + side * dy).alias("py"))
-                for i, (dx, dy) in enumerate(corners[shape])
+                F.struct(F.lit(10 * i).alias("seq"), (ox + shape * 2 + side * dx).alias("px"), (oy + shape + side * dy).alias("py"))
+                for i, (dx, dy) in enumerate(corners[shape, ring])
             ]
         )
 
-    both = F.array(*[F.struct((k * 2 + s).alias("poly_id"), F.lit(0).alias("ring_id"), vertices(s).alias("v")) for s in (0, 1)])
+    both = F.array(*[F.struct((k * 2 + s).alias("poly_id"), F.lit(r).alias("ring_id"), vertices(s, r).alias("v")) for s, r in corners])
     return (
         table(spark, sf_dir, "supplier")
         .select(F.inline(both))
@@ -166,9 +174,10 @@ class Sql:
       LEFT JOIN frames f ON f.pixel_id = p.pixel_id AND f.t = c.t)"""
 
     WEATHER = f"""weather AS (
-      SELECT l_partkey % {P} AS pixel_id, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS era5_tp,
-             max(l_extendedprice) / 3517.31931::DOUBLE AS era5_maxt, min(l_extendedprice) / 3517.31931::DOUBLE AS era5_mint, avg(l_extendedprice) / 3517.31931::DOUBLE AS era5_t
-      FROM lineitem GROUP BY 1, 2)"""
+      SELECT (l_partkey % {P}) // 5 AS scene_id, l_partkey % {P} AS pixel_id, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS era5_tp,
+             max(l_extendedprice) / 3517.31931::DOUBLE AS era5_maxt, min(l_extendedprice) / 3517.31931::DOUBLE AS era5_mint, avg(l_extendedprice) / 3517.31931::DOUBLE AS era5_t,
+             avg(l_tax * 7.31937::DOUBLE) AS era5_sp, sum(l_discount) AS era5_sr, avg(l_discount * 3.71319::DOUBLE) AS era5_ap, avg(l_tax * 11.09171::DOUBLE) AS era5_dp
+      FROM lineitem GROUP BY 1, 2, 3)"""
 
     STATIC_RAW = f"""static_raw AS (
       SELECT (p_partkey % {P}) // 5 AS scene_id, p_partkey % {P} AS pixel_id, p_partkey AS cell_id,
@@ -187,11 +196,12 @@ class Sql:
             FROM lineitem GROUP BY 1, 2, 3))"""
 
     POLYGONS = f"""polygons AS (
-      SELECT s_suppkey * 2 + s.shape AS poly_id, 0 AS ring_id, s.seq,
+      SELECT s_suppkey * 2 + s.shape AS poly_id, s.ring AS ring_id, 10 * s.seq AS seq,
              (7 * s_suppkey) % ({M} - 8) + 0.25::DOUBLE + s.shape * 2 + (3 + s_suppkey % 5) * s.dx AS px,
              (11 * s_suppkey) % ({M} - 8) + 0.25::DOUBLE + s.shape + (3 + s_suppkey % 5) * s.dy AS py
-      FROM supplier CROSS JOIN (VALUES (0, 0, 0.0::DOUBLE, 0.0::DOUBLE), (0, 1, 1, 0), (0, 2, 1, 1), (0, 3, 0, 1), (0, 4, 0, 0),
-        (1, 0, 0, 0), (1, 1, 1, 0.3), (1, 2, 0.4, 1), (1, 3, 0, 0)) s(shape, seq, dx, dy))"""
+      FROM supplier CROSS JOIN (VALUES (0, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE), (0, 0, 1, 1, 0), (0, 0, 2, 1, 1), (0, 0, 3, 0, 1), (0, 0, 4, 0, 0),
+        (0, 1, 0, 0.3, 0.3), (0, 1, 1, 0.7, 0.3), (0, 1, 2, 0.7, 0.7), (0, 1, 3, 0.3, 0.7), (0, 1, 4, 0.3, 0.3),
+        (1, 0, 0, 0, 0), (1, 0, 1, 1, 0.3), (1, 0, 2, 0.4, 1), (1, 0, 3, 0, 0)) s(shape, ring, seq, dx, dy))"""
 
 
 def sql(*parts: str, body: str, recursive: bool = False) -> str:

@@ -142,18 +142,21 @@ def dense_tiles(cells: DataFrame, radius: int, size: int = TILE) -> DataFrame:
 def box_statistics(cells: DataFrame, filter_x: int, filter_y: int, size: int = TILE) -> DataFrame:
     """Count, mean, standard deviation, min and max of ``z`` in a box around each cell.
 
-    The box is separable: first along the row, then along the column.
+    The box is separable: first along the row, then along the column. Heights count
+    from the tile's lowest, so that squares of high, flat ground do not cancel.
     """
     if filter_x % 2 == 0 or filter_y % 2 == 0:
         raise ValueError("filter sizes must be odd")
     rx, ry = filter_x // 2, filter_y // 2
     along = Window.partitionBy("tr", "tc", "row").orderBy("col").rowsBetween(-rx, rx)
     across = Window.partitionBy("tr", "tc", "col").orderBy("row").rowsBetween(-ry, ry)
-    rows = dense_tiles(cells, max(rx, ry), size).withColumns(
+    tiles = dense_tiles(cells, max(rx, ry), size).withColumn("__base", F.min("z").over(Window.partitionBy("tr", "tc")))
+    above = F.col("z") - F.col("__base")
+    rows = tiles.withColumns(
         {
             "__n": F.count("z").over(along),
-            "__s": F.sum("z").over(along),
-            "__q": F.sum(F.col("z") * F.col("z")).over(along),
+            "__s": F.sum(above).over(along),
+            "__q": F.sum(above * above).over(along),
             "__lo": F.min("z").over(along),
             "__hi": F.max("z").over(along),
         }
@@ -169,7 +172,7 @@ def box_statistics(cells: DataFrame, filter_x: int, filter_y: int, size: int = T
     ).filter(F.col("z").isNotNull() & in_core(size))
     mean = F.col("__sum") / F.col("n")
     variance = F.greatest(F.col("__sq") / F.col("n") - mean * mean, F.lit(0.0))
-    return box.select("row", "col", "z", "n", mean.alias("mean"), F.sqrt(variance).alias("sd"), "z_min", "z_max")
+    return box.select("row", "col", "z", "n", (F.col("__base") + mean).alias("mean"), F.sqrt(variance).alias("sd"), "z_min", "z_max")
 
 
 def fill_nodata(cells: DataFrame, max_distance: int = 10, size: int = TILE) -> DataFrame:
@@ -367,19 +370,14 @@ def burn_polygons(vertices: DataFrame, meta: GridMeta) -> DataFrame:
     """Cells of the grid whose centre lies inside a polygon (even-odd rule over its rings).
 
     ``vertices(poly_id, ring_id, seq, px, py)`` with closed rings: the last
-    vertex repeats the first.  Works scan line by scan line: edges are cut with
+    vertex repeats the first; ``seq`` gives the order and may have gaps.  Works scan line by scan line: edges are cut with
     the row centres they span and the crossings are paired, so no cell is ever
     compared with a polygon.  Whatever lies outside the grid is clipped.
     """
-    ends = F.array(
-        F.struct("seq", F.col("px").alias("x0"), F.col("py").alias("y0"), F.lit(None).cast("double").alias("x1"), F.lit(None).cast("double").alias("y1")),
-        F.struct((F.col("seq") - 1).alias("seq"), F.lit(None).cast("double").alias("x0"), F.lit(None).cast("double").alias("y0"), F.col("px").alias("x1"), F.col("py").alias("y1")),
-    )
+    ring = Window.partitionBy("poly_id", "ring_id").orderBy("seq")
     edges = (
-        vertices.select("poly_id", "ring_id", F.inline(ends))
-        .groupBy("poly_id", "ring_id", "seq")
-        .agg(*[F.max(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
-        .filter(F.col("x0").isNotNull() & F.col("x1").isNotNull() & (F.col("y0") != F.col("y1")))
+        vertices.select("poly_id", F.col("px").alias("x0"), F.col("py").alias("y0"), F.lead("px").over(ring).alias("x1"), F.lead("py").over(ring).alias("y1"))
+        .filter(F.col("x1").isNotNull() & (F.col("y0") != F.col("y1")))
     )
     lo, hi = F.least("y0", "y1"), F.greatest("y0", "y1")  # half open: lo <= centre < hi
     first = F.greatest(F.lit(0), F.floor((F.lit(meta.uly) - hi) / meta.dy - 0.5).cast("int") + 1)
@@ -411,15 +409,12 @@ def burn_mask(vertices: DataFrame, cells: DataFrame, meta: GridMeta, out: str =
 
 # --- static layers on pixels ---------------------------------------------------
 
-MAX_TILES = 100_000  # 16 bytes each: a tile list this long is safe to broadcast
-
-
 def overlay(pixels: DataFrame, layers: DataFrame, meta: GridMeta, bands: Sequence[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Nearest layer values on pixel centres; all layers of a grid share one join.
 
     Pixels outside the layers, and nodata cells, get missing values.  Scenes
-    cover little of a country-wide layer: when the tiles they touch are few
-    (counted first), the layer is cut to these tiles before it is shuffled.
+    cover little of a country-wide layer, so the layer is cut to the tiles they
+    touch before it is shuffled by cell.
     """
     placed = pixels.withColumns(
         {"__c": cell_index(lon, meta.ulx, meta.dx), "__r": F.floor((F.lit(meta.uly) - F.col(lat)) / meta.dy).cast("bigint")}
@@ -430,7 +425,6 @@ def overlay(pixels: DataFrame, layers: DataFrame, meta: GridMeta, bands: Sequenc
         return F.floor(F.col(c) / TILE).alias(f"{c}_tile")
 
     touched = placed.select(tile("__r"), tile("__c")).distinct()
-    if touched.limit(MAX_TILES + 1).count() <= MAX_TILES:
-        tiled_source = source.withColumns({"__r_tile": tile("__r"), "__c_tile": tile("__c")})
-        source = tiled_source.join(F.broadcast(touched), ["__r_tile", "__c_tile"], "left_semi").drop("__r_tile", "__c_tile")
+    tiled_source = source.withColumns({"__r_tile": tile("__r"), "__c_tile": tile("__c")})
+    source = tiled_source.join(touched, ["__r_tile", "__c_tile"], "left_semi").drop("__r_tile", "__c_tile")
     return placed.join(source, ["__r", "__c"], "left").drop("__r", "__c")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import forecast_date, in_bbox, in_time_range, seeded_order
 from .series import PIXEL
-from .topk import first_n
+from .topk import first_n, one_per_key
 
 
 def _baseline_report(per_sample: DataFrame) -> DataFrame:
@@ -45,11 +45,14 @@ def sliding_baseline_scores(series: DataFrame, value: str, context: int, target:
     """Same scores for all sliding windows of dense, filled series, without building the windows.
 
     Running sums of ``v`` and ``v^2`` give every window's moments from four
-    rows, so the work is per frame and not per frame and window.
+    rows, so the work is per frame and not per frame and window. Values count from
+    the mean of their series, which leaves the errors as they are and keeps the sums
+    of squares from cancelling.
     """
     order = Window.partitionBy(*keys).orderBy("t")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col(value)
+    series = series.withColumn("__centred", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
+    v = F.col("__centred")
     sums = series.select(*keys, "t", v.alias("__v"), F.sum(v).over(upto).alias("__s"), F.sum(v * v).over(upto).alias("__q"), F.max("t").over(Window.partitionBy(*keys)).alias("__end"))
 
     def between(c: str, first: int, last: int) -> Column:
@@ -67,7 +70,7 @@ def sliding_baseline_scores(series: DataFrame, value: str, context: int, target:
 
     def mse(guess: str) -> Column:
         g = F.col(guess)
-        return (F.col("q") - 2 * g * F.col("s") + target * g * g) / target
+        return F.greatest((F.col("q") - 2 * g * F.col("s") + target * g * g) / target, F.lit(0.0))
 
     return _baseline_report(windows.select(mse("mean").alias("se_mean"), mse("last").alias("se_last")))
 
@@ -113,8 +116,8 @@ def rmse(pairs: DataFrame, by: Sequence[str] = (), pred: str = "pred", truth: st
 
 
 def merge_scores(parts: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """One row per sample from the scores of several workers."""
-    return parts.dropDuplicates([sample])
+    """One row per sample from the scores of several workers: of several, the one with the smallest values."""
+    return one_per_key(parts, [sample])
 
 
 def prediction_report(

@@ -26,15 +26,17 @@ def densify(frames: DataFrame, n_frames: int, keys: Sequence[str] = PIXEL, bands
 
     Each row also emits the absent frames between it and the next row (the
     first row those before it), so one window replaces a calendar join.
-    ``carry`` columns are constant per pixel and are repeated.
+    ``carry`` columns are constant per pixel and are repeated. A frame outside
+    the calendar and a second row for a frame are errors.
     """
     w = Window.partitionBy(*keys).orderBy("t")
     lo = F.when(F.lag("t").over(w).isNull(), F.lit(0)).otherwise(F.col("t"))
     hi = F.greatest(F.coalesce(F.lead("t").over(w) - 1, F.lit(n_frames - 1)), F.col("t"))
+    outside = F.raise_error(F.concat(F.lit(f"frame outside 0..{n_frames - 1}: "), F.coalesce(F.col("t").cast("string"), F.lit("none")))).cast("int")
+    twice = F.raise_error(F.concat(F.lit("two rows of one pixel for frame "), F.col("t").cast("string"))).cast("int")
     rows = (
-        frames.filter(F.col("t").between(0, n_frames - 1))
-        .select(*keys, *carry, F.col("t").cast("int").alias("t"), *bands)
-        .withColumns({"__lo": lo, "__hi": hi})
+        frames.select(*keys, *carry, F.when(F.col("t").between(0, n_frames - 1), F.col("t").cast("int")).otherwise(outside).alias("t"), *bands)
+        .withColumns({"__lo": F.when(F.lag("t").over(w) == F.col("t"), twice).otherwise(lo), "__hi": hi})
         .withColumn("__t", F.explode(F.sequence("__lo", "__hi")))
     )
     here = F.col("__t") == F.col("t")
@@ -79,9 +81,17 @@ def fill_by_index(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIX
 
 
 def fill_by_time(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL, ts: str = "ts") -> DataFrame:
-    """Linear in time; values before the first and after the last known one stay missing."""
-    is_date = df.schema[ts].dataType.typeName() == "date"
-    x = F.unix_date(ts) if is_date else F.unix_micros(F.col(ts).cast("timestamp"))
+    """Linear in time; values before the first and after the last known one stay missing.
+
+    Zone-free time stamps count without a zone: no hour is lost or gained at a clock change.
+    """
+    kind = df.schema[ts].dataType.typeName()
+    if kind == "date":
+        x = F.unix_date(ts)
+    elif kind == "timestamp_ntz":
+        x = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    else:
+        x = F.unix_micros(ts)
     x = x.cast("double")
     return _interpolate(df, bands, x, keys, hold_ends=False)
 
@@ -129,6 +139,6 @@ def flag_usable(df: DataFrame, value: str, max_gap: int, keys: Sequence[str] = P
 
 
 def change(df: DataFrame, value: str, out: str = "change", keys: Sequence[str] = PIXEL, order: str = "t") -> DataFrame:
-    """``(v[t] - v[t-1] + 1) / 2``; missing on the first frame."""
-    previous = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
+    """``(v[t] - v[t-1] + 1) / 2``; missing where frame ``t - 1`` is, too."""
+    previous = F.first(value).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(-1, -1))
     return df.withColumn(out, (F.col(value) - previous + 1) / 2)

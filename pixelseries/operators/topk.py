@@ -26,6 +26,14 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return whole.drop("__rn", "__salt", *names)
 
 
+def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key, that with the smallest other values: the same whatever the order of the rows."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__rest")).select(*[c if c in key else F.col(f"__rest.{c}").alias(c) for c in df.columns])
+
+
 def first_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows overall; for report-sized ``n`` (a per-task heap, then one merge)."""
     return df.orderBy(*order).limit(n)

@@ -21,7 +21,7 @@ def match_to_frames(
     readings: DataFrame,
     frames: DataFrame,
     variables: Mapping[str, str],
-    keys: Sequence[str] = ("pixel_id",),
+    keys: Sequence[str] = PIXEL,
     reading_time: str = "day",
     frame_time: str = "ts",
 ) -> DataFrame:
@@ -57,12 +57,37 @@ def match_to_frames(
     return merged.select(*keys, frame_time, *[result(v, how).alias(v) for v, how in variables.items()])
 
 
+def frame_variables(columns: Sequence[str], prefix: str = "era5_") -> dict[str, str]:
+    """How each weather column of a table is reduced to one value per frame."""
+    found = {c: WEATHER_AGGREGATES.get(c.removeprefix(prefix)) for c in columns if c.startswith(prefix)}
+    unknown = [c for c, how in found.items() if how is None]
+    if unknown:
+        raise ValueError(f"no aggregate known for {', '.join(unknown)}")
+    return found
+
+
+def match_to_calendar(
+    readings: DataFrame, day0: str, cadence_days: int, n_frames: int, variables: Mapping[str, str], keys: Sequence[str] = PIXEL, reading_time: str = "day"
+) -> DataFrame:
+    """The same on a regular calendar, frame ``t`` being day0 + t * cadence: ``(keys..., t, variables...)``.
+
+    The frame of a reading is arithmetic on its date, so this is one grouping, and a
+    frame without an image has its own weather. Readings up to day0 belong to frame
+    0, readings after the last frame to none.
+    """
+    days = F.datediff(F.col(reading_time).cast("date"), F.lit(day0).cast("date"))
+    t = F.greatest(F.ceil(days / cadence_days), F.lit(0)).cast("int")
+    how = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
+    placed = readings.withColumn("t", t).filter(F.col("t") < n_frames)
+    return placed.groupBy(*keys, "t").agg(*[how[h](v).alias(v) for v, h in variables.items()])
+
+
 def lead_weather(df: DataFrame, variables: Sequence[str], shift: int, keys: Sequence[str] = PIXEL) -> DataFrame:
-    """Give each frame the weather of ``shift`` frames later; expects dense frames."""
+    """Give each frame the weather of frame ``t + shift``; missing where there is no such frame."""
     if shift == 0:
         return df
-    w = Window.partitionBy(*keys).orderBy("t")
-    return df.withColumns({v: F.lead(v, shift).over(w) for v in variables})
+    later = Window.partitionBy(*keys).orderBy("t").rangeBetween(shift, shift)
+    return df.withColumns({v: F.first(v).over(later) for v in variables})
 
 
 def best_orbit_phase(frames: DataFrame, value: str, scene: str = "scene_id", day: str = "day", cadence: int = 5) -> DataFrame:

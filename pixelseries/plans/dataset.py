@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bands import HELPER_BANDS, KEY_COLUMNS, bands_with_prefix, static_bands
+from ..functions.bands import HELPER_BANDS, KEY_COLUMNS, add_ndvi, bands_with_prefix, static_bands
 from ..functions.columns import eligible_pixel
+from ..functions.keys import make_key
 from ..operators.clean import clean_series, fill_static
 from ..operators.sampling import draw_pixels
 from ..operators.series import PIXEL, densify, fill_by_time
 from ..operators.stats import band_stats
-from ..operators.weather import lead_weather
+from ..operators.weather import frame_variables, lead_weather, match_to_calendar
 from ..operators.windows import cut_windows, pack_series, season_starts, sliding_starts
 from ..session import cut_lineage
 from ..sources import store
@@ -37,11 +38,14 @@ class DatasetConfig:
     pixels_per_scene: int | None = 100
     seed: int = 0
     cadence_days: int = 5
+    width: int = 128
+    height: int = 128
     compat: bool = False
 
 
 @dataclass(frozen=True)
 class Dataset:
+    raw: DataFrame
     frames: DataFrame
     static: DataFrame
     stats: DataFrame
@@ -50,16 +54,20 @@ class Dataset:
 
 
 def prepare_frames(frames: DataFrame, weather: DataFrame, config: DatasetConfig, day0: str) -> DataFrame:
-    """Dense frames with cleaned satellite bands and gap-free weather."""
-    joined = frames.join(weather, ["pixel_id", "ts"], "left")
-    satellite, era5 = bands_with_prefix(joined, "s2"), bands_with_prefix(joined, "era5")
-    dense = densify(joined, config.n_frames, bands=satellite + era5)
+    """Dense frames with cleaned satellite bands and gap-free weather.
+
+    The calendar comes first: every frame has the weather since the one before it,
+    whether there is an image or not.
+    """
+    dense = densify(frames, config.n_frames, bands=bands_with_prefix(frames, "s2"))
     dense = dense.withColumn("ts", F.date_add(F.lit(day0).cast("date"), F.col("t") * config.cadence_days))
     if config.max_gap is None:
         cleaned = dense.withColumn("to_sample", F.lit(1))
     else:
         cleaned = clean_series(dense, config.max_gap, config.remove_pct, config.loess_frac)
-    return fill_by_time(cleaned, era5)
+    variables = frame_variables(weather.columns)
+    matched = match_to_calendar(weather, day0, config.cadence_days, config.n_frames, variables)
+    return fill_by_time(cleaned.join(matched, [*PIXEL, "t"], "left"), list(variables))
 
 
 def eligible_pixels(frames: DataFrame, static: DataFrame, config: DatasetConfig) -> DataFrame:
@@ -89,30 +97,49 @@ def cut_samples(frames: DataFrame, static: DataFrame, bands: list[str], config:
         packed, starts = packed.join(drawn, list(PIXEL)), F.col("starts")
     cut = cut_windows(packed, starts, config.context, config.target)
     layers = static.drop(*HELPER_BANDS)
-    return cut.drop("starts").join(layers, list(PIXEL))
+    return named(cut.drop("starts").join(layers, list(PIXEL)), config)
+
+
+def named(samples: DataFrame, config: DatasetConfig) -> DataFrame:
+    """Add the first and last date, and the name where the place is known."""
+    found = samples.withColumns({"start": F.col("context")[0]["ts"], "end": F.element_at("target", -1)["ts"]})
+    if not {"lon", "lat"} <= set(samples.columns):
+        return found
+    return found.withColumn("sample_id", make_key("start", "end", "lon", "lat", F.lit(config.width), F.lit(config.height), config.shift))
 
 
 def build_dataset(frames: DataFrame, static: DataFrame, weather: DataFrame, config: DatasetConfig, day0: str) -> Dataset:
     """Clean all scenes at once and cut their samples.
 
     ``frames(scene_id, pixel_id, t, ts, s2_*)``, ``static(scene_id, pixel_id,
-    <layers>, FOREST_MASK, DROUGHT_MASK)``, ``weather(pixel_id, ts, era5_*)``.
-    The cleaned frames feed three consumers and are checkpointed once.
+    <layers>, FOREST_MASK, DROUGHT_MASK)``, with ``lon, lat`` for samples with a
+    name, and readings ``weather(scene_id, pixel_id, day, era5_*)``. The vegetation
+    index is added if it is missing. The cleaned frames feed three consumers and are
+    checkpointed once, when this is called.
     """
+    if "s2_ndvi" not in frames.columns:
+        frames = add_ndvi(frames)
     prepared = cut_lineage(prepare_frames(frames, weather, config, day0))
     layers = [b for b in static_bands(static) if b not in HELPER_BANDS]
     filled = fill_static(static, layers)
     bands = [b for b in bands_with_prefix(prepared, "s2") if b not in HELPER_BANDS] + bands_with_prefix(prepared, "era5")
     stats = band_stats(prepared, bands).unionByName(band_stats(filled, layers))
-    return Dataset(prepared, filled, stats, cut_samples(prepared, filled, bands, config), bands)
+    return Dataset(frames, prepared, filled, stats, cut_samples(prepared, filled, bands, config), bands)
 
 
 def write_dataset(dataset: Dataset, root: str, split: str) -> None:
-    """Cleaned cubes, statistics (training splits only) and samples."""
-    keys = [k for k in KEY_COLUMNS if k in dataset.samples.columns] + ["start_t"]
+    """Raw and cleaned cubes, statistics (training splits only) and samples.
+
+    Samples keep their dates and place, and the name if they have one, so that the
+    stored ones can be split, reported and matched with predictions.
+    """
+    identity = [k for k in ("sample_id", "start", "end") if k in dataset.samples.columns]
+    keys = [k for k in KEY_COLUMNS if k in dataset.samples.columns] + ["start_t", *identity]
+    store.write_cubes(dataset.raw, f"{root}/cubes", split, raw=True)
     store.write_cubes(dataset.frames, f"{root}/cubes", split, raw=False)
     if "train" in split:
         store.write_stats(dataset.stats.withColumn("split", F.lit(split)), f"{root}/stats")
-    layers = [c for c in static_bands(dataset.static) if c in dataset.samples.columns]
+    layers = [c for c in static_bands(dataset.static) if c in dataset.samples.columns and c not in keys]
     packed = store.pack_samples(dataset.samples, dataset.bands, keys + layers)
-    store.write_samples(packed.withColumn("split", F.lit(split)), f"{root}/samples")
+    name = ["sample_id"] if "sample_id" in keys else ["pixel_id", "start_t"]
+    store.write_samples(packed.withColumn("split", F.lit(split)), f"{root}/samples", name)

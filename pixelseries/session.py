@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a scratch folder only in local mode."""
+    """Use the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset a single process (tests, a laptop) takes a scratch folder
+    that goes with it; a cluster is told to set one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
@@ -17,7 +23,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pixelseries-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="pixelseries-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 

@@ -5,52 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bands a data set is made of, in sample order.
+# Band names, and the order of the satellite and weather bands in a sample.
 SATELLITE_BANDS = ("B02", "B03", "B04", "B08", "B8A")
 WEATHER_VARIABLES = ("sp", "tp", "sr", "t", "maxt", "mint", "ap", "dp")
-SOIL_DEPTHS_CM = ("0_5", "100_200", "15_30", "30_60", "5_15", "60_100")
+SOIL_DEPTHS_CM = ("0_5", "5_15", "15_30", "30_60", "60_100", "100_200")
 SOIL_FAMILIES = {
-    "CLAY": "Clay content [%]",
-    "FED": "Fine earth density [g/cm3]",
-    "GRAV": "Gravel content [%]",
-    "SAND": "Sand content [%]",
-    "CARB": "Organic carbon content [g/kg]",
-    "PH": "pH",
+    "CLAY": "share of clay in percent",
+    "FED": "density of the fine earth in g/cm3",
+    "GRAV": "share of gravel in percent",
+    "SAND": "share of sand in percent",
+    "CARB": "organic carbon in g/kg",
+    "PH": "acidity (pH)",
 }
 TERRAIN_FAMILIES = {
-    "slope": "Slope [degrees]",
-    "easting": "Easting",
-    "northing": "Northing",
-    "rugg": "Ruggedness",
-    "curv": "Mean curvature",
-    "twi": "Topographic wetness index",
+    "slope": "steepness in degrees",
+    "easting": "how far the slope faces east",
+    "northing": "how far the slope faces north",
+    "rugg": "height differences to the neighbours",
+    "curv": "mean of plan and profile curvature",
+    "twi": "wetness by upslope area and steepness",
 }
 OTHER_LAYERS = {
-    "NDVI": "Normalized Difference Vegetation Index",
-    "NDWI": "Normalized Difference Water Index",
-    "FC": "Forest composition",
-    "FH": "Vegetation height in meters",
-    "SDEP": "Soil depth [cm]",
-    "FOREST_MASK": "Binary forest mask",
-    "DROUGHT_MASK": "Occurence of drought event in pixel",
+    "NDVI": "vegetation index from red and near infrared",
+    "NDWI": "water index from green and near infrared",
+    "FC": "mix of tree species",
+    "FH": "height of the vegetation in metres",
+    "SDEP": "depth of the soil in cm",
+    "FOREST_MASK": "1 where forest grows",
+    "DROUGHT_MASK": "1 where a drought was recorded",
 }
-RESOLUTIONS_M = ("", "_100", "_500")
+INDEXES = ("NDVI", "NDWI")
+RESOLUTIONS_M = (20, 100, 500)
+
+
+def band_rows() -> list[tuple[str, str, str]]:
+    """``band, description, source`` in order; soil and terrain names follow a rule."""
+    found = [(f"{f}{d}", f"{text}, {d.replace('_', ' to ')} cm deep", "soil maps") for f, text in SOIL_FAMILIES.items() for d in SOIL_DEPTHS_CM]
+    for metres in RESOLUTIONS_M:
+        suffix, at = "" if metres == 20 else f"_{metres}", f"on cells of {metres} m"
+        found.append((f"DEM{suffix}", f"height above sea level {at}", "elevation model"))
+        found += [(f"{f}{suffix}", f"{text} {at}", "elevation model") for f, text in TERRAIN_FAMILIES.items()]
+    source = {"FC": "vegetation maps", "FH": "vegetation maps", "SDEP": "soil maps"}
+    return found + [(b, text, "satellite" if b in INDEXES else source.get(b, "labels")) for b, text in OTHER_LAYERS.items()]
 
 
 def band_descriptions() -> dict[str, str]:
-    """Band name -> description; soil and terrain names follow a rule."""
-    found = {f"{f}{d}": f"{text} {d.replace('_', '-')} cm" for f, text in SOIL_FAMILIES.items() for d in SOIL_DEPTHS_CM}
-    for suffix in RESOLUTIONS_M:
-        at = f"({suffix[1:] or '20'}m resolution)"
-        found[f"DEM{suffix}"] = f"Digital elevation model {at}"
-        found.update({f"{f}{suffix}": f"{text} {at}" for f, text in TERRAIN_FAMILIES.items()})
-    return found | OTHER_LAYERS
+    return {band: text for band, text, _ in band_rows()}
 
 
 def band_dictionary(spark: SparkSession) -> DataFrame:
-    """``band, description, provider, interpolation``: about 65 rows, safe to broadcast."""
-    rows = [(band, text, "Sentinel 2" if band in ("NDVI", "NDWI") else "Local data") for band, text in band_descriptions().items()]
-    return with_interpolation(spark.createDataFrame(rows, "band string, description string, provider string"))
+    """``ord, band, description, source, provider, interpolation``: a fixed list of about 65 rows, safe to broadcast."""
+    rows = [F.struct(F.lit(i).alias("ord"), *(F.lit(v).alias(n) for n, v in zip(("band", "description", "source"), row))) for i, row in enumerate(band_rows())]
+    provider = F.when(F.col("source") == "satellite", "Sentinel 2").otherwise("Local data")
+    return with_interpolation(spark.range(1).select(F.inline(F.array(*rows))).withColumn("provider", provider))
 
 
 def with_interpolation(bands: DataFrame) -> DataFrame:

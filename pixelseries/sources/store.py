@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import band_matrix
+from ..operators.topk import one_per_key
+from ..session import cut_lineage
 
 
 def _write(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -26,6 +27,12 @@ def _write(df: DataFrame, path: str, by: Sequence[str]) -> None:
     )
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether the folder exists, in whatever file system the path names."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def write_cubes(frames: DataFrame, path: str, split: str, raw: bool) -> None:
     """Frames of whole scenes, ``raw`` or cleaned."""
     tagged = frames.withColumns({"split": F.lit(split), "stage": F.lit("raw" if raw else "clean")})
@@ -76,8 +83,8 @@ def to_build(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
-    """Band statistics per scene, by ``split``."""
-    _write(stats, path, ["split"])
+    """Band statistics by ``split`` and scene; a scene written again replaces the old one, others stay."""
+    _write(stats, path, ["split", "scene_id"])
 
 
 def pack_samples(samples: DataFrame, bands: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -85,19 +92,31 @@ def pack_samples(samples: DataFrame, bands: Sequence[str], keys: Sequence[str])
     return samples.select(*keys, band_matrix("context", bands).alias("context"), band_matrix("target", bands).alias("target"))
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    """Packed samples by ``split`` and scene; a scene written again replaces the old one."""
-    _write(samples, path, ["split", "scene_id"])
+def write_samples(samples: DataFrame, path: str, key: Sequence[str] = ("sample_id",)) -> None:
+    """Packed samples by ``split`` and scene; a sample of the same name replaces the old one, others stay.
+
+    Stored samples of the scenes that are written now are read back without the
+    replaced names and written again with the new ones.
+    """
+    by = ["split", "scene_id"]
+    if is_stored(samples.sparkSession, path):
+        scenes = samples.select(*by).distinct()
+        old = samples.sparkSession.read.schema(samples.schema).parquet(path)
+        kept = old.join(scenes, by, "left_semi").join(samples.select(*by, *key), [*by, *key], "left_anti")
+        samples = cut_lineage(kept.select(samples.columns).unionByName(samples))
+    _write(samples, path, by)
 
 
 def write_predictions(predictions: DataFrame, path: str, key: Sequence[str] = ("sample_id", "step")) -> None:
-    """Append the predictions whose key is not stored yet: the first write wins."""
+    """Append the predictions whose key is not stored yet: the first write wins.
+
+    Of several rows of one batch with the same key the one with the smallest other
+    values is taken.
+    """
     spark = predictions.sparkSession
-    try:
-        existing = spark.read.parquet(path).select(*key)
-    except AnalysisException:
-        existing = None
-    new = predictions if existing is None else predictions.join(existing, list(key), "left_anti")
+    new = one_per_key(predictions, key)
+    if is_stored(spark, path):
+        new = new.join(spark.read.schema(predictions.schema).parquet(path).select(*key), list(key), "left_anti")
     new.write.mode("append").parquet(path)
 
 

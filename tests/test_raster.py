@@ -182,6 +182,18 @@ def test_burn_polygons_with_hole_edges_on_centres_and_clipping(spark):
     assert mask.count() == 120 and mask.agg(F.sum("mask")).first()[0] == len(want)
 
 
+def test_burn_with_gaps_in_the_numbering(spark):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    vertices = spark.createDataFrame([(1, 0, 10 * i, x, y) for i, (x, y) in enumerate(ring)], "poly_id int, ring_id int, seq int, px double, py double")
+    assert raster.burn_polygons(vertices, raster.GridMeta(0.0, 8.0, 1.0, 1.0, 8, 8)).count() == 16
+
+
+def test_deviation_of_high_flat_ground(spark):
+    cells = spark.range(100).select((F.col("id") % 10).cast("int").alias("row"), F.floor(F.col("id") / 10).cast("int").alias("col"), (F.lit(4e8) + F.col("id") % 2).alias("z"))
+    found = raster.box_statistics(cells, 11, 11).filter("row = 5 and col = 5").first()
+    assert found.n == 100 and found.mean == pytest.approx(4e8 + 0.5, abs=1e-6) and found.sd == pytest.approx(0.5, abs=1e-9)
+
+
 def test_overlay_leaves_pixels_outside_missing(spark):
     layers = cells(spark, [[1.0, -9999.0], [3.0, 4.0]]).withColumnRenamed("z", "DEM")
     pixels = spark.createDataFrame([(0, 0.5, 1.5), (1, 1.5, 1.5), (2, 1.2, 0.1), (3, 9.0, 0.5)], "pixel_id int, lon double, lat double")

@@ -25,6 +25,14 @@ def test_errors(spark):
 def test_merge_scores(spark):
     parts = scores.sample_errors(pairs(spark))
     assert scores.merge_scores(parts.unionByName(parts)).count() == 3
+    doubled = scores.merge_scores(parts.unionByName(parts.withColumn(parts.columns[-1], F.col(parts.columns[-1]) + 1)))
+    assert sorted(map(tuple, doubled.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_sliding_scores_of_constant_series(spark):
+    rows = [(0, p, t, v) for p, v in ((0, 0.3), (1, 0.7)) for t in range(200)]
+    found = scores.sliding_baseline_scores(spark.createDataFrame(rows, "scene_id int, pixel_id int, t int, v double"), "v", 54, 18).first()
+    assert found.mse_mean == found.rmse_mean == found.rmse_persistence == 0.0
 
 
 def test_stats_and_normalisation(spark):

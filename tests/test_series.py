@@ -62,12 +62,18 @@ def test_densify(spark):
     found = series.densify(df, 6, bands=["v"])
     assert values_of(found) == [N, 1.0, N, N, 4.0, N]
     assert [r.t for r in found.orderBy("t").collect()] == list(range(6))
+    with pytest.raises(Exception, match="frame outside 0..3"):
+        series.densify(df, 4, bands=["v"]).collect()
+    with pytest.raises(Exception, match="two rows of one pixel"):
+        series.densify(df.unionByName(df), 6, bands=["v"]).collect()
 
 
 def test_frame_index_and_change(spark):
     found = series.frame_index(frames(spark, [1.0, 3.0, 2.0]).filter("t <> 1"))
     assert sorted((r.t, r.ts) for r in found.collect()) == [(0, DAY), (1, DAY + datetime.timedelta(days=10))]
     assert values_of(series.change(frames(spark, [1.0, 3.0, 2.0]), "v"), "change") == [N, 1.5, 0.0]
+    gappy = frames(spark, [1.0, 3.0, 2.0, 4.0]).filter("t <> 1")
+    assert values_of(series.change(gappy, "v"), "change") == [N, N, 1.5]
 
 
 def test_drop_low_values_keeps_the_quantile_and_pools_years(spark):
@@ -155,7 +161,7 @@ def test_weather_goes_to_the_next_frame(spark):
     f = spark.createDataFrame([(1, DAY), (1, DAY + datetime.timedelta(days=3)), (1, DAY + datetime.timedelta(days=9))], "pixel_id int, ts date")
     days = [(-2, 1.0), (0, 2.0), (1, 4.0), (3, 8.0), (3, 9.0), (10, 99.0)]
     w = spark.createDataFrame([(1, DAY + datetime.timedelta(days=d), v) for d, v in days], "pixel_id int, day date, v double").withColumn("m", F.col("v"))
-    found = {(r.ts - DAY).days: (r.v, r.m) for r in weather.match_to_frames(w, f, {"v": "sum", "m": "mean"}).collect()}
+    found = {(r.ts - DAY).days: (r.v, r.m) for r in weather.match_to_frames(w, f, {"v": "sum", "m": "mean"}, keys=["pixel_id"]).collect()}
     assert found == {0: (3.0, 1.5), 3: (21.0, 7.0), 9: (N, N)}
 
 
@@ -163,6 +169,32 @@ def test_lead_weather(spark):
     df = frames(spark, [1.0, 2.0, 3.0, 4.0])
     assert values_of(weather.lead_weather(df, ["v"], 2)) == [3.0, 4.0, N, N]
     assert values_of(weather.lead_weather(df, ["v"], 0)) == [1.0, 2.0, 3.0, 4.0]
+    assert values_of(weather.lead_weather(df.filter("t <> 2"), ["v"], 2)) == [N, 4.0, N]
+
+
+def test_calendar_weather_is_that_of_its_frames(spark):
+    days = spark.range(23).select(F.lit(1).alias("scene_id"), F.lit(1).alias("pixel_id"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("day"), F.col("id").cast("double").alias("era5_tp"))
+    days = days.withColumn("era5_t", F.col("era5_tp"))
+    calendar = spark.range(5).select(F.lit(1).alias("scene_id"), F.lit(1).alias("pixel_id"), F.col("id").cast("int").alias("t"), F.date_add(F.lit(DAY), (F.col("id") * 5).cast("int")).alias("ts"))
+    how = weather.frame_variables(days.columns)
+    assert how == {"era5_tp": "sum", "era5_t": "mean"}
+    by_frames = weather.match_to_frames(days, calendar, how).join(calendar, ["scene_id", "pixel_id", "ts"])
+    by_calendar = weather.match_to_calendar(days, str(DAY), 5, 5, how)
+    want = sorted((r.t, r.era5_tp, r.era5_t) for r in by_frames.collect())
+    assert want == sorted((r.t, r.era5_tp, r.era5_t) for r in by_calendar.collect()) and len(want) == 5
+    with pytest.raises(ValueError, match="era5_x"):
+        weather.frame_variables(["era5_x"])
+
+
+def test_fill_by_time_knows_no_clock_change(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Zurich")
+    try:
+        times = ["2021-03-27 18:00:00", "2021-03-28 00:00:00", "2021-03-28 06:00:00"]
+        df = spark.createDataFrame([(0, 0, i, x, v) for i, (x, v) in enumerate(zip(times, [4.0, N, 8.0]))], "scene_id int, pixel_id int, t int, ts string, v double")
+        assert values_of(series.fill_by_time(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")), ["v"])) == [4.0, 6.0, 8.0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_best_orbit_lowest_phase_of_equals(spark):

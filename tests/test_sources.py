@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.queries import samples as query_samples
 from pixelseries.functions import bands as B
-from pixelseries.operators import stats
-from pixelseries.plans.dataset import DatasetConfig, build_dataset, write_dataset
+from pixelseries.functions import keys as K
+from pixelseries.operators import sampling, stats
+from pixelseries.plans.dataset import DatasetConfig, build_dataset, prepare_frames, write_dataset
 from pixelseries.session import cut_lineage
 from pixelseries.sources import bands as band_source
 from pixelseries.sources import scenes, store
@@ -42,7 +43,7 @@ def test_band_dictionary(spark):
     rows = {r.band: r for r in band_source.band_dictionary(spark).collect()}
     assert len(rows) == len(band_source.band_descriptions()) == 36 + 3 * 7 + 7
     assert rows["NDVI"].interpolation == "linear" and rows["PH15_30"].interpolation == "nearest"
-    assert rows["PH15_30"].description == "pH 15-30 cm"
+    assert rows["PH15_30"].description == "acidity (pH), 15 to 30 cm deep"
 
 
 def cubes(spark):
@@ -111,7 +112,8 @@ def test_cut_lineage_reads_back_the_same_rows(spark):
 def test_dataset_build_end_to_end(spark, tmp_path, summer, gap):
     frames = B.add_ndvi(cubes(spark))
     static = fx.static_raw(spark, SF).groupBy("scene_id", "pixel_id").agg(F.first("DEM").alias("DEM")).withColumns({"FOREST_MASK": F.lit(1.0), "DROUGHT_MASK": F.lit(0.0)})
-    weather = frames.select("pixel_id", "ts", (F.col("t") * 1.0).alias("era5_t"))
+    static = static.withColumns({"lon": F.lit(6.0), "lat": F.col("pixel_id") / 8})
+    weather = frames.select("scene_id", "pixel_id", F.col("ts").alias("day"), (F.col("t") * 1.0).alias("era5_t"))
     config = DatasetConfig(n_frames=fx.N_FRAMES, max_gap=gap, target_in_summer=summer, pixels_per_scene=1, compat=True)
     built = build_dataset(frames, static, weather, config, fx.DAY0)
     per = built.samples.groupBy("scene_id", "start_t").count()
@@ -125,3 +127,48 @@ def test_dataset_build_end_to_end(spark, tmp_path, summer, gap):
     write_dataset(built, str(tmp_path), "train")
     assert spark.read.parquet(f"{tmp_path}/samples").count() == built.samples.count()
     assert spark.read.parquet(f"{tmp_path}/stats").count() == built.stats.count()
+    stored = spark.read.parquet(f"{tmp_path}/samples")
+    named = stored.select(K.parse_key("sample_id").alias("k"), "start", "end", "lon", "lat")
+    assert named.filter("k.start = start and k.end = end and k.lon = lon and k.lat = lat and k.shift = 18").count() == stored.count()
+    late = sampling.split_by_range(stored, time_range=["1998-01-01", "2003-01-01"])
+    assert 0 < late.filter("split = 'train'").count() < stored.count()
+    assert spark.read.parquet(f"{tmp_path}/cubes").select("stage").distinct().count() == 2
+
+
+def test_stats_of_another_scene_stay(spark, tmp_path):
+    def stats(scene, low):
+        return spark.createDataFrame([(scene, "a", low, 9.0, "train")], "scene_id long, band string, min double, max double, split string")
+
+    for scene, low in ((1, 0.0), (2, 1.0), (2, 2.0)):
+        store.write_stats(stats(scene, low), str(tmp_path / "stats"))
+    assert sorted((r.scene_id, r.min) for r in spark.read.parquet(str(tmp_path / "stats")).collect()) == [(1, 0.0), (2, 2.0)]
+
+
+def test_samples_are_replaced_by_name(spark, tmp_path):
+    def batch(*rows):
+        return spark.createDataFrame([(1, "train", *r) for r in rows], "scene_id long, split string, sample_id string, v double")
+
+    store.write_samples(batch(("a", 1.0), ("b", 2.0)), str(tmp_path / "s"))
+    store.write_samples(batch(("b", 3.0), ("c", 4.0)), str(tmp_path / "s"))
+    assert sorted((r.sample_id, r.v) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [("a", 1.0), ("b", 3.0), ("c", 4.0)]
+
+
+def test_predictions_of_one_batch_are_unique(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 2.0), ("a", 0, 1.0), ("b", 0, 5.0)], "sample_id string, step int, pred double")
+    store.write_predictions(rows, str(tmp_path / "p"))
+    store.write_predictions(rows.withColumn("pred", F.lit(0.0)), str(tmp_path / "p"))
+    assert sorted((r.sample_id, r.pred) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [("a", 1.0), ("b", 5.0)]
+    with pytest.raises(Exception):
+        store.write_predictions(rows.drop("step"), str(tmp_path / "p"))
+
+
+def test_weather_without_an_image_is_kept(spark):
+    """Per-scene pixel ids, images on some frames only: weather comes from the readings of every frame."""
+    config = DatasetConfig(n_frames=6, max_gap=None)
+    frames = spark.createDataFrame([(s, 0, t, float(t)) for s in (1, 2) for t in (0, 3)], "scene_id long, pixel_id long, t int, s2_ndvi double").withColumn("ts", F.date_add(F.lit("2020-01-01").cast("date"), F.col("t") * 5))
+    days = [(s, 0, d, float(100 * s + d)) for s in (1, 2) for d in range(0, 26)]
+    weather = spark.createDataFrame(days, "scene_id long, pixel_id long, d int, era5_tp double").select("scene_id", "pixel_id", F.date_add(F.lit("2020-01-01").cast("date"), "d").alias("day"), "era5_tp")
+    found = prepare_frames(frames, weather, config, "2020-01-01")
+    got = {(r.scene_id, r.t): r.era5_tp for r in found.collect()}
+    assert len(got) == 12
+    assert got == {(s, t): float(sum(100 * s + d for d in ([0] if t == 0 else range(5 * t - 4, 5 * t + 1)))) for s in (1, 2) for t in range(6)}
