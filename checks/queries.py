@@ -1205,6 +1205,58 @@ def q_grid_search(spark, sf):
     return tune(samples(spark, sf), ["s2_ndvi"], "s2_ndvi", TARGET, {"reg_param": [0.001, 0.1], "elastic_net": [0.0, 0.5]}, val_fraction=0.2, seed=42)
 
 
+LEADS = 3
+
+
+def short_samples(spark, sf):
+    """Two context frames, three target frames: few enough features for SQL to solve the model."""
+    packed = windows.pack_series(filled_ndvi(spark, sf), ["s2_ndvi"])
+    return named_samples(windows.sliding_windows(packed, 2, LEADS, stride=7))
+
+
+def _ridge_sql(reg: float, train: str, rows: str) -> str:
+    """Per step: coefficients of the training rows from their covariances, and the error on the others."""
+    return f"""SELECT step, count(*) AS n, sqrt(avg((pred - y) ** 2)) AS rmse FROM (
+        SELECT r.step, r.y, m.my + b1 * (r.x1 - m.m1) + b2 * (r.x2 - m.m2) AS pred FROM {rows} r JOIN (
+          SELECT *, ((s22 + {reg}) * c1 - s12 * c2) / ((s11 + {reg}) * (s22 + {reg}) - s12 * s12) AS b1, ((s11 + {reg}) * c2 - s12 * c1) / ((s11 + {reg}) * (s22 + {reg}) - s12 * s12) AS b2 FROM (
+            SELECT step, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+            FROM {rows} WHERE {train} GROUP BY step)) m USING (step) WHERE NOT ({train})) GROUP BY step"""
+
+
+SHORT = FILLED + f""", short AS (SELECT a.pixel_id, a.t AS start_t, DATE '{fx.DAY0}' + CAST(5 * a.t AS INTEGER) AS start, DATE '{fx.DAY0}' + CAST(5 * (a.t + {1 + LEADS}) AS INTEGER) AS "end",
+      a.v AS x1, b.v AS x2, c.t - a.t - 2 AS step, c.v AS y,
+      strftime(DATE '{fx.DAY0}' + CAST(5 * a.t AS INTEGER), '%Y_%-m_%-d_') || strftime(DATE '{fx.DAY0}' + CAST(5 * (a.t + {1 + LEADS}) AS INTEGER), '%Y_%-m_%-d_')
+        || (6 + a.pixel_id / 64.0::DOUBLE) || '_' || (46 + a.pixel_id / 128.0::DOUBLE) || '_5_1_0' AS sample_id
+      FROM filled a JOIN filled b ON b.pixel_id = a.pixel_id AND b.t = a.t + 1 JOIN filled c ON c.pixel_id = a.pixel_id AND c.t BETWEEN a.t + 2 AND a.t + {1 + LEADS}
+      WHERE a.t % 7 = 0 AND a.t + {1 + LEADS} < {fx.N_FRAMES})"""
+EARLY = "start >= DATE '1995-01-01' AND \"end\" <= DATE '1999-12-31'"
+
+
+@query(sql(SHORT, body=f"SELECT step, n, round(rmse, 6) AS rmse FROM ({_ridge_sql(0.05, EARLY, 'short')})"))
+def q_ridge_forecast(spark, sf):
+    tagged = sampling.split_by_range(short_samples(spark, sf), time_range=["1995-01-01", "1999-12-31"])
+    found = forecast_scores(tagged, ["s2_ndvi"], "s2_ndvi", LEADS, reg_param=0.05)
+    return found.select("step", "n", r4("rmse", 6).alias("rmse"))
+
+
+RIDGES = (0.001, 0.1, 1.0)
+
+
+@query(
+    sql(
+        SHORT,
+        """ranked AS (SELECT s.*, rk <= floor(0.2 * cnt) AS is_val FROM short s JOIN (
+              SELECT sample_id, row_number() OVER (ORDER BY md5('42:' || sample_id), sample_id) AS rk, count(*) OVER () AS cnt FROM (SELECT DISTINCT sample_id FROM short)) USING (sample_id))""",
+        body=" UNION ALL ".join(
+            f"SELECT 'config_(reg_param={r})' AS trial, {r}::DOUBLE AS reg_param, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) AS rmse FROM ({_ridge_sql(r, 'NOT is_val', 'ranked')})" for r in RIDGES
+        ),
+    )
+)
+def q_ridge_grid(spark, sf):
+    found = tune(short_samples(spark, sf), ["s2_ndvi"], "s2_ndvi", LEADS, {"reg_param": list(RIDGES)}, val_fraction=0.2, seed=42)
+    return found.select("trial", "reg_param", r4("rmse", 6).alias("rmse"))
+
+
 DATASET = (
     clean_cte(36)
     + ", "

@@ -1,96 +1,213 @@
-"""Multi-step forecasts with Spark ML: a context in, all target steps out.
+"""Multi-step forecasts: a context in, all target steps out, each step with coefficients of its own.
 
-The forecaster is linear with one level per target step.  Every sample has all
-steps, so its least-squares fit splits into a regression of the mean target on
-the context (one row per sample) and the mean offset of each step: the training
-data is never repeated per step.
+The model is linear with a ridge or elastic-net penalty. All it needs from the
+training rows are their moments, which one pass sums up: every step and every
+setting of a grid search is solved from the same moments. These have one row and
+column per feature, so their size depends on the sample's shape and not on the
+number of samples.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scores import rmse
+#: More features than this would not fit the driver as a square matrix of moments.
+MAX_FEATURES = 8192
+#: Rows that a task multiplies at once.
+ROWS = 1000
 
 
-def context_features(samples: DataFrame, bands: Sequence[str], out: str = "features") -> DataFrame:
-    """All bands of all context frames as one vector."""
-    flat = F.flatten(F.array(*[F.col(f"context.{b}").cast("array<double>") for b in bands]))
-    return samples.withColumn(out, array_to_vector(flat))
+def _ends(stats: DataFrame | None, bands: Sequence[str]) -> dict[str, tuple[Column, Column]]:
+    """Minimum and maximum of each band: two numbers per band, as literals."""
+    if stats is None:
+        return {}
+    found = stats.filter(F.col("band").isin(list(bands))).groupBy("band").agg(F.min("min").cast("double"), F.max("max").cast("double")).collect()
+    if missing := set(bands) - {band for band, _, _ in found}:
+        raise ValueError(f"no statistics for {', '.join(sorted(missing))}")
+    return {band: (F.lit(low), F.lit(high)) for band, low, high in found}
 
 
-def training_rows(samples: DataFrame, bands: Sequence[str], target_band: str, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """One row per sample: ``features``, the ``truth`` array and its mean ``level``."""
+def context_features(samples: DataFrame, bands: Sequence[str], static: Sequence[str] = (), stats: DataFrame | None = None, out: str = "features") -> DataFrame:
+    """All frame bands of all context frames, then the static bands, as one array.
+
+    With ``stats`` (``band, min, max`` of the training scenes) values are scaled to
+    0..1. A missing frame value takes the mean of its band's known frames in the
+    sample; a band without any, and a missing static value, take the middle of the
+    scale (0.5) or, unscaled, 0.
+    """
+    ends, neutral = _ends(stats, [*bands, *static]), F.lit(0.0 if stats is None else 0.5)
+
+    def scaled(v: Column, b: str) -> Column:
+        return v if b not in ends else F.try_divide(v - ends[b][0], ends[b][1] - ends[b][0])
+
+    def frames(b: str) -> Column:
+        values = F.transform(F.col(f"context.{b}").cast("array<double>"), lambda v: scaled(v, b))
+        sums = F.aggregate(
+            values,
+            F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+            lambda a, v: F.when(v.isNull(), a).otherwise(F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n"))),
+        )
+        mean = F.coalesce(F.try_divide(sums["s"], sums["n"]), neutral)
+        return F.zip_with(values, F.array_repeat(mean, F.size(values)), lambda v, m: F.coalesce(v, m))
+
+    layers = F.array(*[F.coalesce(scaled(F.col(b).cast("double"), b), neutral) for b in static]).cast("array<double>")
+    return samples.withColumn(out, F.flatten(F.array(*[frames(b) for b in bands], layers)))
+
+
+def training_rows(samples: DataFrame, bands: Sequence[str], target_band: str, keys: Sequence[str] = ("sample_id",), static: Sequence[str] = (), stats: DataFrame | None = None) -> DataFrame:
+    """One row per sample: ``features`` and the ``truth`` array; samples with a missing target are left out."""
     truth = F.col(f"target.{target_band}").cast("array<double>")
-    level = F.aggregate(truth, F.lit(0.0), lambda a, v: a + v) / F.size(truth)
-    return context_features(samples, bands).select(*keys, "features", truth.alias("truth"), level.alias("level"))
+    rows = context_features(samples, bands, static, stats).select(*keys, "features", truth.alias("truth"))
+    return rows.filter(F.forall("truth", lambda v: v.isNotNull()))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != width * len(column):
+        raise ValueError(f"every sample needs {width} values")
+    return flat.reshape(len(column), width)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+@dataclass(frozen=True)
+class Moments:
+    """``n`` rows: means of features and targets, and their centred products per row."""
+
+    n: int
+    x_mean: np.ndarray
+    y_mean: np.ndarray
+    xx: np.ndarray
+    xy: np.ndarray
+
+    def solve(self, reg_param: float = 0.01, elastic_net: float = 0.0, sweeps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients (features by steps) and intercepts.
+
+        Half the mean squared error plus ``reg_param`` times the mix of absolute
+        (share ``elastic_net``) and half squared coefficients is least.
+        """
+        lasso, ridge = reg_param * elastic_net, reg_param * (1 - elastic_net)
+        if lasso == 0:
+            b = np.linalg.lstsq(self.xx + ridge * np.eye(len(self.xx)), self.xy, rcond=None)[0]
+        else:
+            b = np.zeros_like(self.xy)
+            for _ in range(sweeps):
+                moved = 0.0
+                for j in range(len(b)):
+                    rest = self.xy[j] - self.xx[j] @ b + self.xx[j, j] * b[j]
+                    new = np.sign(rest) * np.maximum(np.abs(rest) - lasso, 0) / max(self.xx[j, j] + ridge, 1e-300)
+                    moved = max(moved, float(np.abs(new - b[j]).max()))
+                    b[j] = new
+                if moved < 1e-10:
+                    break
+        return b, self.y_mean - self.x_mean @ b
+
+
+def moments(rows: DataFrame, horizon: int) -> Moments:
+    """Two passes over ``rows``: means, then products about them; tasks send sums, never rows."""
+    first = rows.select(F.size("features")).first()
+    if first is None:
+        raise ValueError("no training samples")
+    p = first[0]
+    if p > MAX_FEATURES:
+        raise ValueError(f"{p} features; at most {MAX_FEATURES} are possible")
+    rows = rows.select("features", "truth")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(p + horizon), 0
+        for part in _parts(batches):
+            total += np.concatenate([_matrix(part.column("features"), p).sum(axis=0), _matrix(part.column("truth"), horizon).sum(axis=0)])
+            n += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()])], names=["n", "total"])
+
+    found = rows.mapInArrow(sums, "n long, total array<double>")
+    n = found.agg(F.sum("n")).first()[0]
+    totals = found.select(F.posexplode("total").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow().column("v").to_numpy()
+    means = totals / n
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, p + horizon))
+        for part in _parts(batches):
+            both = np.concatenate([_matrix(part.column("features"), p), _matrix(part.column("truth"), horizon)], axis=1) - means
+            total += both[:, :p].T @ both
+        for i in range(p):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i].tolist()])], names=["i", "line"])
+
+    def added(table: pa.Table) -> pa.Table:
+        lines = _matrix(table.column("line").combine_chunks(), p + horizon)
+        return pa.table({"i": table.column("i").slice(0, 1), "line": pa.array([lines.sum(axis=0).tolist()])})
+
+    lines = rows.mapInArrow(products, "i long, line array<double>").groupBy("i").applyInArrow(added, "i long, line array<double>")
+    every = _matrix(lines.orderBy("i").toArrow().column("line").combine_chunks(), p + horizon) / n
+    return Moments(n, means[:p], means[p:], every[:, :p], every[:, p:])
 
 
 @dataclass(frozen=True)
 class Forecaster:
-    level_model: LinearRegressionModel
-    step_offsets: list[float]
+    coefficients: np.ndarray
+    intercepts: np.ndarray
 
     def predict(self, rows: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
         """``(keys..., step, pred)``, and ``truth`` where the rows carry it."""
-        offsets = F.array(*[F.lit(o) for o in self.step_offsets])
-        level = self.level_model.transform(rows)
-        known = "truth" in rows.columns
-        steps = F.transform(
-            offsets,
-            lambda o, i: F.struct(
-                i.cast("int").alias("step"),
-                (F.col("pred_level") + o).alias("pred"),
-                *([F.get("truth", i).alias("truth")] if known else []),
-            ),
-        )
-        return level.select(*keys, F.inline(steps))
-
-
-def step_offsets(rows: DataFrame, horizon: int) -> list[float]:
-    """Mean of each target step above the sample's level: ``horizon`` numbers from one pass."""
-    means = rows.agg(*[F.avg(F.get("truth", F.lit(i)) - F.col("level")).alias(f"o{i}") for i in range(horizon)])
-    return list(means.first())
+        b, a = self.coefficients, self.intercepts
+        known = ["truth"] if "truth" in rows.columns else []
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _parts(batches):
+                guess = _matrix(part.column("features"), len(b)) @ b + a
+                kept = [part.column(c) for c in [*keys, *known]]
+                guesses = pa.FixedSizeListArray.from_arrays(pa.array(guess.ravel()), guess.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*kept, guesses], names=[*keys, *known, "guess"])
 
-def fit_level(rows: DataFrame, reg_param: float = 0.01, elastic_net: float = 0.0) -> LinearRegressionModel:
-    """One pass over the rows: the normal equations are summed on the executors."""
-    return LinearRegression(
-        featuresCol="features", labelCol="level", predictionCol="pred_level", regParam=reg_param, elasticNetParam=elastic_net, solver="normal"
-    ).fit(rows)
+        source = rows.select(*keys, *known, "features")
+        found = source.mapInArrow(run, source.drop("features").withColumn("guess", F.array(F.lit(0.0))).schema)
+        pairs = F.arrays_zip(F.col("guess").alias("pred"), *[F.col(c) for c in known])
+        return found.select(*keys, F.posexplode(pairs).alias("step", "pair")).select(*keys, "step", "pair.*")
 
 
 def fit_forecaster(rows: DataFrame, horizon: int, **setting: float) -> Forecaster:
-    return Forecaster(fit_level(rows, **setting), step_offsets(rows, horizon))
+    return Forecaster(*moments(rows, horizon).solve(**setting))
 
 
-def score_track(model: Forecaster, samples: DataFrame, bands: Sequence[str], target_band: str, track: str, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+def score_track(
+    model: Forecaster, samples: DataFrame, bands: Sequence[str], target_band: str, track: str, keys: Sequence[str] = ("sample_id",), static: Sequence[str] = (), stats: DataFrame | None = None
+) -> DataFrame:
     """Predictions for one test track; the track is a value of ``split``."""
-    return model.predict(training_rows(samples.filter(F.col("split") == track), bands, target_band, keys), keys)
+    return model.predict(training_rows(samples.filter(F.col("split") == track), bands, target_band, keys, static, stats), keys)
 
 
 def grid_search(train: DataFrame, validation: DataFrame, horizon: int, params: Mapping[str, Sequence[float]]) -> DataFrame:
     """Validation RMSE of every parameter combination: ``(trial, <params>, rmse)``.
 
-    The rows (one per sample) are cached for the fits and scored in one job.
+    The moments of the training rows give all models, and one pass over the
+    validation rows scores them all.
     """
-    train, validation = train.cache(), validation.cache()
-    offsets = step_offsets(train, horizon)
-    scored = []
-    for values in product(*params.values()):
-        setting = dict(zip(params, values))
-        model = Forecaster(fit_level(train, **setting), offsets)
-        trial = "config_" + "_".join(f"({k}={v})" for k, v in setting.items())
-        found = rmse(model.predict(validation, []))
-        scored.append(found.select(F.lit(trial).alias("trial"), *[F.lit(v).alias(k) for k, v in setting.items()], "rmse"))
-    result = scored[0]
-    for other in scored[1:]:
-        result = result.unionByName(other)
-    return result
+    found = moments(train, horizon)
+    settings = [dict(zip(params, values)) for values in product(*params.values())]
+    models = [found.solve(**s) for s in settings]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        errors, n = np.zeros(len(models)), 0
+        for part in _parts(batches):
+            truth = _matrix(part.column("truth"), horizon)
+            x = _matrix(part.column("features"), len(models[0][0]))
+            errors += [float(((x @ b + a - truth) ** 2).sum()) for b, a in models]
+            n += truth.size
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(models))), pa.array(errors), pa.array([n] * len(models))], names=["i", "sse", "n"])
+
+    scored = validation.select("features", "truth").mapInArrow(run, "i long, sse double, n long").groupBy("i").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+    names = ["config_" + "_".join(f"({k}={v})" for k, v in s.items()) for s in settings]
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(t).alias("trial"), *[F.lit(v).alias(k) for k, v in s.items()]) for i, (t, s) in enumerate(zip(names, settings))])
+    table = train.sparkSession.range(1).select(F.inline(listed))
+    return table.join(scored, "i").select("trial", *params, "rmse")

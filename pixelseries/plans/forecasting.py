@@ -12,10 +12,13 @@ from ..operators.sampling import validation_split
 from ..session import cut_lineage
 
 
-def forecast_scores(samples: DataFrame, bands: Sequence[str], target_band: str, horizon: int, train: str = "train", track: str = "test") -> DataFrame:
+def forecast_scores(
+    samples: DataFrame, bands: Sequence[str], target_band: str, horizon: int, train: str = "train", track: str = "test",
+    static: Sequence[str] = (), stats: DataFrame | None = None, **setting: float
+) -> DataFrame:
     """Fit on one split, predict another: error per target step."""
-    model = fit_forecaster(training_rows(samples.filter(F.col("split") == train), bands, target_band), horizon)
-    scored = score_track(model, samples, bands, target_band, track)
+    model = fit_forecaster(training_rows(samples.filter(F.col("split") == train), bands, target_band, static=static, stats=stats), horizon, **setting)
+    scored = score_track(model, samples, bands, target_band, track, static=static, stats=stats)
     error = F.col("pred") - F.col("truth")
     return scored.groupBy("step").agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse")).orderBy("step")
 

@@ -1,10 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pixelseries.operators import forecast, scores, stats, tuning
 
+N = None
+
 
 def pairs(spark):
     rows = [("a", 0, 1.0, 2.0), ("a", 1, 3.0, 3.0), ("b", 0, 0.0, 3.0), ("b", 1, 1.0, 1.0), ("c", 0, 2.0, 2.0), ("c", 1, 2.0, 4.0)]
@@ -83,6 +86,8 @@ def test_forecaster_recovers_a_linear_rule(spark):
     found = forecast.score_track(model, df, ["v"], "v", "test")
     assert found.count() == 200 and set(found.columns) == {"sample_id", "step", "pred", "truth"}
     assert scores.rmse(found).first().rmse < 1e-4
+    by_step = found.groupBy("step").agg(F.avg("pred")).collect()
+    assert len(by_step) == 2
     ahead = model.predict(forecast.context_features(df, ["v"]).select("sample_id", "features"))
     assert ahead.columns == ["sample_id", "step", "pred"] and ahead.count() == 800
 
@@ -91,3 +96,36 @@ def test_grid_search_prefers_less_shrinkage(spark):
     rows = forecast.training_rows(samples(spark, 400), ["v"], "v")
     found = forecast.grid_search(rows, rows, 2, {"reg_param": [1e-6, 10.0]}).collect()
     assert len(found) == 2 and min(found, key=lambda r: r.rmse).reg_param == 1e-6
+
+
+def test_each_step_has_its_own_shape(spark):
+    # step 0 repeats the first frame, step 1 mirrors it
+    x = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+    frame = lambda v: F.struct(v.alias("v"))
+    df = spark.range(300).select(F.col("id").cast("string").alias("sample_id"), F.array(frame(x), frame(1 - x * x)).alias("context"), F.array(frame(x), frame(1 - x)).alias("target"))
+    rows = forecast.training_rows(df, ["v"], "v")
+    found = forecast.fit_forecaster(rows, 2, reg_param=1e-9).predict(rows)
+    assert scores.rmse(found).first().rmse < 1e-3
+
+
+def test_elastic_net_meets_its_conditions():
+    rng = np.random.default_rng(3)
+    x, n = rng.normal(size=(400, 6)), 400
+    y = x[:, :2] @ np.array([[2.0, 0.0], [0.5, -1.0]]) + rng.normal(size=(400, 2)) / 10
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    m = forecast.Moments(n, x.mean(0), y.mean(0), xc.T @ xc / n, xc.T @ yc / n)
+    b, a = m.solve(0.2, 0.5)
+    slope = m.xy - m.xx @ b - 0.1 * b
+    assert np.allclose(slope[b != 0], 0.1 * np.sign(b[b != 0]), atol=1e-6) and (np.abs(slope[b == 0]) <= 0.1 + 1e-9).all() and (b == 0).any()
+    b, a = m.solve(0.2, 0.0)
+    assert np.allclose(m.xx @ b + 0.2 * b, m.xy) and np.allclose(a, y.mean(0) - x.mean(0) @ b)
+
+
+def test_missing_and_scaled_features(spark):
+    rows = [("a", [(1.0, N), (3.0, N)], 7.0), ("b", [(N, 4.0), (2.0, 8.0)], N)]
+    df = spark.createDataFrame(rows, "sample_id string, context array<struct<v: double, w: double>>, soil double")
+    plain = {r.sample_id: r.features for r in forecast.context_features(df, ["v", "w"], ["soil"]).collect()}
+    assert plain == {"a": [1.0, 3.0, 0.0, 0.0, 7.0], "b": [2.0, 2.0, 4.0, 8.0, 0.0]}
+    stats = spark.createDataFrame([("v", 1.0, 3.0), ("w", 0.0, 8.0), ("soil", 7.0, 7.0)], "band string, min double, max double")
+    scaled = {r.sample_id: r.features for r in forecast.context_features(df, ["v", "w"], ["soil"], stats).collect()}
+    assert scaled == {"a": [0.0, 1.0, 0.5, 0.5, 0.5], "b": [0.5, 0.5, 0.5, 1.0, 0.5]}
