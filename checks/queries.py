@@ -17,6 +17,7 @@ from pixelseries.operators import clean, raster, sampling, scores, series, stats
 from pixelseries.operators.raster import GridMeta
 from pixelseries.plans.dataset import DatasetConfig, build_dataset
 from pixelseries.plans.forecasting import forecast_scores, tune
+from pixelseries.session import cut_lineage, scratch_path
 from pixelseries.sources import bands as band_source
 from pixelseries.sources import scenes as scene_source
 from pixelseries.sources import store
@@ -1192,6 +1193,81 @@ def q_pending_trials(spark, sf):
     return tuning.pending_trials(parameter_grid(spark, sf), done)
 
 
+# --- stores: written, changed and read back in the shared folder ------------------------
+
+@query(sql(Sql.FRAMES, SCENES, body="SELECT DISTINCT lon, lat, CAST(CASE WHEN bright THEN 2 ELSE 1 END AS BIGINT) AS listed FROM scene_places"))
+def q_scene_list_files(spark, sf):
+    places, folder = scene_places(spark, sf), scratch_path(spark)
+    paths = [f"{folder}/bright", f"{folder}/every"]
+    for path, rows in zip(paths, (places.filter("bright"), places)):
+        scene_source.write_scenes(rows.select("lon", "lat"), path)
+    read = scene_source.read_scenes(spark, paths)
+    listed = read.groupBy("lon", "lat").agg(F.count("*").alias("listed"))
+    return scene_source.union_scenes(*[scene_source.read_scenes(spark, p) for p in paths]).join(listed, ["lon", "lat"])
+
+
+@query(sql(BAND_STATS, body="""SELECT CAST(scene_id AS BIGINT) AS scene_id, band, round(min(v), 4) AS "min", round(max(v), 4) AS "max", 'train' AS split FROM band_rows GROUP BY 1, 2"""))
+def q_stats_store(spark, sf):
+    per_scene, folder = stats.band_stats(fx.frames(spark, sf), fx.BANDS).withColumn("split", F.lit("train")), scratch_path(spark)
+    low = per_scene.withColumn("min", F.lit(-1.0))
+    store.write_stats(low.filter("scene_id % 4 = 0"), folder)  # replaced below
+    for i in (0, 1):
+        store.write_stats(per_scene.filter(F.col("scene_id") % 2 == i), folder)
+    return spark.read.parquet(folder).select(F.col("scene_id").cast("bigint").alias("scene_id"), "band", r4("min").alias("min"), r4("max").alias("max"), "split")
+
+
+@query(sql(Sql.FRAMES, SAMPLE_KEYS, body="SELECT sample_id, scene_id, start_t, CASE WHEN start_t % 3 = 0 THEN 2 ELSE 1 END AS batch FROM sample_keys WHERE start_t % 3 = 0 OR start_t % 2 = 0"))
+def q_sample_store(spark, sf):
+    """Two overlapping batches of the same scenes: names of the second replace those of the first."""
+    keys, folder = sample_keys(spark, sf).select("sample_id", "scene_id", "start_t").withColumn("split", F.lit("train")), scratch_path(spark)
+    for batch, every in ((1, 2), (2, 3)):
+        store.write_samples(keys.filter(F.col("start_t") % every == 0).withColumn("batch", F.lit(batch)), folder)
+    return spark.read.parquet(folder).select("sample_id", F.col("scene_id").cast("bigint").alias("scene_id"), "start_t", "batch")
+
+
+@query(sql(FILLED, PREDICTIONS, body="SELECT sample_id, step, round(CASE WHEN step < 9 THEN pred ELSE pred + 1 END, 4) + 0.0::DOUBLE AS pred FROM predictions"))
+def q_prediction_store(spark, sf):
+    """The first write wins; of two rows with one key in a batch the smaller."""
+    rows, folder = cut_lineage(predictions(spark, sf).select("sample_id", "step", "pred")), scratch_path(spark)
+    store.write_predictions(rows.filter("step < 9"), folder)
+    again = rows.withColumn("pred", F.col("pred") + 1)
+    store.write_predictions(again.unionByName(again.withColumn("pred", F.col("pred") + 1)), folder)
+    return spark.read.parquet(folder).select("sample_id", "step", r4("pred").alias("pred"))
+
+
+@query("""SELECT 'config_(line=' || l_linenumber || ')_(flag=' || l_returnflag || ')' AS trial, CAST(month(l_shipdate) AS INTEGER) AS epoch, round(avg(l_quantity), 4) AS rmse
+       FROM lineitem GROUP BY l_linenumber, l_returnflag, 2""")
+def q_score_files(spark, sf):
+    """Score lists as text in one folder per trial, read together, written and read as a table of numbers."""
+    item, folder = fx.table(spark, sf, "lineitem"), scratch_path(spark)
+    name = F.concat(F.lit("config_(line="), "l_linenumber", F.lit(")_(flag="), "l_returnflag", F.lit(")"))
+    scored = item.groupBy(name.alias("trial"), F.month("l_shipdate").alias("epoch")).agg(F.round(F.avg("l_quantity"), 4).alias("rmse"))
+    entry = F.struct(F.col("rmse").cast("string").alias("RMSE_drought"), F.col("epoch").cast("string").alias("epoch"))
+    lists = scored.groupBy("trial").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("value"))  # at most twelve epochs each
+    lists.write.partitionBy("trial").text(f"{folder}/runs")
+    found = store.read_scores(spark, f"{folder}/runs/*/*.txt")
+    named = F.url_decode(F.regexp_replace("trial", "^trial=", ""))  # as the writer escapes folder names
+    store.write_scores(found.withColumn("trial", named), f"{folder}/table")
+    return spark.read.schema("trial string, epoch int, rmse double").option("header", True).csv(f"{folder}/table")
+
+
+@query(
+    sql(
+        Sql.DENSE,
+        body="""SELECT CAST(scene_id AS BIGINT) AS scene_id, 'raw' AS stage, count(*) AS n, round(sum(s2_B08), 4) AS total FROM frames GROUP BY 1
+          UNION ALL SELECT CAST(scene_id AS BIGINT), 'clean', count(*), round(sum(s2_B08), 4) FROM dense GROUP BY 1""",
+    )
+)
+def q_cube_store(spark, sf):
+    frames, folder = fx.frames(spark, sf).select("scene_id", "pixel_id", "t", "s2_B08"), scratch_path(spark)
+    store.write_cubes(frames, folder, "train", raw=True)
+    store.write_cubes(frames.filter("scene_id % 2 = 0"), folder, "train", raw=True)  # the same scenes again
+    store.write_cubes(dense(spark, sf, ("s2_B08",)), folder, "train", raw=False)
+    read = [store.read_cubes(spark, folder, "train", raw).withColumn("stage", F.lit(name)) for raw, name in ((True, "raw"), (False, "clean"))]
+    cubes = read[0].select("scene_id", "stage", "s2_B08").unionByName(read[1].select("scene_id", "stage", "s2_B08"))
+    return cubes.groupBy(F.col("scene_id").cast("bigint").alias("scene_id"), "stage").agg(F.count("*").alias("n"), r4(F.sum("s2_B08")).alias("total"))
+
+
 # --- forecasting (no SQL equivalent) and the whole build --------------------------------
 
 @query()
