@@ -1034,7 +1034,7 @@ def q_flow_accumulation(spark, sf):
 
 @query(sql(FLOW, body='SELECT f."row", f.col, round(ln(acc / nullif(tan(radians(slope)), 0)), 4) + 0.0::DOUBLE AS twi FROM flow f JOIN sf s ON s."row" = f."row" AND s.col = f.col', recursive=True))
 def q_wetness_index(spark, sf):
-    base = _surface(spark, sf)
+    base = cut_lineage(_surface(spark, sf))  # the flow and the slope come from it
     return terrain.wetness(base, terrain.flow_accumulation(base)).withColumn("twi", r4("twi"))
 
 

@@ -117,26 +117,31 @@ def with_neighbours(cells: DataFrame, size: int = TILE) -> DataFrame:
     )
 
 
-def dense_tiles(cells: DataFrame, radius: int, size: int = TILE) -> DataFrame:
-    """Tiles with halo where every position has a row; positions without a cell have a NULL ``z``."""
+def dense_tiles(cells: DataFrame, radius: int, size: int = TILE, hole: str | None = None) -> DataFrame:
+    """Tiles with halo where every position has a row; positions without a cell have a NULL ``z``.
+
+    Only tiles that own a row of ``cells`` come out. The cells are read and shuffled
+    once: the first row of a tile brings its blank positions along. ``hole`` names a
+    column that is true for the positions of rows with a NULL ``z``.
+    """
     def owned(c: str, t: str) -> Column:
         return F.sequence(F.col(t) * size - radius, (F.col(t) + 1) * size - 1 + radius)
 
-    tile_ids = cells.select(F.floor(F.col("row") / size).cast("int").alias("tr"), F.floor(F.col("col") / size).cast("int").alias("tc")).distinct()
-    blank = (
-        tile_ids.withColumn("row", F.explode(owned("row", "tr")))
-        .withColumn("col", F.explode(owned("col", "tc")))
-        .withColumn("z", F.lit(None).cast("double"))
-    )
-    known = tiled(cells.filter(F.col("z").isNotNull()).select("row", "col", "z"), radius, size)
-    # halo copies may reach tiles that own no cell at all; those are not needed
-    return (
-        known.select("tr", "tc", "row", "col", "z")
-        .unionByName(blank)
-        .repartition("tr", "tc")
-        .groupBy("tr", "tc", "row", "col")
-        .agg(F.max("z").alias("z"))
+    def position(row: Column, col: Column, z: Column, missing: Column) -> Column:
+        return F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), z.alias("z"), missing.alias("__hole"))
+
+    none, no = F.lit(None).cast("double"), F.lit(False)
+    blank = F.flatten(F.transform(owned("row", "tr"), lambda r: F.transform(owned("col", "tc"), lambda c: position(r, c, none, no))))
+    tile = Window.partitionBy("tr", "tc")
+    own = F.array(position(F.col("row"), F.col("col"), F.col("z").cast("double"), F.col("z").isNull()))
+    rows = (
+        tiled(cells.select("row", "col", "z"), radius, size)
+        .withColumns({"__owns": F.max(in_core(size)).over(tile), "__first": F.row_number().over(tile.orderBy("row", "col")) == 1})
+        .filter("__owns")
+        .select("tr", "tc", F.inline(F.when(F.col("__first"), F.concat(own, blank)).otherwise(own)))
     )
+    found = rows.groupBy("tr", "tc", "row", "col").agg(F.max("z").alias("z"), F.max("__hole").alias("__hole"))
+    return found.withColumnRenamed("__hole", hole) if hole else found.drop("__hole")
 
 
 def box_statistics(cells: DataFrame, filter_x: int, filter_y: int, size: int = TILE) -> DataFrame:
@@ -181,8 +186,7 @@ def fill_nodata(cells: DataFrame, max_distance: int = 10, size: int = TILE) -> D
     Inverse-distance weights; cells with no valid cell within ``max_distance``
     in any direction stay missing.  Cells to fill are rows with a NULL ``z``.
     """
-    tiles = dense_tiles(cells, max_distance, size)
-    holes = tiled(cells.filter(F.col("z").isNull()).select("row", "col").distinct(), 0, size).withColumn("__hole", F.lit(True))
+    tiles = dense_tiles(cells, max_distance, size, hole="__hole")
     diagonal = int(max_distance / math.sqrt(2))
     lines = [
         (["row"], "col", 1.0, max_distance),
@@ -207,8 +211,8 @@ def fill_nodata(cells: DataFrame, max_distance: int = 10, size: int = TILE) -> D
             weights.append(F.coalesce(w, F.lit(0.0)))
             parts.append(F.coalesce(w * F.col(f"{name}.z"), F.lit(0.0)))
     estimate = F.try_divide(sum(parts[1:], parts[0]), sum(weights[1:], weights[0]))
-    core = found.filter(in_core(size)).select("tr", "tc", "row", "col", "z", estimate.alias("__fill"))
-    known = core.join(holes, ["tr", "tc", "row", "col"], "left").filter(F.col("z").isNotNull() | F.col("__hole"))
+    core = found.filter(in_core(size) & (F.col("z").isNotNull() | F.col("__hole")))
+    known = core.select("row", "col", "z", estimate.alias("__fill"))
     return known.select("row", "col", F.coalesce("z", "__fill").alias("z"), F.col("z").isNull().alias("was_missing"))
 
 
