@@ -63,7 +63,8 @@ class Tree:
             return np.sqrt(np.maximum(lengths[q] + self.square - 2 * best[q, -1], 0))
 
         def leaf(rows: np.ndarray, q: np.ndarray) -> None:
-            products = queries[q] @ self.vectors[rows].T
+            # Not a matrix product: that adds up in an order that depends on the place, and copies would differ.
+            products = np.einsum("qd,nd->qn", queries[q], self.vectors[rows])
             products[ids[q][:, None] == self.ids[rows]] = -np.inf
             better = (products >= best[q, -1:]).any(axis=1)
             q, products = q[better], products[better]
