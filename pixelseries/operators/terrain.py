@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,43 +97,101 @@ def surface(cells: DataFrame, dx: float, dy: float, size: int = TILE) -> DataFra
     )
 
 
-def flow_accumulation(pointers: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _downstream(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tile's cells: place of the next cell in the tile (or -1), sums of ``weight`` from upstream, and the last cell of each path."""
+    row, col, to_row, to_col = (np.asarray(table.column(c).fill_null(-(1 << 40)), np.int64) for c in ("row", "col", "to_row", "to_col"))
+    key = (row << 32) + col
+    order = np.argsort(key)
+    at = np.minimum(np.searchsorted(key[order], (to_row << 32) + to_col), len(key) - 1)
+    step = np.where(key[order][at] == (to_row << 32) + to_col, order[at], -1)
+    total, reach, last = np.asarray(table.column("weight"), np.int64).copy(), step.copy(), np.arange(len(step))
+    for _ in range(len(step).bit_length() + 1):
+        moving = np.flatnonzero(reach >= 0)
+        if not len(moving):
+            return step, total, last
+        np.add.at(total, reach[moving], total[moving].copy())
+        last[moving] = last[reach[moving]]
+        reach[moving] = reach[reach[moving]]
+    raise RuntimeError("flow paths did not end; the pointers contain a cycle")
+
+
+def _tile_paths(table: pa.Table) -> pa.Table:
+    """Per cell the last cell of its path in the tile; for these the sum of what comes through."""
+    _, total, last = _downstream(table)
+    row, col = table.column("row").combine_chunks(), table.column("col").combine_chunks()
+    end = pa.array(last)
+    moves = table.select(["row", "col", "to_row", "to_col"])
+    return moves.append_column("end_row", row.take(end)).append_column("end_col", col.take(end)).append_column("acc", pa.array(total))
+
+
+def _tile_sums(table: pa.Table) -> pa.Table:
+    return table.select(["row", "col"]).append_column("acc", pa.array(_downstream(table)[1]))
+
+
+def _graph_sums(nodes: DataFrame, max_rounds: int) -> DataFrame:
+    """``cell, acc`` of a graph ``cell, next, acc``: what comes through each node.
+
+    Each round doubles the distance a node looks downstream. Finished nodes leave
+    the table that is rewritten; what reaches them is added up at the end.
+    """
+    moving, gains = cut_lineage(nodes.filter(F.col("next").isNotNull())), nodes.select("cell", "acc")
+    for _ in range(max_rounds):
+        if moving.isEmpty():
+            return gains.groupBy("cell").agg(F.sum("acc").alias("acc"))
+        arriving = cut_lineage(moving.groupBy(F.col("next").alias("cell")).agg(F.sum("acc").alias("acc")))
+        gains = gains.unionByName(arriving)
+        onward = moving.select(F.col("cell").alias("__via"), F.col("next").alias("__far"))
+        added = arriving.withColumnRenamed("acc", "__gain")
+        moving = cut_lineage(
+            moving.join(added, "cell", "left")
+            .join(onward, F.col("next") == F.col("__via"))
+            .select("cell", F.col("__far").alias("next"), (F.col("acc") + F.coalesce("__gain", F.lit(0))).alias("acc"))
+        )
+    raise RuntimeError("flow paths did not end; the pointers contain a cycle")
+
+
+def flow_accumulation(pointers: DataFrame, max_rounds: int = 64, size: int = TILE) -> DataFrame:
     """Number of cells that drain through each cell, itself included.
 
-    ``pointers(row, col, pointer)`` as from :func:`with_pointer`.  Each round
-    doubles the distance a cell looks downstream, so the number of rounds is
-    the logarithm of the longest flow path.  Only cells whose path goes on
-    take part in a round; contributions are pre-aggregated before the shuffle.
+    ``pointers(row, col, pointer)`` as from :func:`with_pointer`. Paths are first
+    followed inside tiles; only the cells where water leaves a tile take part in the
+    rounds over the whole grid, whose number is the logarithm of the tiles on the
+    longest path. What enters a tile is then sent down its paths once more.
     """
     dr, dc = F.lit(0), F.lit(0)
     for code, (r, c) in DIRECTIONS.items():
         dr = F.when(F.col("pointer") == code, F.lit(r)).otherwise(dr)
         dc = F.when(F.col("pointer") == code, F.lit(c)).otherwise(dc)
-    here = F.struct("row", "col")
-    state = cut_lineage(
-        pointers.select(
-            here.alias("cell"),
-            F.when(F.col("pointer") != 0, F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"))).alias("next"),
-            F.lit(1).cast("bigint").alias("acc"),
-        )
+
+    def tile(c: str) -> Column:
+        return F.floor(F.col(c) / size).cast("int")
+
+    def goes(moved: Column) -> Column:
+        return F.when(F.col("pointer") != 0, moved).cast("long")
+
+    cells = pointers.select(
+        F.col("row").cast("long").alias("row"),
+        F.col("col").cast("long").alias("col"),
+        goes(F.col("row") + dr).alias("to_row"),
+        goes(F.col("col") + dc).alias("to_col"),
+        tile("row").alias("tr"),
+        tile("col").alias("tc"),
     )
-    for _ in range(max_rounds):
-        moving = state.filter(F.col("next").isNotNull())
-        if moving.isEmpty():
-            break
-        gained = moving.groupBy(F.col("next").alias("cell")).agg(F.sum("acc").alias("__gain"))
-        jumps = moving.select("cell", F.col("next").alias("__via")).join(
-            moving.select(F.col("cell").alias("__via"), F.col("next").alias("__far")), "__via"
-        )
-        state = cut_lineage(
-            state.select("cell", "acc")
-            .join(gained, "cell", "left")
-            .join(jumps.select("cell", "__far"), "cell", "left")
-            .select("cell", F.col("__far").alias("next"), (F.col("acc") + F.coalesce("__gain", F.lit(0))).alias("acc"))
-        )
-    else:
-        raise RuntimeError("flow paths did not end; the pointers contain a cycle")
-    return state.select("cell.row", "cell.col", "acc")
+    place = "row long, col long"
+    paths = cut_lineage(
+        cells.withColumn("weight", F.lit(1).cast("long")).groupBy("tr", "tc").applyInArrow(_tile_paths, f"{place}, to_row long, to_col long, end_row long, end_col long, acc long")
+    )
+    cell, to, end = F.struct("row", "col"), F.struct(F.col("to_row").alias("row"), F.col("to_col").alias("col")), F.struct(F.col("end_row").alias("row"), F.col("end_col").alias("col"))
+    leaving = paths.filter((cell == end) & F.col("to_row").isNotNull()).select(cell.alias("cell"), to.alias("to"), "acc")
+    entered = paths.select(cell.alias("to"), end.alias("end")).join(leaving.select("to").distinct(), "to", "left_semi")
+    following = entered.join(leaving.select(F.col("cell").alias("end")), "end", "left_semi").select("to", F.col("end").alias("next"))
+    nodes = leaving.join(following, "to", "left").select("cell", "next", "acc")
+    through = _graph_sums(nodes, max_rounds).select("cell", F.col("acc").alias("through"))
+    inflow = leaving.join(through, "cell").groupBy("to").agg(F.sum("through").alias("inflow")).select("to.row", "to.col", "inflow")
+    fed = cells.join(inflow, ["row", "col"], "left").withColumn("weight", F.lit(1).cast("long") + F.coalesce("inflow", F.lit(0)))
+    found = fed.select("tr", "tc", "row", "col", "to_row", "to_col", "weight").groupBy("tr", "tc").applyInArrow(_tile_sums, f"{place}, acc long")
+    kinds = dict(pointers.dtypes)
+    return found.select(F.col("row").cast(kinds["row"]), F.col("col").cast(kinds["col"]), "acc")
 
 
 def wetness(slopes: DataFrame, accumulation: DataFrame) -> DataFrame:

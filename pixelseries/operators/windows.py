@@ -16,9 +16,15 @@ from .series import PIXEL
 
 
 def pack_series(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIXEL, ts: str | None = "ts") -> DataFrame:
-    """One row per pixel with ``series array<struct<t, [ts,] bands>>`` in frame order; expects dense frames."""
+    """One row per pixel with ``series array<struct<t, [ts,] bands>>`` in frame order; expects dense frames.
+
+    Two rows of one frame are an error: they would shift the windows after them.
+    """
     fields = ["t"] + ([ts] if ts else []) + list(bands)
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("series"))
+    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("series"))
+    twice = F.size(F.array_distinct("series.t")) < F.size("series")
+    checked = F.when(twice, F.raise_error(F.lit("two rows of one pixel for a frame")).cast(packed.schema["series"].dataType)).otherwise(F.col("series"))
+    return packed.withColumn("series", checked)
 
 
 def _need_frames(n: Column, context: int, target: int, shift: int) -> Column:

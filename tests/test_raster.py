@@ -240,8 +240,9 @@ def test_flow_accumulation_equals_walking(spark):
     a = y * 3.0 + abs(x - 9) + np.random.default_rng(3).uniform(0, 1.5, (20, 20))  # a valley: long paths
     surface = terrain.surface(cells(spark, a), 1.0, 1.0, 8)
     pointers = {(r.row, r.col): r.pointer for r in surface.collect()}
-    acc = {(r.row, r.col): r.acc for r in terrain.flow_accumulation(surface).collect()}
-    assert acc == walk(pointers) and max(acc.values()) > 20
+    for size in (5, 128):
+        acc = {(r.row, r.col): r.acc for r in terrain.flow_accumulation(surface, size=size).collect()}
+        assert acc == walk(pointers) and max(acc.values()) > 20
     assert sum(v for k, v in acc.items() if pointers[k] == 0) == 400
 
 
@@ -253,8 +254,22 @@ def test_flow_channel_and_confluence(spark):
 
 def test_flow_cycle_is_an_error(spark):
     loop = spark.createDataFrame([(0, 0, 2), (0, 1, 32)], "row int, col int, pointer int")
-    with pytest.raises(RuntimeError):
+    with pytest.raises(Exception, match="cycle"):
         terrain.flow_accumulation(loop, max_rounds=3)
+    with pytest.raises(RuntimeError, match="cycle"):
+        terrain.flow_accumulation(loop, max_rounds=3, size=1)
+
+
+@pytest.mark.parametrize("size", [1, 7, 128])
+def test_flow_of_one_long_channel(spark, size):
+    """A channel that winds through all rows and holds every cell; tiles of one cell are a graph of all."""
+    rows = []
+    for r in range(21):
+        turn = 20 if r % 2 == 0 else 0
+        rows += [(r, c, (8 if r < 20 else 0) if c == turn else (2 if r % 2 == 0 else 32)) for c in range(21)]
+    found = terrain.flow_accumulation(spark.createDataFrame(rows, "row int, col int, pointer int"), size=size)
+    acc = {(r.row, r.col): r.acc for r in found.collect()}
+    assert acc == walk({(r, c): p for r, c, p in rows}) and max(acc.values()) == 441
 
 
 def test_relative_position_and_deviation(spark):
