@@ -86,6 +86,46 @@ def least_matches(similarity: float) -> list[tuple[int, int]]:
     return found
 
 
+def _passing(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Rows whose signatures agree often enough, a batch of hashes at a time."""
+    alive, matches = np.arange(len(right)), np.zeros(len(right), np.int64)
+    for n, needed in steps:
+        part = slice(n - STEP, n)
+        own = left[part] if left.ndim == 1 else left[alive, part]
+        matches[alive] += (own == right[alive, part]).sum(axis=1)
+        alive = alive[matches[alive] >= needed]
+    return alive
+
+
+class Documents:
+    """Documents of one group, to be compared with others one at a time.
+
+    Signatures come first; then exact sizes of intersections, from a list of the
+    documents that have each shingle.
+    """
+
+    def __init__(self, rows: list[dict], size: int, percent: int):
+        self.size, self.percent, self.steps = size, percent, least_matches(percent / 100)
+        self.sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, HASHES)
+        sets = [shingles(r["text"], size) for r in rows]
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.keys, self.owners = every[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def like(self, row: dict, among: np.ndarray) -> np.ndarray:
+        """Which of the documents numbered ``among`` are similar to ``row``."""
+        near = among[_passing(np.frombuffer(row["sig"], np.uint16), self.sigs[among], self.steps)]
+        if len(near) == 0:
+            return near
+        own = shingles(row["text"], self.size)
+        first, last = np.searchsorted(self.keys, own), np.searchsorted(self.keys, own, side="right")
+        n = last - first
+        at = np.repeat(last - np.cumsum(n), n) + np.arange(int(n.sum()))
+        both = np.bincount(self.owners[at], minlength=len(self.sizes))[near]
+        return near[100 * both >= self.percent * (len(own) + self.sizes[near] - both)]
+
+
 def _described(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, key, node, n, sig`` per row: a node is a distinct shingle set."""
 
@@ -118,34 +158,20 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(nodes)], names=["bucket", "node"])
 
 
-def _pruned(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b, sig_a, sig_b`` whose similarity may be high enough, step by step."""
-    steps = least_matches(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for n, needed in steps:
-                part = slice(n - STEP, n)
-                matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= needed]
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
 def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs ``a, b, text_a, text_b`` whose full sets are similar enough."""
+    """Pairs (with signatures and texts) that no batch of hashes rules out and whose full sets are similar enough."""
+    steps = least_matches(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a"):
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
+            likely = batch.take(pa.array(_passing(left, right, steps)))
             keep = []
-            for left, right in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                a, b = shingles(left, size), shingles(right, size)
+            for x, y in zip(likely.column("text_a").to_pylist(), likely.column("text_b").to_pylist()):
+                a, b = shingles(x, size), shingles(y, size)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
+            kept = likely.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -157,21 +183,10 @@ def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     nodes = cut_lineage(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("sig").alias("sig")))
 
     def prepare(shared: DataFrame):
-        wanted = nodes.join(shared, "node", "left_semi").select("node", F.col("key").alias("__key"))
-        texts = docs.select(_key().alias("key"), "text").join(wanted, F.col("key") == F.col("__key")).groupBy("node").agg(F.first("text").alias("text"))
-        texts = cut_lineage(texts)
-        sigs = cut_lineage(nodes.join(shared, "node", "left_semi").select("node", "sig"))
-
-        def sided(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
-            for side in "ab":
-                pairs = pairs.join(found.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-            return pairs
-
-        def confirm(pairs: DataFrame) -> DataFrame:
-            likely = cut_lineage(_pruned(sided(pairs, sigs, "sig"), percent / 100))
-            return _confirmed(sided(likely, texts, "text"), size, percent)
-
-        return confirm
+        wanted = nodes.join(shared, "node", "left_semi").select("node", F.col("key").alias("__key"), "sig")
+        texts = docs.select(_key().alias("key"), "text").join(wanted, F.col("key") == F.col("__key"))
+        payload = texts.groupBy("node").agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
+        return payload, lambda pairs: _confirmed(pairs, size, percent), lambda rows: Documents(rows, size, percent)
 
     labels, _ = link(nodes.select("node", "sig").mapInArrow(_banded, "bucket long, node long").distinct(), prepare)
     rooted = nodes.select("node", "first").join(labels, "node")
