@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +32,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The list gets the scratch paths that are made inside."""
+    _scopes.append(made := [])
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
+def delete_scratch(spark: SparkSession, paths: list[str], still_read: list[str] = ()) -> list[str]:
+    """Delete scratch tables but for those that hold one of the files ``still_read``; returns what is left."""
+    left = [p for p in paths if any(p.rsplit("/", 1)[-1] in f for f in still_read)]  # names are unique; schemes are spelt differently
+    for path in set(paths) - set(left):
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+    return left
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the folder that all executors share."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
