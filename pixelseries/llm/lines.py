@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,20 @@ from .graph import link
 
 #: Shorter normalised lines (in bytes) are left alone.
 MIN_BYTES = 8
-#: 128 bits in five blocks: lines that differ in at most four bits share one for certain, others by chance.
+#: 128 bits in four blocks: lines that differ in at most three bits share one for certain, others by chance.
+#: Narrower blocks would be shared by strangers, the more the more lines there are.
 BITS = 128
-BLOCKS = (26, 26, 26, 25, 25)
+BLOCKS = (32, 32, 32, 32)
 #: More different bits are not worth a comparison; words that may differ, as a share of the longer line.
 MAX_BITS, MAX_EDITS = 28, 0.2
 #: Bits of the filter that picks the texts to compare: a fixed size, whatever the number of lines.
 FILTER_BITS = 1 << 24
-REMEMBERED = 400_000
+REMEMBERED = 120_000
+#: Text bytes worked on at once.
+BATCH = 4 << 20
+#: The heaviest word, and the words whose weights a counter of one byte holds.
+HEAVIEST = 8
+PART = 255 // HEAVIEST
 #: Digits become 0 and ASCII marks vanish, so that counters and punctuation do not tell lines apart.
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -36,43 +43,59 @@ def normalised(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.lower().encode("utf-8", "surrogatepass").translate(DIGITS, MARKS).split(b"\n")]
 
 
+def weight(word: bytes) -> int:
+    """Long words are rare and tell lines apart; short ones would make all lines alike."""
+    return max(1, min(len(word) - 3, HEAVIEST))
+
+
+class Numbered(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Words:
-    """Word bits of a worker: 128 counters of one byte, eight to a number."""
+    """Weighted word bits of a worker: 128 counters of one byte, eight to a number."""
 
     def __init__(self):
-        self.ids: dict[bytes, int] = {}
-        self.lanes = np.empty((0, BITS // 8), np.uint64)
+        self.ids = Numbered()
+        self.lanes, self.weights = np.empty((0, BITS // 8), np.uint64), np.empty(0, np.uint8)
 
-    def lookup(self, words: list[bytes]) -> np.ndarray:
+    def lookup(self, words: Iterable[bytes], n: int) -> np.ndarray:
         if len(self.ids) > REMEMBERED:
             self.__init__()
-        ids = self.ids
-        fresh = list({w: None for w in words if w not in ids})
+        before = len(self.ids)
+        found = np.fromiter(map(self.ids.__getitem__, words), np.int64, n)
+        fresh = list(islice(self.ids, before, None))
         if fresh:
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, fresh)), np.uint8).reshape(-1, BITS // 8)
-            self.lanes = np.concatenate([self.lanes, np.unpackbits(digests, axis=1).view(np.uint64)])
-            ids.update(zip(fresh, range(len(ids), len(ids) + len(fresh))))
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+            weights = np.fromiter(map(weight, fresh), np.uint8, len(fresh))
+            self.lanes = np.concatenate([self.lanes, (np.unpackbits(digests, axis=1) * weights[:, None]).view(np.uint64)])
+            self.weights = np.concatenate([self.weights, weights])
+        return found
 
     def simhashes(self, lines: list[list[bytes]]) -> np.ndarray:
-        """One row of two numbers per line (with a word): the majority of its words' bits.
+        """One row of two numbers per line (with a word): the weighted majority of its words' bits.
 
-        Counters hold 255 words, so a longer line is summed in parts.
+        Counters hold 255, so a line of many words is summed in parts.
         """
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        ids = self.lookup([w for line in lines for w in line])
-        parts = -(-sizes // 255)
+        ids = self.lookup(chain.from_iterable(lines), int(sizes.sum()))
+        parts = -(-sizes // PART)
         first = np.cumsum(sizes) - sizes
         nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(first, parts) + 255 * nth
-        ends = np.minimum(starts + 255, np.repeat(first + sizes, parts))
+        starts = np.repeat(first, parts) + PART * nth
+        ends = np.minimum(starts + PART, np.repeat(first + sizes, parts))
         counts = np.empty((len(starts), BITS), np.uint8)
-        for at in range(0, len(starts), 512):
-            some = starts[at : at + 512]
-            sums = np.add.reduceat(self.lanes[ids[some[0] : ends[min(at + 511, len(ends) - 1)]]], some - some[0], axis=0)
-            counts[at : at + 512] = sums.view(np.uint8)
+        for at in range(0, len(starts), 4096):
+            some = starts[at : at + 4096]
+            sums = np.add.reduceat(self.lanes[ids[some[0] : ends[min(at + 4095, len(ends) - 1)]]], some - some[0], axis=0)
+            counts[at : at + 4096] = sums.view(np.uint8)
         ones = np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
-        return np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64)
+        total = np.add.reduceat(self.weights[ids], first, dtype=np.int64)
+        return np.packbits(2 * ones > total[:, None], axis=1).view(np.int64)
 
 
 _WORDS = Words()
@@ -82,7 +105,7 @@ def _described(docs: DataFrame) -> DataFrame:
     """``doc_id, key, line, node, high, low`` for every line that takes part; a node is a normalised line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=BATCH):
             rows, numbers, lines, nodes = [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 for number, line in enumerate(normalised(text)):
@@ -161,12 +184,26 @@ def similar(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text_a"):
+    for batch in slices(batches, "text_a", BATCH):
         keep = [similar(a.split(), b.split()) for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
         kept = batch.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
 
+class Lines:
+    """Lines of one group, to be compared with others one at a time."""
+
+    def __init__(self, rows: list[dict]):
+        self.sims = np.array([[r["high"], r["low"]] for r in rows], np.int64).reshape(-1, 2)
+        self.words = [r["text"].split() for r in rows]
+
+    def like(self, row: dict, among: np.ndarray) -> np.ndarray:
+        """Which of the lines numbered ``among`` are similar to ``row``."""
+        near = np.bitwise_count(self.sims[among] ^ np.array([row["high"], row["low"]], np.int64)).sum(axis=1) <= MAX_BITS
+        words = row["text"].split()
+        return np.array([i for i in among[near].tolist() if similar(words, self.words[i])], np.int64)
+
+
 def _filter_place(node):
     return node.bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
 
@@ -186,7 +223,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=BATCH):
             texts = {}
             for text in batch.column("text").to_pylist():
                 for line in normalised(text):
@@ -207,30 +244,18 @@ def _dropped(docs: DataFrame) -> DataFrame:
     nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("high").alias("high"), F.first("low").alias("low")))
 
     def prepare(shared: DataFrame):
-        shared = cut_lineage(shared)
-        sims = cut_lineage(nodes.join(shared, "node", "left_semi").select("node", "high", "low"))
-        texts = cut_lineage(_texts(docs, shared))
-
-        def confirm(pairs: DataFrame) -> DataFrame:
-            left = sims.select(F.col("node").alias("a"), F.col("high").alias("ha"), F.col("low").alias("la"))
-            right = sims.select(F.col("node").alias("b"), F.col("high").alias("hb"), F.col("low").alias("lb"))
-            bits = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) + F.bit_count(F.col("la").bitwiseXOR(F.col("lb")))
-            close = pairs.join(left, "a").join(right, "b").filter(bits <= MAX_BITS).select("a", "b")
-            for side in "ab":
-                close = close.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-            return close.mapInArrow(_confirmed, "a long, b long")
-
-        return confirm
+        payload = nodes.select("node", "high", "low").join(_texts(docs, shared), "node")
+        differing = F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")))
+        return payload, lambda pairs: pairs.filter(differing <= MAX_BITS).mapInArrow(_confirmed, "a long, b long"), Lines
 
     labels, _ = link(_blocks(nodes), prepare)
     rooted = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
     groups = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    groups = rooted.select("node", "root").join(groups, "root").select("node", "root", "first")
-    repeated = rows.select("doc_id", "key", "line", "node").join(groups, "node")
+    groups = cut_lineage(rooted.select("node", "root").join(groups, "root").select("node", "root", "first"))
+    lines, position = rows.select("doc_id", "key", "line", "node"), F.struct("key", "line")
     # The kept line is among those of the smallest id.
-    position = F.struct("key", "line")
-    kept = repeated.filter("doc_id <=> first").groupBy("root").agg(F.min(position).alias("kept")).withColumnRenamed("root", "__root")
-    repeated = repeated.join(kept, F.col("root") == F.col("__root"))
+    kept = lines.join(groups, "node").filter("doc_id <=> first").groupBy("root").agg(F.min(position).alias("kept"))
+    repeated = lines.join(groups.join(kept, "root").select("node", "first", "kept"), "node")
     is_kept = (F.col("doc_id").eqNullSafe(F.col("first"))) & (position == F.col("kept"))
     return repeated.filter(~is_kept).groupBy("doc_id", "key").agg(F.collect_set("line").alias("drop"))
 
