@@ -18,7 +18,7 @@ from .batches import byte_words, slices
 from .langid import remainder
 
 #: Tokens of a block: the documents that a task counts and scores together.
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_400_000
 #: Remainders of the documents that are not learned from, and of those that the weights are learned on.
 OUT, WEIGH = 2, 3
 #: The token that ends a text, and stands before its first word; no word has a blank.
@@ -26,13 +26,14 @@ END = b" "
 #: Context frequencies fall in buckets by powers of two; probabilities are grouped by these fractions of one.
 BUCKETS, CONTEXT_STEPS, WORD_STEPS = 48, 8, 4
 ROUNDS, LEAST = 60, 1e-6
-KEY_BITS = 48
+#: Bits of a word's and of a pair's key.
+WORD_BITS, KEY_BITS = 56, 48
 
 
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes: small ones take little room."""
     planes = np.ascontiguousarray(values.astype(np.uint64)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -64,7 +65,7 @@ def _blocked(most: int):
         docs, parts, sizes, tokens, held = [], [], [], [], 0
 
         def finished() -> pa.RecordBatch:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids)) >> np.uint64(64 - WORD_BITS)
             row = [[(task << 32) + made], [docs], [pack(np.array(parts))], [pack(np.array(sizes))], [pack(np.concatenate(tokens))], [pack(hashes)]]
             types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["block", "docs", "parts", "sizes", "tokens", "words"])
@@ -98,7 +99,7 @@ class Block:
         self.block, self.docs = row["block"], row["docs"]
         self.sizes = unpack(row["sizes"]).astype(np.int64)
         self.parts = unpack(row["parts"]).astype(np.int64)
-        self.tokens = unpack(row["tokens"]).astype(np.int64)
+        self.tokens = unpack(row["tokens"]).astype(np.int32)
         self.words = unpack(row["words"])
         part = np.repeat(self.parts, self.sizes)
         self.known, self.kept = part != OUT, (part != OUT) & (part != WEIGH)
@@ -109,17 +110,19 @@ class Block:
 
     def pairs(self) -> None:
         """``key`` (sorted), ``first`` and ``second`` per distinct pair of neighbours; ``at`` per token."""
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = 0
-        codes, at = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        first, second = np.divmod(codes, len(self.words))
+        codes = np.empty(len(self.tokens), np.int64)
+        codes[1:] = self.tokens[:-1]
+        codes[np.cumsum(self.sizes) - self.sizes] = 0
+        codes *= len(self.words)
+        codes += self.tokens
+        codes, at = np.unique(codes, return_inverse=True)
+        first, second = (x.astype(np.int32) for x in np.divmod(codes, len(self.words)))
         x = self.words[first] * np.uint64(0x9E3779B97F4A7C15) + self.words[second]
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         key = (x ^ (x >> np.uint64(29))) >> np.uint64(64 - KEY_BITS)
         order = np.argsort(key, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.key, self.first, self.second, self.at = key[order], first[order], second[order], place[at]
         n = len(codes)
         self.all_, self.kept_pairs = np.bincount(self.at[self.known], minlength=n), np.bincount(self.at[self.kept], minlength=n)
@@ -155,13 +158,17 @@ ASK_SCHEMA = "bucket int, block long, keys binary, known binary, kept binary, co
 ANSWER_SCHEMA = "kind string, block long, keys binary, known binary, kept binary, cells array<long>, counts array<long>"
 
 
-def _asked(block: Block, keys: np.ndarray, bits: int, buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A block's distinct keys and counts, cut into buckets by the key's upper bits."""
+def _asked(block: Block, keys: np.ndarray, bits: int, buckets: int, columns: list[np.ndarray], held: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block's distinct keys and counts, cut into buckets by the key's upper bits.
+
+    The columns after the second are for the keys that are ``held`` alone.
+    """
     bucket = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
     edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
     rows = [(b, edges[b], edges[b + 1]) for b in range(buckets) if edges[b] < edges[b + 1]]
     arrays = [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([block.block] * len(rows), pa.int64()), pa.array([pack_sorted(keys[i:j]) for _, i, j in rows], pa.binary())]
-    arrays += [pa.array([pack(c[i:j]) for _, i, j in rows], pa.binary()) for c in columns]
+    arrays += [pa.array([pack(c[i:j]) for _, i, j in rows], pa.binary()) for c in columns[:2]]
+    arrays += [pa.array([pack(c[i:j][held[i:j]]) for _, i, j in rows], pa.binary()) for c in columns[2:]]
     arrays += [pa.nulls(len(rows), pa.binary())] * (4 - len(columns))
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "keys", "known", "kept", "context", "word"])
 
@@ -172,7 +179,7 @@ def _ask_words(buckets: int):
             for row in batch.to_pylist():
                 block = Block(row)
                 order = np.argsort(block.words, kind="stable")
-                yield _asked(block, block.words[order], 64, buckets, [c[order] for c in block.word_counts()])
+                yield _asked(block, block.words[order], WORD_BITS, buckets, [c[order] for c in block.word_counts()])
 
     return run
 
@@ -190,9 +197,8 @@ def _ask_pairs(buckets: int):
             block.pairs()
             _, kept = _word_totals(block, answers)
             weighed = block.all_ > block.kept_pairs
-            context = np.where(weighed, kept[block.first], 0)
-            word = np.where(weighed, kept[block.second], 0)
-            tables.append(_asked(block, block.key, KEY_BITS, buckets, [block.all_, block.kept_pairs, context, word]))
+            context, word = _logs(kept[block.first], CONTEXT_STEPS), _logs(kept[block.second], WORD_STEPS)
+            tables.append(_asked(block, block.key, KEY_BITS, buckets, [block.all_, block.kept_pairs, context, word], weighed))
         return pa.Table.from_batches(tables, schema=ASK_ARROW)
 
     return run
@@ -231,12 +237,12 @@ def _summed(kind: str):
         else:
             most = [np.zeros(len(distinct), np.int64) for _ in range(2)]
             for values, name in zip(most, ("context", "word")):
-                np.maximum.at(values, at, np.concatenate([unpack(r[name]) for r in rows]).astype(np.int64))
+                np.maximum.at(values, at[own > own_kept], np.concatenate([unpack(r[name]) for r in rows]).astype(np.int64))
             held = known - kept
             some = held > 0
             pair = kept[some]
             pair = np.where(pair <= 8, pair, 8 + _logs(pair, WORD_STEPS))
-            code = (_logs(most[0][some], CONTEXT_STEPS) << 40) | (_logs(most[1][some], WORD_STEPS) << 20) | pair
+            code = (most[0][some] << 40) | (most[1][some] << 20) | pair
             cells, where = np.unique(code, return_inverse=True)
             counts = np.zeros(len(cells), np.int64)
             np.add.at(counts, where, held[some])
