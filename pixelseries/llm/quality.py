@@ -216,5 +216,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     compact = cut_lineage(docs.select("lang", "source", statistics(F.col("text")).alias("stats")))
     stats, odd = spare(docs, "__quality_stats"), spare(docs, "__quality_odd")
     rows = docs.withColumn(stats, statistics(F.col("text")))
-    judged = fit_outliers(compact).rejected(rows.filter(~base_failed(F.col(stats))), "lang", "source", stats, odd)
-    return judged.filter(~F.col(odd)).select(*docs.columns)
+    judged = fit_outliers(compact).rejected(rows, "lang", "source", stats, odd)
+    # One condition on both: on its own the first would work out the statistics once more.
+    return judged.filter(F.when(base_failed(F.col(stats)), F.lit(False)).otherwise(~F.col(odd))).select(*docs.columns)
