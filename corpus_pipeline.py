@@ -38,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @staged
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each line only where it stands first among its near-equals."""
-    return lines.dedup_lines(docs)
+    return lines.dedup_lines(docs, complete=True)
 
 
 @staged

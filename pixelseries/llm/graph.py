@@ -94,31 +94,33 @@ def _cross_links(state: DataFrame, open_: DataFrame, payload: DataFrame, compare
 def link(buckets: DataFrame, prepare: Callable) -> tuple[DataFrame, DataFrame]:
     """``node, root`` of the nodes that links tie together, and the confirmed links ``a, b``.
 
-    Nodes without a link are absent. ``buckets`` has distinct ``bucket, node``:
+    Nodes without a link are absent. ``buckets`` has ``bucket, node``, also repeated:
     members of a bucket may be linked. ``prepare`` gets the nodes that share a bucket
     and returns a table with what a comparison needs of each ``node``, a function that
     keeps the linked ones of pairs ``a, b`` (with these columns for either side, named
     ``_a`` and ``_b``), and a class that compares a list of rows with one more (``like``).
+    If that class only sorts out, a fourth function keeps the linked ones of its pairs.
 
     In each of ``STAR_ROUNDS`` rounds a bucket compares its members with one of them,
     another one each time, and leaves out those already in its component: a bucket of
     n copies costs n comparisons, not n squared. What is still apart then is compared
     completely, component against component.
     """
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = cut_lineage(buckets.join(shared, "bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket")
+    members = cut_lineage(buckets.join(shared, "bucket").distinct())
     none = members.filter("false")
     labels, edges = none.select("node", F.col("node").alias("root")), none.select(F.col("node").alias("a"), F.col("node").alias("b"))
     if members.isEmpty():
         return labels, edges
-    payload, confirm, compare = prepare(cut_lineage(members.select("node").distinct()))
+    payload, confirm, compare, *check = prepare(cut_lineage(members.select("node").distinct()))
     payload = cut_lineage(payload)
     for turn in range(STAR_ROUNDS + 1):
         state = members.withColumn("root", F.col("node")) if turn == 0 else cut_lineage(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
         star = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("centre"), F.col("root").alias("centre_root"))
         parts = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min(star).alias("star"))
-        whole = parts.groupBy("bucket").agg(F.min("star").alias("star"), F.max(F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("parts"))
-        open_ = cut_lineage(whole.filter("parts > 1").select("bucket", "star.centre", "star.centre_root", F.col("major.root").alias("major")))
+        whole = parts.groupBy("bucket").agg(F.min("star").alias("star"), F.max(F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"))
+        # Two members were compared in the first round.
+        open_ = cut_lineage(whole.filter("parts > 1" if turn == 0 else "parts > 1 and members > 2").select("bucket", "star.centre", "star.centre_root", F.col("major.root").alias("major")))
         if open_.isEmpty():
             break
         if turn < STAR_ROUNDS:
@@ -129,6 +131,7 @@ def link(buckets: DataFrame, prepare: Callable) -> tuple[DataFrame, DataFrame]:
             found = confirm(pairs)
         else:
             found = _cross_links(state, open_, payload, compare)
+            found = check[0](found) if check else found
         edges = edges.unionByName(cut_lineage(found.select("a", "b")))
         labels = cut_lineage(components(edges))
     return labels, edges

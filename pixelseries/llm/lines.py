@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one line per group."""
+"""Fuzzy line deduplication: rare word pairs or SimHash blocks, edit similarity, one line per group."""
 
 from __future__ import annotations
 
@@ -25,6 +25,8 @@ BITS = 128
 BLOCKS = (32, 32, 32, 32)
 #: More different bits are not worth a comparison; words that may differ, as a share of the longer line.
 MAX_BITS, MAX_EDITS = 28, 0.2
+#: Numbers of 64 bits that hold the parities of a line's words; lines of fewer words are similar only if equal.
+SIGNS, LEAST_WORDS = 4, 4
 #: Bits of the filter that picks the texts to compare: a fixed size, whatever the number of lines.
 FILTER_BITS = 1 << 24
 REMEMBERED = 120_000
@@ -98,7 +100,54 @@ class Words:
         return np.packbits(2 * ones > total[:, None], axis=1).view(np.int64)
 
 
-_WORDS = Words()
+class Signs:
+    """Parities of word hashes and the rarest word pairs of lines: what tells for certain which lines may be similar."""
+
+    def __init__(self):
+        self.ids = Numbered()
+        self.hashes, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def lookup(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        if len(self.ids) > REMEMBERED:
+            self.__init__()
+        before = len(self.ids)
+        found = np.fromiter(map(self.ids.__getitem__, words), np.int64, n)
+        fresh = list(islice(self.ids, before, None))
+        if fresh:
+            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, fresh), np.int64, len(fresh))])
+        return found
+
+    def signed(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parities as four numbers per line (with a word), the number of buckets per line, and the buckets.
+
+        An edit changes at most two word pairs of a line, so lines of at most k edits
+        share one of each line's 2k + 1 first pairs in any one order of all pairs: here
+        those of long words first, which are rare.
+        """
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        ids = self.lookup(chain.from_iterable(lines), int(sizes.sum()))
+        first, hashes, lengths = np.cumsum(sizes) - sizes, self.hashes[ids], self.sizes[ids]
+        ones = np.zeros((len(ids), SIGNS), np.uint64)
+        ones[np.arange(len(ids)), (hashes >> np.uint64(6)) % np.uint64(SIGNS)] = np.uint64(1) << (hashes & np.uint64(63))
+        signs = np.bitwise_xor.reduceat(ones, first, axis=0).view(np.int64)
+        of = np.repeat(np.arange(len(lines)), sizes)
+        at = np.flatnonzero((of[:-1] == of[1:]) & (sizes[of[:-1]] >= LEAST_WORDS))
+        mixed = (hashes[at] ^ hashes[at] >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + hashes[at + 1]
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        rare = np.minimum(lengths[at] + lengths[at + 1], 255).astype(np.uint64)
+        buckets, of = (np.uint64(255) - rare) << np.uint64(56) | mixed >> np.uint64(8), of[at]
+        order = np.lexsort((buckets, of))
+        buckets, of = buckets[order], of[order]
+        counts = np.bincount(of, minlength=len(lines))
+        place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        # A line one word short of a multiple of five may lose one pair more, to a line of one word more.
+        chosen = place <= (2 * (sizes // 5) + (sizes % 5 == 4))[of]
+        chosen[1:] &= (buckets[1:] != buckets[:-1]) | (of[1:] != of[:-1])
+        return signs, np.bincount(of[chosen], minlength=len(lines)), buckets[chosen].view(np.int64)
+
+
+_WORDS, _SIGNS = Words(), Signs()
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -127,6 +176,32 @@ def _described(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id long, key long, line int, node long, high long, low long")
 
 
+def _signed(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, line, node, n_words, sign0.., buckets`` for every line that takes part."""
+    signs = [f"sign{i}" for i in range(SIGNS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=BATCH):
+            rows, numbers, lines, nodes = [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for number, line in enumerate(normalised(text)):
+                    joined = b" ".join(line)
+                    if len(joined) >= MIN_BYTES:
+                        rows.append(row)
+                        numbers.append(number)
+                        lines.append(line)
+                        nodes.append(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
+            if not lines:
+                continue
+            parities, counts, buckets = _SIGNS.signed(lines)
+            at, ends = pa.array(rows), pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            columns = [batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(numbers, pa.int32()), pa.array(nodes, pa.int64()), pa.array(map(len, lines), pa.int32())]
+            columns += [pa.array(parities[:, i]) for i in range(SIGNS)] + [pa.ListArray.from_arrays(ends, pa.array(buckets))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "line", "node", "n_words", *signs, "buckets"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, line int, node long, n_words int, " + "".join(f"{c} long, " for c in signs) + "buckets array<long>")
+
+
 def _key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
@@ -204,6 +279,27 @@ class Lines:
         return np.array([i for i in among[near].tolist() if similar(words, self.words[i])], np.int64)
 
 
+class SignedLines:
+    """Lines of one group, of which those are found that may be similar to another."""
+
+    def __init__(self, rows: list[dict]):
+        self.signs = np.array([[r[f"sign{i}"] for i in range(SIGNS)] for r in rows], np.int64).reshape(-1, SIGNS).view(np.uint64)  # bits of negative numbers are not counted
+        self.sizes = np.array([r["n_words"] for r in rows], np.int64)
+
+    def like(self, row: dict, among: np.ndarray) -> np.ndarray:
+        sizes, own = self.sizes[among], row["n_words"]
+        edits, apart = np.maximum(sizes, own) // 5, np.abs(sizes - own)
+        differing = np.bitwise_count(self.signs[among] ^ np.array([row[f"sign{i}"] for i in range(SIGNS)], np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        return among[(apart <= edits) & (differing <= 2 * edits - apart)]
+
+
+def _may_be_similar():
+    """An added or taken word changes one parity, another word in its place two: no similar pair fails this."""
+    edits, apart = F.floor(F.greatest("n_words_a", "n_words_b") / 5), F.abs(F.col("n_words_a") - F.col("n_words_b"))
+    differing = sum((F.bit_count(F.col(f"sign{i}_a").bitwiseXOR(F.col(f"sign{i}_b"))) for i in range(SIGNS)), F.lit(0))
+    return (apart <= edits) & (differing <= 2 * edits - apart)
+
+
 def _filter_place(node):
     return node.bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
 
@@ -238,8 +334,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _dropped(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, drop``: the line numbers that go, per document that loses any."""
+def _linked_by_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines, their nodes, and the labels of nodes that share a SimHash block and are similar."""
     rows = cut_lineage(_described(docs))
     nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("high").alias("high"), F.first("low").alias("low")))
 
@@ -248,7 +344,31 @@ def _dropped(docs: DataFrame) -> DataFrame:
         differing = F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")))
         return payload, lambda pairs: pairs.filter(differing <= MAX_BITS).mapInArrow(_confirmed, "a long, b long"), Lines
 
-    labels, _ = link(_blocks(nodes), prepare)
+    return rows, nodes, link(_blocks(nodes), prepare)[0]
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines, their nodes, and the labels of all nodes that are similar to another."""
+    rows = cut_lineage(_signed(docs))
+    signs = ["n_words", *(f"sign{i}" for i in range(SIGNS))]
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in signs)))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        close = cut_lineage(pairs.select("a", "b").distinct())
+        texts = cut_lineage(_texts(docs, close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()))
+        for side in "ab":
+            close = close.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+        return close.mapInArrow(_confirmed, "a long, b long")
+
+    def prepare(shared: DataFrame):
+        return nodes.select("node", *signs), lambda pairs: check(pairs.filter(_may_be_similar())), SignedLines, check
+
+    return rows, nodes, link(rows.select(F.explode("buckets").alias("bucket"), "node"), prepare)[0]
+
+
+def _dropped(docs: DataFrame, complete: bool) -> DataFrame:
+    """``doc_id, key, drop``: the line numbers that go, per document that loses any."""
+    rows, nodes, labels = _linked(docs) if complete else _linked_by_blocks(docs)
     rooted = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
     groups = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
     groups = cut_lineage(rooted.select("node", "root").join(groups, "root").select("node", "root", "first"))
@@ -260,18 +380,19 @@ def _dropped(docs: DataFrame) -> DataFrame:
     return repeated.filter(~is_kept).groupBy("doc_id", "key").agg(F.collect_set("line").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, n_lines: str | None = None, n_dropped: str | None = None, complete: bool = False) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, if it is there) without repeated lines.
 
     Lines are compared in lower case, without ASCII marks and with 0 for each digit.
-    Equal lines, and lines of which at most a fifth of the words differ and that
-    share a SimHash block, form groups; of each connected group the line of the
+    Equal lines, and lines of which at most a fifth of the words differ, form groups:
+    with ``complete`` all such lines, else those that share a SimHash block and
+    differ in at most ``MAX_BITS`` bits, which misses many. Of each connected group the line of the
     smallest id stays (of one document's lines the first) and the others go, in all documents. Lines of fewer
     than ``MIN_BYTES`` bytes stay. Null texts stay null; a null id counts after all
     others. Rows alike in id and text are treated alike. ``n_lines`` and ``n_dropped``
     name columns to add.
     """
-    drops = _dropped(docs).select(F.col("key").alias("__lines_key"), F.col("drop").alias("__lines_drop"))
+    drops = _dropped(docs, complete).select(F.col("key").alias("__lines_key"), F.col("drop").alias("__lines_drop"))
     key = spare(docs, "__lines_of")
     rows = docs.withColumn(key, _key()).join(drops, F.col(key) == F.col("__lines_key"), "left")
     lines = F.split("text", "\n")

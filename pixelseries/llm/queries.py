@@ -117,7 +117,7 @@ def op4_bayes_minhash(spark, sf):
 
 @query()
 def op10_simhash_lines(spark, sf):
-    found = dedup_lines(table(spark, sf, "documents"), "n_lines", "n_dropped")
+    found = dedup_lines(table(spark, sf, "documents"), "n_lines", "n_dropped", complete=True)
     return found.select("doc_id", "text", "n_lines", "n_dropped")
 
 

@@ -379,6 +379,43 @@ def test_lines_equal_brute_force(spark):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_lines(docs).columns == docs.columns
 
 
+def edited_lines():
+    """Lines of 4 to 60 words, each with copies of up to a fifth and of more words changed, added and taken."""
+    rng, rows = np.random.default_rng(9), []
+    for n in [4, 5, 6, 8, 9, 10, 14, 15, 19, 20, 24, 25, 30, 40, 60] * 2:
+        base = messy.sentence(4000 + len(rows), n).split()
+        rows.append((len(rows), " ".join(base), "en", "a"))
+        for edits in (1, n // 5, n // 5 + 1, n // 5 + 2):
+            words = list(base)
+            for i in range(edits):
+                at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+                words[at : at + (kind != 1)] = [] if kind == 2 else [f"q{len(rows)}x{'abcdefghij'[i % 10]}"]
+            rows.append((len(rows), " ".join(words), "en", "a"))
+    return rows
+
+
+def test_complete_lines_equal_all_pairs(spark):
+    rows = line_rows() + [(1000 + r[0], *r[1:]) for r in edited_lines()]
+    got = lines.dedup_lines(messy.frame(spark, rows), complete=True).collect()
+    want = plain_lines(rows, lambda a, b: lines.similar(a.split(), b.split()))
+    assert messy.counted((r.doc_id, r.text) for r in got) == messy.counted(want)
+
+
+def test_similar_lines_share_a_bucket_and_pass_the_parities():
+    rows = [lines.normalised(r[1])[0] for r in edited_lines()]
+    signs, counts, buckets = lines.Signs().signed(rows)
+    buckets = [set(b.tolist()) for b in np.split(buckets, np.cumsum(counts)[:-1])]
+    described = [{"n_words": len(w), **{f"sign{i}": int(v) for i, v in enumerate(s)}} for w, s in zip(rows, signs)]
+    held, n = lines.SignedLines(described), 0
+    for i, a in enumerate(rows):
+        near = set(held.like(described[i], np.arange(len(rows))).tolist())
+        for j, b in enumerate(rows):
+            if a != b and lines.similar(a, b):
+                n += 1
+                assert buckets[i] & buckets[j] and j in near
+    assert n > 100
+
+
 def test_block_columns_equal_the_bits(spark):
     nodes = spark.createDataFrame([(1, -(2**63) + 12345, 987654321), (2, 5, -7)], "node long, high long, low long")
     for r in nodes.collect():
