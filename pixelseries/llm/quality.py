@@ -13,8 +13,9 @@ from pixelseries.session import cut_lineage
 from .common import let, spare, words
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Smallest spread of each feature: differences below it are never called odd.
-FLOORS = (0.5, 0.08, 0.08, 0.12, 0.12)
+#: Smallest spread of each feature: differences below it are never called odd. With the last two, in a group
+#: without any, a duplicate line per 20 words or a fifth of repeated words is odd on its own.
+FLOORS = (0.5, 0.08, 0.08, 0.03, 0.06)
 DIMENSIONS = len(FLOORS)
 #: The share of a group's rows the estimate is made of, and its refinements.
 CORE, STEPS = 0.75, 4

@@ -184,6 +184,23 @@ def test_outliers_equal_a_plain_estimate(spark):
     assert not any(found[i].kept for i in range(300, 340)) and all(found[i].kept for i in [*range(300), *range(400, 470)])
 
 
+def test_clear_repeats_are_outliers_on_their_own(spark):
+    rows = [(i, messy.sentence(i, 60 + (i * 53) % 400), "en", "a") for i in range(300)]
+    for i in range(10):
+        part = messy.sentence(5000 + i, 30)
+        rows.append((300 + i, f"{part} {messy.sentence(5100 + i, 68)} {part}", "en", "a"))  # 47 % repeated words
+        marks = "\n".join(f"x{j} {w}" for j, w in enumerate(messy.sentence(5200 + i, 12).split()))
+        rows.append((320 + i, f"{messy.sentence(5300 + i, 150)}\n{marks}\n" + "\n".join(f"{w}\n{m}" for w, m in zip(messy.sentence(5400 + i, 12).split(), marks.split("\n"))), "en", "a"))  # a tenth duplicate lines, no repeated windows
+        once = messy.sentence(5500 + i, 3)
+        rows.append((340 + i, f"{once} {messy.sentence(5600 + i, 54)} {once}\nNote\n{messy.sentence(5700 + i, 9)}\nNote", "en", "a"))  # harmless
+    found = {r.doc_id: r for r in quality.assess(messy.frame(spark, rows)).collect()}
+    for i in range(10):
+        assert found[300 + i].n_dup_lines == 0 and found[320 + i].n_repeat_words == 0 and found[320 + i].n_dup_lines >= 12
+        assert not found[300 + i].base_failed and not found[300 + i].kept
+        assert not found[320 + i].base_failed and not found[320 + i].kept
+    assert all(found[i].kept for i in [*range(300), *range(340, 350)])
+
+
 def test_chi_square():
     assert quality.chi_square(5, 0.5) == pytest.approx(4.351, rel=0.01)
     assert quality.chi_square(5, 0.01) == pytest.approx(15.086, rel=0.01)
