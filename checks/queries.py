@@ -1284,10 +1284,10 @@ def q_grid_search(spark, sf):
 LEADS = 3
 
 
-def short_samples(spark, sf):
+def short_samples(spark, sf, stride=7):
     """Two context frames, three target frames: few enough features for SQL to solve the model."""
     packed = windows.pack_series(filled_ndvi(spark, sf), ["s2_ndvi"])
-    return named_samples(windows.sliding_windows(packed, 2, LEADS, stride=7))
+    return named_samples(windows.sliding_windows(packed, 2, LEADS, stride=stride))
 
 
 def _ridge_sql(reg: float, train: str, rows: str) -> str:
@@ -1333,6 +1333,32 @@ def q_ridge_grid(spark, sf):
     return found.select("trial", "reg_param", r4("rmse", 6).alias("rmse"))
 
 
+# Every start, not each seventh one.
+SHORT_ALL = SHORT.replace("a.t % 7 = 0 AND ", "")
+
+
+@query(sql(SHORT_ALL, body=f"SELECT step, n, round(rmse, 6) AS rmse FROM ({_ridge_sql(0.05, EARLY, 'short')})"))
+def q_ridge_forecast_all(spark, sf):
+    tagged = sampling.split_by_range(short_samples(spark, sf, stride=1), time_range=["1995-01-01", "1999-12-31"])
+    found = forecast_scores(tagged, ["s2_ndvi"], "s2_ndvi", LEADS, reg_param=0.05)
+    return found.select("step", "n", r4("rmse", 6).alias("rmse"))
+
+
+@query(
+    sql(
+        SHORT_ALL,
+        """ranked AS (SELECT s.*, rk <= floor(0.2 * cnt) AS is_val FROM short s JOIN (
+              SELECT sample_id, row_number() OVER (ORDER BY md5('42:' || sample_id), sample_id) AS rk, count(*) OVER () AS cnt FROM (SELECT DISTINCT sample_id FROM short)) USING (sample_id))""",
+        body=" UNION ALL ".join(
+            f"SELECT 'config_(reg_param={r})' AS trial, {r}::DOUBLE AS reg_param, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) AS rmse FROM ({_ridge_sql(r, 'NOT is_val', 'ranked')})" for r in RIDGES
+        ),
+    )
+)
+def q_ridge_grid_all(spark, sf):
+    found = tune(short_samples(spark, sf, stride=1), ["s2_ndvi"], "s2_ndvi", LEADS, {"reg_param": list(RIDGES)}, val_fraction=0.2, seed=42)
+    return found.select("trial", "reg_param", r4("rmse", 6).alias("rmse"))
+
+
 DATASET = (
     clean_cte(36)
     + ", "

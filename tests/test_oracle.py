@@ -22,6 +22,12 @@ def test_oracle_covers_all_but_the_fitted_models():
     assert set(QUERIES) - set(ORACLE) == {"q_forecast", "q_grid_search"}
 
 
+def test_ridge_scores_cover_every_window(spark):
+    found = {r.step: r.n for r in QUERIES["q_ridge_forecast_all"](spark, SF).collect()}
+    part = {r.step: r.n for r in QUERIES["q_ridge_forecast"](spark, SF).collect()}
+    assert set(found) == set(part) and all(6.5 < found[k] / part[k] < 7.5 for k in found)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
