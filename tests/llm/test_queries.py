@@ -24,6 +24,9 @@ COLUMNS = {
     "op8_speculative_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9_bloom_language": "doc_id held_out lang_pred score",
     "op10_simhash_lines": "doc_id text n_lines n_dropped",
+    "op11_merkle_windows": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12_bit_packing": "doc_id start n_tokens ids_crc32",
+    "op13_bitset_spellings": "word form root n n_near form_n",
 }
 
 
@@ -36,7 +39,7 @@ def test_query(spark, name):
     found = QUERIES[name](spark, SF)
     assert found.columns == COLUMNS[name].split()
     rows = found.collect()
-    table = {"op3_vantage_trees": None, "op6_association_rules": "pages"}.get(name, "documents")
+    table = {"op3_vantage_trees": None, "op13_bitset_spellings": None, "op6_association_rules": "pages"}.get(name, "documents")
     if table:
         assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     if name in ORACLE:
