@@ -11,6 +11,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``.
@@ -67,9 +69,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to a table in the checkpoint folder and go on from there.
 
     The shared folder outlives executors, and later steps read only the
-    columns they use.
+    columns they use. Shuffle files of the write go when it ends: nothing reads
+    them again.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
