@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: rare word pairs or SimHash blocks, edit similarity, one line per group."""
+"""Fuzzy line deduplication: SimHash blocks, edit similarity, one line per group."""
 
 from __future__ import annotations
 
@@ -17,18 +17,16 @@ from .batches import slices
 from .common import spare
 from .graph import link
 
-#: Shorter normalised lines (in bytes) are left alone.
-MIN_BYTES = 8
-#: 128 bits in four blocks: lines that differ in at most three bits share one for certain, others by chance.
-#: Narrower blocks would be shared by strangers, the more the more lines there are.
-BITS = 128
-BLOCKS = (32, 32, 32, 32)
-#: More different bits are not worth a comparison; words that may differ, as a share of the longer line.
-MAX_BITS, MAX_EDITS = 28, 0.2
-#: Numbers of 64 bits that hold the parities of a line's words; lines of fewer words are similar only if equal.
-SIGNS, LEAST_WORDS = 4, 4
-#: Bits of the filter that picks the texts to compare: a fixed size, whatever the number of lines.
-FILTER_BITS = 1 << 24
+#: Similar lines differ in at most one word in so many; shorter ones are similar only if equal.
+WORDS_AN_EDIT = 20
+#: Of 128 bits, blocks of so many bits; similar lines are looked for where two blocks are equal.
+BITS, BLOCKS, WIDTH = 128, 10, 12
+#: Lines meet in classes of word counts, each this much wider than the one before.
+CLASS = 1.2
+#: Rows of one block value that a task holds at once; beyond it they are passed on unsorted.
+HELD = 1 << 20
+#: Numbers of 64 bits that hold the parities of a line's words.
+SIGNS = 4
 REMEMBERED = 120_000
 #: Text bytes worked on at once.
 BATCH = 4 << 20
@@ -38,6 +36,7 @@ PART = 255 // HEAVIEST
 #: Digits become 0 and ASCII marks vanish, so that counters and punctuation do not tell lines apart.
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+SKETCH = ["n_words", "high", "low", *(f"sign{i}" for i in range(SIGNS))]
 
 
 def normalised(text: str) -> list[list[bytes]]:
@@ -59,11 +58,12 @@ class Numbered(dict):
 
 
 class Words:
-    """Weighted word bits of a worker: 128 counters of one byte, eight to a number."""
+    """What a worker knows of words: weighted bits as 128 counters of one byte, eight to a number, and one bit each for parities."""
 
     def __init__(self):
         self.ids = Numbered()
         self.lanes, self.weights = np.empty((0, BITS // 8), np.uint64), np.empty(0, np.uint8)
+        self.signs = np.empty((0, SIGNS), np.uint64)
 
     def lookup(self, words: Iterable[bytes], n: int) -> np.ndarray:
         if len(self.ids) > REMEMBERED:
@@ -76,10 +76,13 @@ class Words:
             weights = np.fromiter(map(weight, fresh), np.uint8, len(fresh))
             self.lanes = np.concatenate([self.lanes, (np.unpackbits(digests, axis=1) * weights[:, None]).view(np.uint64)])
             self.weights = np.concatenate([self.weights, weights])
+            hashes, signs = digests[:, :8].copy().view(np.uint64).ravel(), np.zeros((len(fresh), SIGNS), np.uint64)
+            signs[np.arange(len(fresh)), (hashes >> np.uint64(6)) % np.uint64(SIGNS)] = np.uint64(1) << (hashes & np.uint64(63))
+            self.signs = np.concatenate([self.signs, signs])
         return found
 
-    def simhashes(self, lines: list[list[bytes]]) -> np.ndarray:
-        """One row of two numbers per line (with a word): the weighted majority of its words' bits.
+    def sketches(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Per line (with a word) two numbers, the weighted majority of its words' bits, and the parities of its words' own bits.
 
         Counters hold 255, so a line of many words is summed in parts.
         """
@@ -97,109 +100,49 @@ class Words:
             counts[at : at + 4096] = sums.view(np.uint8)
         ones = np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
         total = np.add.reduceat(self.weights[ids], first, dtype=np.int64)
-        return np.packbits(2 * ones > total[:, None], axis=1).view(np.int64)
+        signs = np.bitwise_xor.reduceat(self.signs[ids], first, axis=0)
+        return np.packbits(2 * ones > total[:, None], axis=1).view(np.int64), signs.view(np.int64)
 
 
-class Signs:
-    """Parities of word hashes and the rarest word pairs of lines: what tells for certain which lines may be similar."""
-
-    def __init__(self):
-        self.ids = Numbered()
-        self.hashes, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def lookup(self, words: Iterable[bytes], n: int) -> np.ndarray:
-        if len(self.ids) > REMEMBERED:
-            self.__init__()
-        before = len(self.ids)
-        found = np.fromiter(map(self.ids.__getitem__, words), np.int64, n)
-        fresh = list(islice(self.ids, before, None))
-        if fresh:
-            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))])
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, fresh), np.int64, len(fresh))])
-        return found
-
-    def signed(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Parities as four numbers per line (with a word), the number of buckets per line, and the buckets.
-
-        An edit changes at most two word pairs of a line, so lines of at most k edits
-        share one of each line's 2k + 1 first pairs in any one order of all pairs: here
-        those of long words first, which are rare.
-        """
-        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        ids = self.lookup(chain.from_iterable(lines), int(sizes.sum()))
-        first, hashes, lengths = np.cumsum(sizes) - sizes, self.hashes[ids], self.sizes[ids]
-        ones = np.zeros((len(ids), SIGNS), np.uint64)
-        ones[np.arange(len(ids)), (hashes >> np.uint64(6)) % np.uint64(SIGNS)] = np.uint64(1) << (hashes & np.uint64(63))
-        signs = np.bitwise_xor.reduceat(ones, first, axis=0).view(np.int64)
-        of = np.repeat(np.arange(len(lines)), sizes)
-        at = np.flatnonzero((of[:-1] == of[1:]) & (sizes[of[:-1]] >= LEAST_WORDS))
-        mixed = (hashes[at] ^ hashes[at] >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + hashes[at + 1]
-        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        rare = np.minimum(lengths[at] + lengths[at + 1], 255).astype(np.uint64)
-        buckets, of = (np.uint64(255) - rare) << np.uint64(56) | mixed >> np.uint64(8), of[at]
-        order = np.lexsort((buckets, of))
-        buckets, of = buckets[order], of[order]
-        counts = np.bincount(of, minlength=len(lines))
-        place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-        # A line one word short of a multiple of five may lose one pair more, to a line of one word more.
-        chosen = place <= (2 * (sizes // 5) + (sizes % 5 == 4))[of]
-        chosen[1:] &= (buckets[1:] != buckets[:-1]) | (of[1:] != of[:-1])
-        return signs, np.bincount(of[chosen], minlength=len(lines)), buckets[chosen].view(np.int64)
-
-
-_WORDS, _SIGNS = Words(), Signs()
+_WORDS = Words()
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, line, node, high, low`` for every line that takes part; a node is a normalised line."""
+    """``doc_id, key, line, node`` for every line with a word; a node is a normalised line.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=BATCH):
-            rows, numbers, lines, nodes = [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                for number, line in enumerate(normalised(text)):
-                    joined = b" ".join(line)
-                    if len(joined) >= MIN_BYTES:
-                        rows.append(row)
-                        numbers.append(number)
-                        lines.append(line)
-                        nodes.append(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
-            if not lines:
-                continue
-            sims = _WORDS.simhashes(lines)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(numbers, pa.int32()), pa.array(nodes, pa.int64()), pa.array(sims[:, 0]), pa.array(sims[:, 1])],
-                names=["doc_id", "key", "line", "node", "high", "low"],
-            )
-
-    return _keyed(docs).mapInArrow(run, "doc_id long, key long, line int, node long, high long, low long")
-
-
-def _signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, line, node, n_words, sign0.., buckets`` for every line that takes part."""
-    signs = [f"sign{i}" for i in range(SIGNS)]
+    Where a batch first has a line long enough to be similar to another, also its
+    ``text`` and what ``SKETCH`` names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=BATCH):
-            rows, numbers, lines, nodes = [], [], [], []
+            rows, numbers, nodes, at, texts, long, seen = [], [], [], [], [], [], set()
             for row, text in enumerate(batch.column("text").to_pylist()):
                 for number, line in enumerate(normalised(text)):
+                    if not line:
+                        continue
                     joined = b" ".join(line)
-                    if len(joined) >= MIN_BYTES:
-                        rows.append(row)
-                        numbers.append(number)
-                        lines.append(line)
-                        nodes.append(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
-            if not lines:
+                    node = xxhash.xxh3_64_intdigest(joined) - (1 << 63)
+                    if len(line) >= WORDS_AN_EDIT - 1 and node not in seen:
+                        seen.add(node)
+                        at.append(len(rows))
+                        texts.append(joined)
+                        long.append(line)
+                    rows.append(row)
+                    numbers.append(number)
+                    nodes.append(node)
+            if not rows:
                 continue
-            parities, counts, buckets = _SIGNS.signed(lines)
-            at, ends = pa.array(rows), pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            columns = [batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(numbers, pa.int32()), pa.array(nodes, pa.int64()), pa.array(map(len, lines), pa.int32())]
-            columns += [pa.array(parities[:, i]) for i in range(SIGNS)] + [pa.ListArray.from_arrays(ends, pa.array(buckets))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "line", "node", "n_words", *signs, "buckets"])
+            place = np.full(len(rows), -1)
+            place[at] = np.arange(len(at))
+            where = pa.array(place, mask=place < 0)
+            sims, signs = _WORDS.sketches(long) if long else (np.empty((0, 2), np.int64), np.empty((0, SIGNS), np.int64))
+            values = [pa.array(texts, pa.binary()), pa.array(map(len, long), pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in (*sims.T, *signs.T))]
+            take = pa.array(rows)
+            columns = [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(numbers, pa.int32()), pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(v.take(where) for v in values)], names=["doc_id", "key", "line", "node", "text", *SKETCH])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, key long, line int, node long, n_words int, " + "".join(f"{c} long, " for c in signs) + "buckets array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, line int, node long, text binary, n_words int" + "".join(f", {c} long" for c in SKETCH[1:]))
 
 
 def _key():
@@ -210,20 +153,79 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """``bucket, node``: the bits of each block, with the block's number."""
-    found, at = [], 0
-    for number, width in enumerate(BLOCKS):
-        high, low = max(0, min(width, 64 - at)), min(width, max(0, at + width - 64))
-        value = F.lit(0).cast("long")
-        if high:
-            value = F.shiftrightunsigned("high", 64 - at - high).bitwiseAND(F.lit((1 << high) - 1).cast("long"))
-        if low:
-            start = max(0, at - 64)
-            value = F.shiftleft(value, low) + F.shiftrightunsigned("low", 64 - start - low).bitwiseAND(F.lit((1 << low) - 1).cast("long"))
-        found.append(F.shiftleft(value, 3) + number)
-        at += width
-    return nodes.select(F.explode(F.array(*found)).alias("bucket"), "node")
+def _block(number: int):
+    """The bits of a block."""
+    start, stop = number * WIDTH, (number + 1) * WIDTH
+    bits = lambda column, at, n: F.shiftrightunsigned(column, 64 - at - n).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    if stop <= 64:
+        return bits("high", start, WIDTH)
+    if start >= 64:
+        return bits("low", start - 64, WIDTH)
+    return F.shiftleft(bits("high", start, 64 - start), stop - 64) + bits("low", 0, stop - 64)
+
+
+def _class(n):
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS))).cast("long")
+
+
+def _entries(part: np.ndarray, blocks: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, shared_only: bool) -> pa.RecordBatch:
+    """``bucket, node`` for every later second block, or for those alone that another row of the part has."""
+    first, buckets, found = part >> WIDTH & 15, [], []
+    for second in range(1, BLOCKS):
+        some = np.flatnonzero(first < second)
+        key = part[some] << 4 + WIDTH | second << WIDTH | blocks[some, second]
+        if shared_only and len(some):
+            order = np.argsort(key, kind="stable")
+            some, key = some[order], key[order]
+            run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+            n = np.bincount(run)
+            low, high = (f.reduceat(sizes[some], np.cumsum(n) - n) for f in (np.minimum, np.maximum))
+            # Two rows alone whose word counts are too far apart have nothing to compare.
+            shared = (n > 1) & ~((n == 2) & (high - low > high // WORDS_AN_EDIT))
+            some, key = some[shared[run]], key[shared[run]]
+        buckets.append(key)
+        found.append(nodes[some])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(found))], names=["bucket", "node"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``bucket, node`` of rows that share a second block with another of their ``part``; rows come in its order.
+
+    Whole parts are sorted in memory. Of a part beyond ``HELD`` rows all entries are given,
+    as they come: who shares one is found later, as for all buckets.
+    """
+    held, n, enough, broken = [], 0, 1 << 16, None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            columns = [batch.column(c).to_numpy() for c in ("part", "node", "n_words", *(f"b{i}" for i in range(BLOCKS)))]
+            held.append([*columns[:3], np.stack(columns[3:], axis=1)])
+            n += batch.num_rows
+            if n < enough:
+                continue
+        if not n:
+            continue
+        part, nodes, sizes, blocks = (np.concatenate(c) for c in zip(*held))
+        begun = int(np.searchsorted(part, broken, side="right")) if part[0] == broken else 0
+        stop = n if batch is None else max(begun, int(np.searchsorted(part, part[-1])))  # the last part may go on
+        last, broken = (n, part[-1]) if n - stop > HELD else (stop, broken)
+        for low, high, shared_only in ((0, begun, False), (begun, stop, True), (stop, last, False)):
+            if high > low:
+                yield _entries(part[low:high], blocks[low:high], nodes[low:high], sizes[low:high], shared_only)
+        held, n = [[part[last:], nodes[last:], sizes[last:], blocks[last:]]], n - last
+        enough = max(1 << 16, 2 * n)
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """``bucket, node``: two equal blocks, and a class that holds the word counts of similar lines.
+
+    Lines are dealt by one block and class; the second block is compared there.
+    """
+    longest = F.col("n_words") + F.floor(F.col("n_words") / (WORDS_AN_EDIT - 1))
+    classes = F.explode(F.array_distinct(F.array(_class(F.col("n_words")), _class(longest)))).alias("class")
+    rows = nodes.select("node", "n_words", *(_block(i).cast("int").alias(f"b{i}") for i in range(BLOCKS)), classes)
+    parts = [F.shiftleft(F.col("class"), 4 + WIDTH) + (i << WIDTH) + F.col(f"b{i}") for i in range(BLOCKS - 1)]
+    rows = rows.withColumn("part", F.explode(F.array(*parts))).drop("class")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_paired, "bucket long, node long")
 
 
 def edit_distance(a: list[bytes], b: list[bytes]) -> int:
@@ -254,8 +256,8 @@ def edit_distance(a: list[bytes], b: list[bytes]) -> int:
 
 
 def similar(a: list[bytes], b: list[bytes]) -> bool:
-    longer = max(len(a), len(b))
-    return longer - min(len(a), len(b)) <= MAX_EDITS * longer and edit_distance(a, b) <= MAX_EDITS * longer
+    edits = max(len(a), len(b)) // WORDS_AN_EDIT
+    return abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,20 +267,6 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
 
-class Lines:
-    """Lines of one group, to be compared with others one at a time."""
-
-    def __init__(self, rows: list[dict]):
-        self.sims = np.array([[r["high"], r["low"]] for r in rows], np.int64).reshape(-1, 2)
-        self.words = [r["text"].split() for r in rows]
-
-    def like(self, row: dict, among: np.ndarray) -> np.ndarray:
-        """Which of the lines numbered ``among`` are similar to ``row``."""
-        near = np.bitwise_count(self.sims[among] ^ np.array([row["high"], row["low"]], np.int64)).sum(axis=1) <= MAX_BITS
-        words = row["text"].split()
-        return np.array([i for i in among[near].tolist() if similar(words, self.words[i])], np.int64)
-
-
 class SignedLines:
     """Lines of one group, of which those are found that may be similar to another."""
 
@@ -288,88 +276,43 @@ class SignedLines:
 
     def like(self, row: dict, among: np.ndarray) -> np.ndarray:
         sizes, own = self.sizes[among], row["n_words"]
-        edits, apart = np.maximum(sizes, own) // 5, np.abs(sizes - own)
+        edits, apart = np.maximum(sizes, own) // WORDS_AN_EDIT, np.abs(sizes - own)
         differing = np.bitwise_count(self.signs[among] ^ np.array([row[f"sign{i}"] for i in range(SIGNS)], np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
         return among[(apart <= edits) & (differing <= 2 * edits - apart)]
 
 
 def _may_be_similar():
     """An added or taken word changes one parity, another word in its place two: no similar pair fails this."""
-    edits, apart = F.floor(F.greatest("n_words_a", "n_words_b") / 5), F.abs(F.col("n_words_a") - F.col("n_words_b"))
+    edits, apart = F.floor(F.greatest("n_words_a", "n_words_b") / WORDS_AN_EDIT), F.abs(F.col("n_words_a") - F.col("n_words_b"))
     differing = sum((F.bit_count(F.col(f"sign{i}_a").bitwiseXOR(F.col(f"sign{i}_b"))) for i in range(SIGNS)), F.lit(0))
     return (apart <= edits) & (differing <= 2 * edits - apart)
 
 
-def _filter_place(node):
-    return node.bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, text`` of the wanted nodes' normalised lines.
-
-    A bitmap of fixed size, sent to every task, leaves out most other lines before
-    the join; the join alone decides.
-    """
-    place = _filter_place(F.col("node"))
-    words = wanted.groupBy(F.shiftrightunsigned(place, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    found = words.toArrow()
-    bitmap[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in slices(batches, most=BATCH):
-            texts = {}
-            for text in batch.column("text").to_pylist():
-                for line in normalised(text):
-                    joined = b" ".join(line)
-                    if len(joined) >= MIN_BYTES:
-                        node = xxhash.xxh3_64_intdigest(joined) - (1 << 63)
-                        if int(bits[(node & FILTER_BITS - 1) >> 6]) >> (node & 63) & 1:
-                            texts[node] = joined
-            yield pa.RecordBatch.from_arrays([pa.array(texts.keys(), pa.int64()), pa.array(texts.values(), pa.binary())], names=["node", "text"])
-
-    lines = _keyed(docs).mapInArrow(run, "node long, text binary")
-    return lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-
-
-def _linked_by_blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The lines, their nodes, and the labels of nodes that share a SimHash block and are similar."""
-    rows = cut_lineage(_described(docs))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("high").alias("high"), F.first("low").alias("low")))
-
-    def prepare(shared: DataFrame):
-        payload = nodes.select("node", "high", "low").join(_texts(docs, shared), "node")
-        differing = F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")))
-        return payload, lambda pairs: pairs.filter(differing <= MAX_BITS).mapInArrow(_confirmed, "a long, b long"), Lines
-
-    return rows, nodes, link(_blocks(nodes), prepare)[0]
-
-
-def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The lines, their nodes, and the labels of all nodes that are similar to another."""
-    rows = cut_lineage(_signed(docs))
-    signs = ["n_words", *(f"sign{i}" for i in range(SIGNS))]
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in signs)))
+def _linked(rows: DataFrame) -> DataFrame:
+    """``node, root`` of the lines that share a bucket with a similar one."""
+    described = rows.filter("text is not null")
+    sketches = cut_lineage(described.groupBy("node").agg(*(F.first(c).alias(c) for c in SKETCH)))
+    signs = ["node", "n_words", *(f"sign{i}" for i in range(SIGNS))]
 
     def check(pairs: DataFrame) -> DataFrame:
         close = cut_lineage(pairs.select("a", "b").distinct())
-        texts = cut_lineage(_texts(docs, close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()))
+        wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+        texts = cut_lineage(described.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
         for side in "ab":
             close = close.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
         return close.mapInArrow(_confirmed, "a long, b long")
 
-    def prepare(shared: DataFrame):
-        return nodes.select("node", *signs), lambda pairs: check(pairs.filter(_may_be_similar())), SignedLines, check
+    def prepare(_: DataFrame):
+        return sketches.select(*signs), lambda pairs: check(pairs.filter(_may_be_similar())), SignedLines, check
 
-    return rows, nodes, link(rows.select(F.explode("buckets").alias("bucket"), "node"), prepare)[0]
+    return link(_buckets(sketches), prepare)[0]
 
 
-def _dropped(docs: DataFrame, complete: bool) -> DataFrame:
+def _dropped(docs: DataFrame) -> DataFrame:
     """``doc_id, key, drop``: the line numbers that go, per document that loses any."""
-    rows, nodes, labels = _linked(docs) if complete else _linked_by_blocks(docs)
-    rooted = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
+    rows = cut_lineage(_described(docs))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    rooted = cut_lineage(nodes.join(_linked(rows), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
     groups = cut_lineage(rooted.select("node", "root").join(groups, "root").select("node", "root", "first"))
     lines, position = rows.select("doc_id", "key", "line", "node"), F.struct("key", "line")
@@ -380,19 +323,19 @@ def _dropped(docs: DataFrame, complete: bool) -> DataFrame:
     return repeated.filter(~is_kept).groupBy("doc_id", "key").agg(F.collect_set("line").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, n_lines: str | None = None, n_dropped: str | None = None, complete: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, if it is there) without repeated lines.
 
     Lines are compared in lower case, without ASCII marks and with 0 for each digit.
-    Equal lines, and lines of which at most a fifth of the words differ, form groups:
-    with ``complete`` all such lines, else those that share a SimHash block and
-    differ in at most ``MAX_BITS`` bits, which misses many. Of each connected group the line of the
-    smallest id stays (of one document's lines the first) and the others go, in all documents. Lines of fewer
-    than ``MIN_BYTES`` bytes stay. Null texts stay null; a null id counts after all
+    Equal lines form groups, and with them lines that differ in at most one word of
+    ``WORDS_AN_EDIT`` (of the longer line) if their SimHashes agree in two blocks: of one word
+    in 40 nearly all do, of one in 20 most. Of each connected group the line of
+    the smallest id stays (of one document's lines the first) and the others go, in
+    all documents. Lines without a word stay. Null texts stay null; a null id counts after all
     others. Rows alike in id and text are treated alike. ``n_lines`` and ``n_dropped``
     name columns to add.
     """
-    drops = _dropped(docs, complete).select(F.col("key").alias("__lines_key"), F.col("drop").alias("__lines_drop"))
+    drops = _dropped(docs).select(F.col("key").alias("__lines_key"), F.col("drop").alias("__lines_drop"))
     key = spare(docs, "__lines_of")
     rows = docs.withColumn(key, _key()).join(drops, F.col(key) == F.col("__lines_key"), "left")
     lines = F.split("text", "\n")
