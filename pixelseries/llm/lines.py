@@ -18,11 +18,11 @@ from .common import spare
 from .graph import link
 
 #: Similar lines differ in at most one word in so many; shorter ones are similar only if equal.
-WORDS_AN_EDIT = 20
+WORDS_AN_EDIT = 33
 #: Of 128 bits, blocks of so many bits; similar lines are looked for where two blocks are equal.
-BITS, BLOCKS, WIDTH = 128, 10, 12
+BITS, BLOCKS, WIDTH = 128, 9, 14
 #: Lines meet in classes of word counts, each this much wider than the one before.
-CLASS = 1.2
+CLASS = 1.15
 #: Rows of one block value that a task holds at once; beyond it they are passed on unsorted.
 HELD = 1 << 20
 #: Numbers of 64 bits that hold the parities of a line's words.
@@ -305,7 +305,7 @@ def _linked(rows: DataFrame) -> DataFrame:
     def prepare(_: DataFrame):
         return sketches.select(*signs), lambda pairs: check(pairs.filter(_may_be_similar())), SignedLines, check
 
-    return link(_buckets(sketches), prepare)[0]
+    return link(cut_lineage(_buckets(sketches)), prepare)[0]
 
 
 def _dropped(docs: DataFrame) -> DataFrame:
@@ -328,8 +328,8 @@ def dedup_lines(docs: DataFrame, n_lines: str | None = None, n_dropped: str | No
 
     Lines are compared in lower case, without ASCII marks and with 0 for each digit.
     Equal lines form groups, and with them lines that differ in at most one word of
-    ``WORDS_AN_EDIT`` (of the longer line) if their SimHashes agree in two blocks: of one word
-    in 40 nearly all do, of one in 20 most. Of each connected group the line of
+    ``WORDS_AN_EDIT`` (of the longer line) if their SimHashes agree in two blocks, as
+    most such pairs do (README). Of each connected group the line of
     the smallest id stays (of one document's lines the first) and the others go, in
     all documents. Lines without a word stay. Null texts stay null; a null id counts after all
     others. Rows alike in id and text are treated alike. ``n_lines`` and ``n_dropped``

@@ -343,7 +343,7 @@ def plain_lines(rows, linked):
 
 def line_rows():
     common = messy.sentence(8, 40)
-    rows = [(i, f"{messy.sentence(20 + i, 30)}\n{common}\nhi\n{messy.sentence(20 + i, 30).upper()}, 12!", "en", "a") for i in range(10)]
+    rows = [(i, f"{messy.sentence(20 + i, 35)}\n{common}\nhi\n{messy.sentence(20 + i, 35).upper()}, 12!", "en", "a") for i in range(10)]
     rows += [(50 + i, edited(common, 1000, i, "zz") + f"\nPage {i} of 99 in the whole book\n\n{messy.sentence(60 + i, 25)}", "en", "a") for i in range(10)]
     return rows + [(90, None, "en", None), (91, "", "en", None), (None, common, "en", "a"), (92, "\n\n \n", "en", "a"), (93, messy.LONG, "en", "a"), (94, messy.LONG + " end", "en", "a")]
 
@@ -383,12 +383,12 @@ def test_lines_equal_brute_force(spark):
 
 
 def edited_lines():
-    """Lines of 4 to 200 words, each with copies of up to a twentieth and of more words changed, added and taken."""
-    rng, rows = np.random.default_rng(9), []
-    for n in [4, 9, 14, 19, 20, 24, 25, 30, 38, 39, 40, 60, 100, 200] * 3:
+    """Lines of 4 to 200 words, each with copies of as many words changed, added and taken as may be, and of more."""
+    rng, rows, least = np.random.default_rng(9), [], lines.WORDS_AN_EDIT
+    for n in [4, 14, least - 2, least - 1, least, least + 7, 60, 2 * least - 1, 2 * least, 3 * least, 150, 200] * 4:
         base = messy.sentence(4000 + len(rows), n).split()
         rows.append((len(rows), " ".join(base), "en", "a"))
-        for edits in (1, n // 20, n // 20 + 1, n // 20 + 2):
+        for edits in (1, n // least, n // least + 1, n // least + 2):
             words = list(base)
             for i in range(edits):
                 at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
@@ -415,7 +415,7 @@ def test_similar_lines_pass_the_parities_and_most_are_found():
                 n += 1
                 met += sum(x == y for x, y in zip(blocks[i], blocks[j])) >= 2
                 assert j in near
-    assert n > 100 and met >= 0.8 * n  # copies of one word in 20, the hardest, are most of these
+    assert n > 100 and met >= 0.75 * n  # most of these differ in as many words as may be, and in heavier ones
 
 
 def test_buckets_equal_the_blocks(spark):
