@@ -14,6 +14,7 @@ from pixelseries.functions import bands as B
 from pixelseries.functions import columns as C
 from pixelseries.functions import keys as K
 from pixelseries.operators import clean, raster, sampling, scores, series, stats, terrain, tuning, weather, windows
+from pixelseries.operators.flood import fill_depressions
 from pixelseries.operators.raster import GridMeta
 from pixelseries.plans.dataset import DatasetConfig, build_dataset
 from pixelseries.plans.forecasting import forecast_scores, tune
@@ -1038,6 +1039,39 @@ def q_wetness_index(spark, sf):
     return terrain.wetness(base, terrain.flow_accumulation(base)).withColumn("twi", r4("twi"))
 
 
+#: Lowest ways from the outlets inwards: a cell is taken up again when a lower one is found.
+FILL = (
+    Sql.GRID
+    + """, cells AS (SELECT *, row_number() OVER (ORDER BY "row", col) AS id FROM grid),
+    pairs AS (SELECT a.id AS source, b.id AS target, b."row" AS br, b.col AS bc, b.z AS bz FROM cells a JOIN cells b ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND a.id <> b.id),
+    outlets AS (SELECT c.* FROM cells c LEFT JOIN (SELECT target, count(*) AS n FROM pairs GROUP BY target) k ON k.target = c.id WHERE coalesce(k.n, 0) < 8),
+    flood(id, r, c, z, filled) USING KEY (id) AS (
+      SELECT id, "row", col, z, z FROM outlets
+      UNION
+      SELECT p.target, p.br, p.bc, p.bz, min(greatest(p.bz, f.filled)) FROM flood f JOIN pairs p ON p.source = f.id LEFT JOIN recurring.flood k ON k.id = p.target
+      WHERE k.id IS NULL OR greatest(p.bz, f.filled) < k.filled GROUP BY 1, 2, 3, 4)"""
+)
+
+
+def _filled(spark, sf):
+    return fill_depressions(fx.grid(spark, sf), TILE, 2)
+
+
+@query(sql(FILL, body='SELECT r AS "row", c AS col, round(z, 4) AS z, round(filled, 4) AS filled FROM flood', recursive=True))
+def q_filled_surface(spark, sf):
+    return _filled(spark, sf).select("row", "col", r4("z").alias("z"), r4("filled").alias("filled"))
+
+
+RAISED = FILL + ', raised AS (SELECT r AS "row", c AS col, filled AS z FROM flood), ' + FLOW.replace(Sql.GRID + ", ", "").replace(" grid ", " raised ")
+
+
+@query(sql(RAISED, body='SELECT "row", col, acc FROM flow', recursive=True))
+def q_filled_flow(spark, sf):
+    """Accumulation where no water is held back in a pit; it ends on the level of a filled one."""
+    full = _filled(spark, sf).select("row", "col", F.col("filled").alias("z"))
+    return terrain.flow_accumulation(terrain.surface(full, 1.0, 1.0, TILE))
+
+
 MULTI = (
     AROUND
     + f""", side AS (SELECT {Sql.M} AS m),
@@ -1216,12 +1250,12 @@ def q_stats_store(spark, sf):
     return spark.read.parquet(folder).select(F.col("scene_id").cast("bigint").alias("scene_id"), "band", r4("min").alias("min"), r4("max").alias("max"), "split")
 
 
-@query(sql(Sql.FRAMES, SAMPLE_KEYS, body="SELECT sample_id, scene_id, start_t, CASE WHEN start_t % 3 = 0 THEN 2 ELSE 1 END AS batch FROM sample_keys WHERE start_t % 3 = 0 OR start_t % 2 = 0"))
+@query(sql(Sql.FRAMES, SAMPLE_KEYS, body="SELECT sample_id, scene_id, start_t, CASE WHEN start_t < 200 THEN 2 ELSE 1 END AS batch FROM sample_keys"))
 def q_sample_store(spark, sf):
-    """Two overlapping batches of the same scenes: names of the second replace those of the first."""
+    """All samples, then the early ones of the same scenes again: their names replace those of the first batch."""
     keys, folder = sample_keys(spark, sf).select("sample_id", "scene_id", "start_t").withColumn("split", F.lit("train")), scratch_path(spark)
-    for batch, every in ((1, 2), (2, 3)):
-        store.write_samples(keys.filter(F.col("start_t") % every == 0).withColumn("batch", F.lit(batch)), folder)
+    for batch, rows in ((1, keys), (2, keys.filter("start_t < 200"))):
+        store.write_samples(rows.withColumn("batch", F.lit(batch)), folder)
     return spark.read.parquet(folder).select("sample_id", F.col("scene_id").cast("bigint").alias("scene_id"), "start_t", "batch")
 
 
@@ -1284,10 +1318,10 @@ def q_grid_search(spark, sf):
 LEADS = 3
 
 
-def short_samples(spark, sf, stride=7):
+def short_samples(spark, sf):
     """Two context frames, three target frames: few enough features for SQL to solve the model."""
     packed = windows.pack_series(filled_ndvi(spark, sf), ["s2_ndvi"])
-    return named_samples(windows.sliding_windows(packed, 2, LEADS, stride=stride))
+    return named_samples(windows.sliding_windows(packed, 2, LEADS))
 
 
 def _ridge_sql(reg: float, train: str, rows: str) -> str:
@@ -1304,7 +1338,7 @@ SHORT = FILLED + f""", short AS (SELECT a.pixel_id, a.t AS start_t, DATE '{fx.DA
       strftime(DATE '{fx.DAY0}' + CAST(5 * a.t AS INTEGER), '%Y_%-m_%-d_') || strftime(DATE '{fx.DAY0}' + CAST(5 * (a.t + {1 + LEADS}) AS INTEGER), '%Y_%-m_%-d_')
         || (6 + a.pixel_id / 64.0::DOUBLE) || '_' || (46 + a.pixel_id / 128.0::DOUBLE) || '_5_1_0' AS sample_id
       FROM filled a JOIN filled b ON b.pixel_id = a.pixel_id AND b.t = a.t + 1 JOIN filled c ON c.pixel_id = a.pixel_id AND c.t BETWEEN a.t + 2 AND a.t + {1 + LEADS}
-      WHERE a.t % 7 = 0 AND a.t + {1 + LEADS} < {fx.N_FRAMES})"""
+      WHERE a.t + {1 + LEADS} < {fx.N_FRAMES})"""
 EARLY = "start >= DATE '1995-01-01' AND \"end\" <= DATE '1999-12-31'"
 
 
@@ -1333,32 +1367,6 @@ def q_ridge_grid(spark, sf):
     return found.select("trial", "reg_param", r4("rmse", 6).alias("rmse"))
 
 
-# Every start, not each seventh one.
-SHORT_ALL = SHORT.replace("a.t % 7 = 0 AND ", "")
-
-
-@query(sql(SHORT_ALL, body=f"SELECT step, n, round(rmse, 6) AS rmse FROM ({_ridge_sql(0.05, EARLY, 'short')})"))
-def q_ridge_forecast_all(spark, sf):
-    tagged = sampling.split_by_range(short_samples(spark, sf, stride=1), time_range=["1995-01-01", "1999-12-31"])
-    found = forecast_scores(tagged, ["s2_ndvi"], "s2_ndvi", LEADS, reg_param=0.05)
-    return found.select("step", "n", r4("rmse", 6).alias("rmse"))
-
-
-@query(
-    sql(
-        SHORT_ALL,
-        """ranked AS (SELECT s.*, rk <= floor(0.2 * cnt) AS is_val FROM short s JOIN (
-              SELECT sample_id, row_number() OVER (ORDER BY md5('42:' || sample_id), sample_id) AS rk, count(*) OVER () AS cnt FROM (SELECT DISTINCT sample_id FROM short)) USING (sample_id))""",
-        body=" UNION ALL ".join(
-            f"SELECT 'config_(reg_param={r})' AS trial, {r}::DOUBLE AS reg_param, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) AS rmse FROM ({_ridge_sql(r, 'NOT is_val', 'ranked')})" for r in RIDGES
-        ),
-    )
-)
-def q_ridge_grid_all(spark, sf):
-    found = tune(short_samples(spark, sf, stride=1), ["s2_ndvi"], "s2_ndvi", LEADS, {"reg_param": list(RIDGES)}, val_fraction=0.2, seed=42)
-    return found.select("trial", "reg_param", r4("rmse", 6).alias("rmse"))
-
-
 DATASET = (
     clean_cte(36)
     + ", "

@@ -75,6 +75,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
@@ -115,7 +119,10 @@ class Moments:
 
 
 def moments(rows: DataFrame, horizon: int) -> Moments:
-    """Two passes over ``rows``: means, then products about them; tasks send sums, never rows."""
+    """Two passes over ``rows``: means, then products about them; tasks send sums, never rows.
+
+    ``rows`` are read three times: give rows that are written, not a long plan.
+    """
     first = rows.select(F.size("features")).first()
     if first is None:
         raise ValueError("no training samples")
@@ -125,28 +132,28 @@ def moments(rows: DataFrame, horizon: int) -> Moments:
     rows = rows.select("features", "truth")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(p + horizon), 0
+        total = np.zeros(p + horizon + 1)  # the last one counts rows
         for part in _parts(batches):
-            total += np.concatenate([_matrix(part.column("features"), p).sum(axis=0), _matrix(part.column("truth"), horizon).sum(axis=0)])
-            n += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()])], names=["n", "total"])
+            total[:p] += _matrix(part.column("features"), p).sum(axis=0)
+            total[p:-1] += _matrix(part.column("truth"), horizon).sum(axis=0)
+            total[-1] += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
 
-    found = rows.mapInArrow(sums, "n long, total array<double>")
-    n = found.agg(F.sum("n")).first()[0]
-    totals = found.select(F.posexplode("total").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow().column("v").to_numpy()
-    means = totals / n
+    found = rows.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    *totals, n = found.orderBy("i").toArrow().column("v").to_numpy()
+    n = int(n)
+    means = np.array(totals) / n
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((p, p + horizon))
         for part in _parts(batches):
             both = np.concatenate([_matrix(part.column("features"), p), _matrix(part.column("truth"), horizon)], axis=1) - means
             total += both[:, :p].T @ both
-        for i in range(p):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i].tolist()])], names=["i", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p)), _lists(total)], names=["i", "line"])
 
     def added(table: pa.Table) -> pa.Table:
         lines = _matrix(table.column("line").combine_chunks(), p + horizon)
-        return pa.table({"i": table.column("i").slice(0, 1), "line": pa.array([lines.sum(axis=0).tolist()])})
+        return pa.table({"i": table.column("i").slice(0, 1), "line": _lists(lines.sum(axis=0, keepdims=True))})
 
     lines = rows.mapInArrow(products, "i long, line array<double>").groupBy("i").applyInArrow(added, "i long, line array<double>")
     every = _matrix(lines.orderBy("i").toArrow().column("line").combine_chunks(), p + horizon) / n
@@ -167,8 +174,7 @@ class Forecaster:
             for part in _parts(batches):
                 guess = _matrix(part.column("features"), len(b)) @ b + a
                 kept = [part.column(c) for c in [*keys, *known]]
-                guesses = pa.FixedSizeListArray.from_arrays(pa.array(guess.ravel()), guess.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*kept, guesses], names=[*keys, *known, "guess"])
+                yield pa.RecordBatch.from_arrays([*kept, _lists(guess)], names=[*keys, *known, "guess"])
 
         source = rows.select(*keys, *known, "features")
         found = source.mapInArrow(run, source.drop("features").withColumn("guess", F.array(F.lit(0.0))).schema)

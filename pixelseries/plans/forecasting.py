@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.forecast import fit_forecaster, grid_search, score_track, training_rows
+from ..operators.forecast import fit_forecaster, grid_search, training_rows
 from ..operators.sampling import validation_split
 from ..session import cut_lineage
 
@@ -16,9 +16,14 @@ def forecast_scores(
     samples: DataFrame, bands: Sequence[str], target_band: str, horizon: int, train: str = "train", track: str = "test",
     static: Sequence[str] = (), stats: DataFrame | None = None, **setting: float
 ) -> DataFrame:
-    """Fit on one split, predict another: error per target step."""
-    model = fit_forecaster(training_rows(samples.filter(F.col("split") == train), bands, target_band, static=static, stats=stats), horizon, **setting)
-    scored = score_track(model, samples, bands, target_band, track, static=static, stats=stats)
+    """Fit on one split, predict another: error per target step.
+
+    The windows of both are cut once and written: the fit reads them more than once.
+    """
+    both = samples.filter(F.col("split").isin(train, track))
+    rows = cut_lineage(training_rows(both, bands, target_band, ("sample_id", "split"), static, stats))
+    model = fit_forecaster(rows.filter(F.col("split") == train), horizon, **setting)
+    scored = model.predict(rows.filter(F.col("split") == track))
     error = F.col("pred") - F.col("truth")
     return scored.groupBy("step").agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse")).orderBy("step")
 
