@@ -15,9 +15,11 @@ from pixelseries.functions import columns as C
 from pixelseries.functions import keys as K
 from pixelseries.operators import clean, raster, sampling, scores, series, stats, terrain, tuning, weather, windows
 from pixelseries.operators.flood import fill_depressions
+from pixelseries.operators.layers import Layer, common_grid, mosaic_rasters
 from pixelseries.operators.raster import GridMeta
 from pixelseries.plans.dataset import DatasetConfig, build_dataset
 from pixelseries.plans.forecasting import forecast_scores, tune
+from pixelseries.plans.incremental import raw_cubes
 from pixelseries.session import cut_lineage, scratch_path
 from pixelseries.sources import bands as band_source
 from pixelseries.sources import scenes as scene_source
@@ -299,6 +301,22 @@ def q_catalogue_lookup(spark, sf):
     return store.reusable(wanted, existing).withColumn("action", F.lit("reuse")).unionByName(store.to_build(wanted, existing).withColumn("action", F.lit("build")))
 
 
+@query(
+    sql(
+        Sql.FRAMES,
+        SCENES,
+        body="""SELECT CAST(scene_id AS BIGINT) AS scene_id, CASE WHEN bright THEN 1 ELSE 2 END AS run, count(*) AS n, round(sum(s2_B08), 4) AS total FROM frames JOIN scene_places USING (scene_id) GROUP BY 1, 2""",
+    )
+)
+def q_incremental_build(spark, sf):
+    """Raw cubes of the bright scenes, then of all: the second run reads and writes the others alone."""
+    frames, folder = fx.frames(spark, sf), scratch_path(spark)
+    requests = cut_lineage(store.cube_catalogue(frames).join(scene_places(spark, sf), "scene_id"))
+    for run, wanted in ((1, requests.filter("bright")), (2, requests)):
+        found = raw_cubes(wanted, frames.withColumn("run", F.lit(run)), folder, "train")
+    return found.groupBy(F.col("scene_id").cast("bigint").alias("scene_id"), "run").agg(F.count("*").alias("n"), r4(F.sum("s2_B08")).alias("total"))
+
+
 # --- missing values and cleaning -------------------------------------------------
 
 @query(
@@ -859,6 +877,31 @@ def q_mosaic(spark, sf):
     return raster.mosaic(fx.tiles(spark, sf)).select("row", "col", r4("z").alias("z"))
 
 
+# Seven rasters of their own origin and cell size, on one grid; odd numbers keep centres off the edges.
+def raster_places(spark, sf):
+    m, i = fx.grid_side(spark, sf), F.col("raster_id")
+    size = 0.7013 + (i % 3) * 0.4021
+    place = [(i * 1.3717 - 2.0).alias("ulx"), (m - i * 0.8309 + 3.0).alias("uly"), size.alias("dx"), (size + 0.1007).alias("dy"), F.lit(m).alias("width"), F.lit(m).alias("height")]
+    return fx.tiles(spark, sf).select(F.col("tile_id").alias("raster_id")).distinct().select("raster_id", ((i * 5) % 7).alias("priority"), *place)
+
+
+RASTERS = Sql.TILES + f""", places AS (
+      SELECT tile_id, (tile_id * 5) % 7 AS priority, tile_id * 1.3717::DOUBLE - 2.0::DOUBLE AS ulx, {Sql.M} - tile_id * 0.8309::DOUBLE + 3.0::DOUBLE AS uly,
+        0.7013::DOUBLE + (tile_id % 3) * 0.4021::DOUBLE AS dx, 0.7013::DOUBLE + (tile_id % 3) * 0.4021::DOUBLE + 0.1007::DOUBLE AS dy FROM (SELECT DISTINCT tile_id FROM tiles)),
+    box AS (SELECT CAST(floor(min(ulx) / 1.1::DOUBLE) AS BIGINT) AS x0, CAST(ceil(max(uly) / 1.1::DOUBLE) AS BIGINT) AS y1,
+      CAST(ceil(max(ulx + {Sql.M} * dx) / 1.1::DOUBLE) AS BIGINT) AS x1, CAST(floor(min(uly - {Sql.M} * dy) / 1.1::DOUBLE) AS BIGINT) AS y0 FROM places),
+    tr AS (SELECT unnest(range(y1 - y0)) AS r FROM box), tcs AS (SELECT unnest(range(x1 - x0)) AS c FROM box),
+    hits AS (SELECT r, c, tile_id, priority, CAST(floor((uly - ((y1 * 1.1::DOUBLE) - (r + 0.5::DOUBLE) * 1.1::DOUBLE)) / dy) AS BIGINT) AS sr, CAST(floor(((x0 * 1.1::DOUBLE) + (c + 0.5::DOUBLE) * 1.1::DOUBLE - ulx) / dx) AS BIGINT) AS sc
+      FROM tr CROSS JOIN tcs CROSS JOIN box CROSS JOIN places)"""
+
+
+@query(sql(RASTERS, body='SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(arg_min(z, priority), 4) AS z FROM hits JOIN tiles t ON t.tile_id = hits.tile_id AND t."row" = sr AND t.col = sc WHERE z IS NOT NULL GROUP BY 1, 2'))
+def q_mosaic_rasters(spark, sf):
+    places = raster_places(spark, sf)
+    cells = fx.tiles(spark, sf).withColumnRenamed("tile_id", "raster_id")
+    return mosaic_rasters(cells, places, common_grid(places, 1.1, 1.1)).withColumn("z", r4("z"))
+
+
 def holed(spark, sf):
     """The first tile: a quarter of its cells are missing, and one block is wider than the search distance."""
     block = F.col("row").between(0, 23) & F.col("col").between(0, 23)
@@ -1381,6 +1424,11 @@ DATASET = (
       SELECT pixel_id, greatest(CAST(ceil(datediff('day', DATE '{fx.DAY0}', day) / 5.0) AS INTEGER), 0) AS t, sum(era5_tp) AS tp, max(era5_maxt) AS maxt FROM weather GROUP BY 1, 2) w
       ON w.pixel_id = d.pixel_id AND w.t = d.t),
     {fill_cte("wtp", "wcal", "tp", hold=False)}, {fill_cte("wmx", "wcal", "maxt", hold=False)},
+    {Sql.GRID}, at_layers AS (SELECT s.scene_id, s.pixel_id, a.z AS fine, CASE WHEN (b."row" + b.col) % 9 <> 0 THEN b.z END AS coarse, CASE WHEN (b."row" + b.col) % 9 <> 0 THEN b.z * 2 END AS doubled
+      FROM (SELECT DISTINCT scene_id, pixel_id FROM static_raw) s
+      LEFT JOIN grid a ON a.col = floor((6 + s.pixel_id / 64.0::DOUBLE - 5.9871::DOUBLE) / 0.0217::DOUBLE) AND a."row" = floor((46.9003::DOUBLE - (46 + s.pixel_id / 128.0::DOUBLE)) / 0.0431::DOUBLE)
+      LEFT JOIN grid b ON b.col = floor((6 + s.pixel_id / 64.0::DOUBLE - 5.7113::DOUBLE) / 0.1709::DOUBLE) AND b."row" = floor((48.9003::DOUBLE - (46 + s.pixel_id / 128.0::DOUBLE)) / 0.1237::DOUBLE)),
+    laid AS (SELECT pixel_id, coalesce(fine, avg(fine) OVER w) AS fine, coalesce(coarse, avg(coarse) OVER w) AS coarse, coalesce(doubled, avg(doubled) OVER w) AS doubled FROM at_layers WINDOW w AS (PARTITION BY scene_id)),
     cd_co AS (SELECT pixel_id, t, f, DATE '{fx.DAY0}' + CAST(5 * t AS INTEGER) AS ts FROM co),
     drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, start_t ORDER BY md5(concat_ws(':', '0', scene_id, start_t, pixel_id))) AS rn FROM elig CROSS JOIN starts) WHERE rn <= 2)"""
 )
@@ -1390,9 +1438,9 @@ DATASET = (
     sql(
         DATASET,
         body=f"""SELECT scene_id, d.pixel_id, start_t, {CONTEXT} AS n_context, {TARGET} AS n_target, round(a.f, 4) + 0.0::DOUBLE AS first_ndvi, round(b.f, 4) + 0.0::DOUBLE AS last_ndvi,
-          round(wa.v, 4) AS first_tp, round(wb.v, 4) AS last_tp, round(wm.v, 4) AS first_maxt, a.ts AS "start", b.ts AS "end",
+          round(l.fine, 4) AS fine, round(l.coarse, 4) AS coarse, round(l.doubled, 4) AS doubled, round(wa.v, 4) AS first_tp, round(wb.v, 4) AS last_tp, round(wm.v, 4) AS first_maxt, a.ts AS "start", b.ts AS "end",
           strftime(a.ts, '%Y_%-m_%-d_') || strftime(b.ts, '%Y_%-m_%-d_') || (6 + d.pixel_id / 64.0::DOUBLE) || '_' || (46 + d.pixel_id / 128.0::DOUBLE) || '_5_1_18' AS sample_id
-        FROM drawn d JOIN wtp wa ON wa.pixel_id = d.pixel_id AND wa.t = start_t + 18 LEFT JOIN wtp wb ON wb.pixel_id = d.pixel_id AND wb.t = start_t + {CONTEXT + TARGET + 17}
+        FROM drawn d JOIN laid l ON l.pixel_id = d.pixel_id JOIN wtp wa ON wa.pixel_id = d.pixel_id AND wa.t = start_t + 18 LEFT JOIN wtp wb ON wb.pixel_id = d.pixel_id AND wb.t = start_t + {CONTEXT + TARGET + 17}
         JOIN wmx wm ON wm.pixel_id = d.pixel_id AND wm.t = start_t + 18 JOIN cd_co a ON a.pixel_id = d.pixel_id AND a.t = start_t JOIN cd_co b ON b.pixel_id = d.pixel_id AND b.t = start_t + {CONTEXT + TARGET - 1}""",
     )
 )
@@ -1406,11 +1454,16 @@ def q_dataset_build(spark, sf):
     )
     static, readings = located(static), fx.weather(spark, sf)
     config = DatasetConfig(width=5, height=1, n_frames=fx.N_FRAMES, context=CONTEXT, target=TARGET, shift=18, max_gap=36, remove_pct=0.05, loess_frac=0.07, forest_thresh=0.5, pixels_per_scene=2)
-    built = build_dataset(frames, static, readings, config, day0=fx.DAY0)
+    m, cells = fx.grid_side(spark, sf), fx.grid(spark, sf)
+    near, far = GridMeta(5.9871, 46.9003, 0.0217, 0.0431, m, m), GridMeta(5.7113, 48.9003, 0.1709, 0.1237, m, m)
+    gaps = cells.withColumn("z", F.when((F.col("row") + F.col("col")) % 9 != 0, F.col("z")).otherwise(-1.0))
+    layers = [Layer("fine", cells, near), Layer("coarse", gaps, far, nodata=-1.0), Layer("doubled", gaps.withColumn("z", F.col("z") * 2), far, nodata=-2.0)]
+    built = build_dataset(frames, static, readings, config, fx.DAY0, layers)
     return built.samples.select(
         "scene_id",
         "pixel_id",
         "start_t",
+        *[r4(c).alias(c) for c in ("fine", "coarse", "doubled")],
         F.size("context").alias("n_context"),
         F.size("target").alias("n_target"),
         r4(F.col("context")[0]["s2_ndvi"]).alias("first_ndvi"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from ..functions.bands import HELPER_BANDS, KEY_COLUMNS, add_ndvi, bands_with_pr
 from ..functions.columns import eligible_pixel
 from ..functions.keys import make_key
 from ..operators.clean import clean_series, fill_static
+from ..operators.layers import Layer, attach_layers
 from ..operators.sampling import draw_pixels
 from ..operators.series import PIXEL, densify, fill_by_time
 from ..operators.stats import band_stats
@@ -108,22 +110,25 @@ def named(samples: DataFrame, config: DatasetConfig) -> DataFrame:
     return found.withColumn("sample_id", make_key("start", "end", "lon", "lat", F.lit(config.width), F.lit(config.height), config.shift))
 
 
-def build_dataset(frames: DataFrame, static: DataFrame, weather: DataFrame, config: DatasetConfig, day0: str) -> Dataset:
+def build_dataset(frames: DataFrame, static: DataFrame, weather: DataFrame, config: DatasetConfig, day0: str, layers: Sequence[Layer] = ()) -> Dataset:
     """Clean all scenes at once and cut their samples.
 
     ``frames(scene_id, pixel_id, t, ts, s2_*)``, ``static(scene_id, pixel_id,
     <layers>, FOREST_MASK, DROUGHT_MASK)``, with ``lon, lat`` for samples with a
-    name, and readings ``weather(scene_id, pixel_id, day, era5_*)``. The vegetation
+    name, and readings ``weather(scene_id, pixel_id, day, era5_*)``. ``layers`` of any
+    grids become further static bands of the pixels by ``lon, lat``. The vegetation
     index is added if it is missing. The cleaned frames feed three consumers and are
     checkpointed once, when this is called.
     """
     if "s2_ndvi" not in frames.columns:
         frames = add_ndvi(frames)
     prepared = cut_lineage(prepare_frames(frames, weather, config, day0))
-    layers = [b for b in static_bands(static) if b not in HELPER_BANDS]
-    filled = fill_static(static, layers)
+    if layers:
+        static = cut_lineage(attach_layers(static, layers))
+    statics = [b for b in static_bands(static) if b not in HELPER_BANDS]
+    filled = fill_static(static, statics)
     bands = [b for b in bands_with_prefix(prepared, "s2") if b not in HELPER_BANDS] + bands_with_prefix(prepared, "era5")
-    stats = band_stats(prepared, bands).unionByName(band_stats(filled, layers))
+    stats = band_stats(prepared, bands).unionByName(band_stats(filled, statics))
     return Dataset(frames, prepared, filled, stats, cut_samples(prepared, filled, bands, config), bands)
 
 

@@ -82,6 +82,12 @@ def to_build(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     return _catalogue_key(requests).join(have, _CATALOGUE, "left_anti").select(*requests.columns)
 
 
+def same_cubes(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``scene_id, stored_as`` of the requested cubes that exist: of several equal ones the smallest name."""
+    have = _catalogue_key(catalogue).groupBy(*_CATALOGUE).agg(F.min("scene_id").alias("stored_as"))
+    return _catalogue_key(requests).join(have, _CATALOGUE).select("scene_id", "stored_as")
+
+
 def write_stats(stats: DataFrame, path: str) -> None:
     """Band statistics by ``split`` and scene; a scene written again replaces the old one, others stay."""
     _write(stats, path, ["split", "scene_id"])
