@@ -178,7 +178,7 @@ def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, key, n_shingles, component_id`` for every row of ``docs``."""
+    """``doc_id, key, n_shingles, component_id, group`` for every row of ``docs``; ``group`` is null without words."""
     rows = cut_lineage(_described(docs, size))
     nodes = cut_lineage(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("sig").alias("sig")))
 
@@ -191,10 +191,10 @@ def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     labels, _ = link(nodes.select("node", "sig").mapInArrow(_banded, "bucket long, node long").distinct(), prepare)
     rooted = nodes.select("node", "first").join(labels, "node")
     lowest = rooted.groupBy("root").agg(F.min("first").alias("lowest"))
-    linked = rooted.join(lowest, "root").select("node", "lowest")
-    classes = nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("lowest", "first").alias("component"))
+    linked = rooted.join(lowest, "root").select("node", "lowest", "root")
+    classes = nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("lowest", "first").alias("component"), F.coalesce("root", "node").alias("group"))
     found = rows.select("doc_id", "key", "node", "n").join(classes, "node", "left")
-    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -213,13 +213,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the near-duplicates of a document with a smaller id; all columns stay.
+    """One row of each group of near-duplicates in ``docs``; all columns stay.
 
-    Rows alike in id and text are one document: they stay or go together. Rows
-    without an id stay unless they duplicate one that has an id.
+    It has the group's smallest id (null only if no row of the group has one); of several texts with
+    that id one stays, and of rows alike in id and text the one with the smallest other
+    columns. Rows without words are in no group and all stay.
     """
-    found = _classified(docs, size, percent)
-    key, gone_key = spare(docs, "__near_key"), spare(docs, "__near_gone")
-    gone = found.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("key").alias(gone_key)).distinct()
+    found = cut_lineage(_classified(docs, size, percent))
+    first = found.filter("group is not null and (component_id is null or doc_id = component_id)")
+    sizes = first.groupBy("group", "key").agg(F.count(F.lit(1)).alias("n"))
+    chosen = sizes.groupBy("group").agg(F.min(F.struct("key", "n")).alias("k")).select("k.key", "k.n")
+    wordless = found.filter("group is null").select("key").distinct()
+    key, kept_key = spare(docs, "__near_key"), spare(docs, "__near_kept")
     rows = docs.withColumn(key, _key())
-    return rows.join(gone, F.col(key) == F.col(gone_key), "left_anti").select(*docs.columns)
+    among = lambda keys: rows.join(keys.select(F.col("key").alias(kept_key)), F.col(key) == F.col(kept_key), "left_semi")
+    single = among(chosen.filter("n = 1").select("key").unionByName(wordless)).select(*docs.columns)
+    repeated = among(chosen.filter("n > 1")).groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return single.unionByName(repeated.select("__row.*"))

@@ -142,6 +142,7 @@ def near_rows():
     for i in range(8):
         rows.append((200 + i, step, "en", "a"))
         step = edited(step, 45, 5 * i + 3, f"c{i}")
+    rows += [(None, messy.sentence(3, 80), "en", "a"), (None, messy.sentence(9, 80), "fr", "b"), (None, messy.sentence(9, 80), "fr", "b")]
     return rows + [(300 + i, messy.sentence(300 + i, 40), "en", "a") for i in range(40)]
 
 
@@ -154,7 +155,17 @@ def test_components_equal_all_pairs(spark, size):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in found)
     kept = near_dups.keep_one(docs, size)
     assert kept.columns == docs.columns
-    assert messy.counted((r.doc_id,) for r in kept.collect()) == messy.counted((i,) for i, _, c in plain_components(rows, size) if c is None or i == c)
+    plain = plain_components(rows, size)
+    want = Counter({c for _, n, c in plain if n and c is not None}) + Counter(i for i, n, _ in plain if not n)
+    want[None] += len({t for (i, t, *_), (_, n, c) in zip(rows, plain) if n and c is None})
+    assert Counter(r.doc_id for r in kept.collect()) == want and want[None] == 3
+
+
+def test_of_repeated_rows_one_stays(spark):
+    text = messy.sentence(400, 30)
+    rows = [(1, text, "fr", "b"), (1, text, "en", "z"), (1, text, "en", "a")] + [(None, messy.sentence(401, 30), "en", "a")] * 5 + [(2, text, "en", "a"), (3, "", "en", "a"), (3, "", "en", "a")]
+    kept = near_dups.keep_one(messy.frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.lang, r.source) for r in kept) == Counter({(1, "en", "a"): 1, (None, "en", "a"): 1, (3, "en", "a"): 2})
 
 
 def test_no_documents_no_groups(spark):
