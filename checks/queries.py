@@ -18,7 +18,7 @@ from pixelseries.operators.flood import fill_depressions
 from pixelseries.operators.layers import Layer, common_grid, mosaic_rasters
 from pixelseries.operators.raster import GridMeta
 from pixelseries.plans.dataset import DatasetConfig, build_dataset
-from pixelseries.plans.forecasting import forecast_scores, tune
+from pixelseries.plans.forecasting import forecast_scores, search, tune
 from pixelseries.plans.incremental import raw_cubes
 from pixelseries.session import cut_lineage, scratch_path
 from pixelseries.sources import bands as band_source
@@ -1161,6 +1161,24 @@ def q_rmse(spark, sf):
     return found.select(r4("rmse", 6).alias("rmse"), r4("l2", 8).alias("l2"), r4("rmse_compat", 6).alias("rmse_compat"))
 
 
+@query(
+    sql(
+        FILLED,
+        PREDICTIONS,
+        body="""SELECT track, count(*) AS n, round(sqrt(avg((pred - truth) ** 2)), 6) AS rmse FROM (SELECT pred, truth, 'track_' || (step % 2) AS track FROM predictions) GROUP BY 1""",
+    )
+)
+def q_metric_states(spark, sf):
+    """Each run stores sums per track, one of them twice; the errors of all runs come from the sums."""
+    pairs, folder = cut_lineage(predictions(spark, sf)), scratch_path(spark)
+    runs = pairs.withColumns({"run": F.floor(F.col("step") / 6).cast("int"), "track": F.concat(F.lit("track_"), (F.col("step") % 2).cast("string"))})
+    states = scores.metric_states(runs)
+    store.write_states(states.withColumn("sse", F.col("sse") + 1), folder)
+    for run in range(TARGET // 6):
+        store.write_states(states.filter(F.col("run") == run), folder)
+    return scores.merged_rmse(spark.read.parquet(folder), ["track"]).select("track", "n", r4("rmse", 6).alias("rmse"))
+
+
 @query(sql(FILLED, PREDICTIONS, ERRORS, body="SELECT sample_id, n_steps, round(sse / n_steps, 8) AS mse, round(sqrt(sse / n_steps), 6) AS rmse FROM per"))
 def q_per_sample_scores(spark, sf):
     parts = scores.sample_errors(predictions(spark, sf))
@@ -1395,21 +1413,31 @@ def q_ridge_forecast(spark, sf):
 RIDGES = (0.001, 0.1, 1.0)
 
 
-@query(
-    sql(
-        SHORT,
-        """ranked AS (SELECT s.*, rk <= floor(0.2 * cnt) AS is_val FROM short s JOIN (
-              SELECT sample_id, row_number() OVER (ORDER BY md5('42:' || sample_id), sample_id) AS rk, count(*) OVER () AS cnt FROM (SELECT DISTINCT sample_id FROM short)) USING (sample_id))""",
-        body=" UNION ALL ".join(
-            f"SELECT 'config_(reg_param={r})' AS trial, {r}::DOUBLE AS reg_param, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) AS rmse FROM ({_ridge_sql(r, 'NOT is_val', 'ranked')})" for r in RIDGES
-        ),
-    )
+RIDGE_GRID = sql(
+    SHORT,
+    """ranked AS (SELECT s.*, rk <= floor(0.2 * cnt) AS is_val FROM short s JOIN (
+          SELECT sample_id, row_number() OVER (ORDER BY md5('42:' || sample_id), sample_id) AS rk, count(*) OVER () AS cnt FROM (SELECT DISTINCT sample_id FROM short)) USING (sample_id))""",
+    body=" UNION ALL ".join(
+        f"SELECT 'config_(reg_param={r})' AS trial, {r}::DOUBLE AS reg_param, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) AS rmse FROM ({_ridge_sql(r, 'NOT is_val', 'ranked')})" for r in RIDGES
+    ),
 )
+
+
+@query(RIDGE_GRID)
 def q_ridge_grid(spark, sf):
     found = tune(short_samples(spark, sf), ["s2_ndvi"], "s2_ndvi", LEADS, {"reg_param": list(RIDGES)}, val_fraction=0.2, seed=42)
     return found.select("trial", "reg_param", r4("rmse", 6).alias("rmse"))
 
 
+@query(RIDGE_GRID)
+def q_resumed_search(spark, sf):
+    """The same grid in rounds of one trial; stopped after the first, then gone on with."""
+    rows, folder = short_samples(spark, sf), scratch_path(spark)
+    for rounds in (1, None):
+        found = search(rows, ["s2_ndvi"], "s2_ndvi", LEADS, {"reg_param": list(RIDGES)}, folder, val_fraction=0.2, seed=42, batch=1, max_batches=rounds)
+    return found.select("trial", F.regexp_extract("trial", r"reg_param=([^)]+)", 1).cast("double").alias("reg_param"), r4("rmse", 6).alias("rmse"))
+
+
 DATASET = (
     clean_cte(36)
     + ", "

@@ -9,13 +9,14 @@ number of samples.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: More features than this would not fit the driver as a square matrix of moments.
@@ -193,15 +194,27 @@ def score_track(
     return model.predict(training_rows(samples.filter(F.col("split") == track), bands, target_band, keys, static, stats), keys)
 
 
-def grid_search(train: DataFrame, validation: DataFrame, horizon: int, params: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Validation RMSE of every parameter combination: ``(trial, <params>, rmse)``.
+def solve_all(spark: SparkSession, found: Moments, settings: Sequence[Mapping[str, float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Coefficients and intercepts of every setting, each solved by a task of its own.
 
-    The moments of the training rows give all models, and one pass over the
-    validation rows scores them all.
+    The moments go to the tasks once: their size is the square of the features, which
+    are bounded, whatever the number of samples. What comes back is the models.
     """
-    found = moments(train, horizon)
-    settings = [dict(zip(params, values)) for values in product(*params.values())]
-    models = [found.solve(**s) for s in settings]
+    sent, width = spark.sparkContext.broadcast(found), found.xy.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, setting in zip(batch.column("i").to_pylist(), batch.column("setting").to_pylist()):
+                b, a = sent.value.solve(**json.loads(setting))
+                yield pa.RecordBatch.from_arrays([pa.array([i]), _lists(b.reshape(1, -1)), _lists(a.reshape(1, -1))], names=["i", "b", "a"])
+
+    listed = spark.createDataFrame([(i, json.dumps(dict(s))) for i, s in enumerate(settings)], "i long, setting string")
+    solved = listed.repartitionByRange(len(settings), "i").mapInArrow(run, "i long, b array<double>, a array<double>").orderBy("i").toArrow()
+    return [(np.array(b).reshape(-1, width), np.array(a)) for b, a in zip(solved.column("b").to_pylist(), solved.column("a").to_pylist())]
+
+
+def score_all(validation: DataFrame, models: Sequence[tuple[np.ndarray, np.ndarray]], horizon: int) -> DataFrame:
+    """``i, rmse`` of every model from one pass over the validation rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         errors, n = np.zeros(len(models)), 0
@@ -212,7 +225,17 @@ def grid_search(train: DataFrame, validation: DataFrame, horizon: int, params: M
             n += truth.size
         yield pa.RecordBatch.from_arrays([pa.array(range(len(models))), pa.array(errors), pa.array([n] * len(models))], names=["i", "sse", "n"])
 
-    scored = validation.select("features", "truth").mapInArrow(run, "i long, sse double, n long").groupBy("i").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+    return validation.select("features", "truth").mapInArrow(run, "i long, sse double, n long").groupBy("i").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+
+
+def grid_search(train: DataFrame, validation: DataFrame, horizon: int, params: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Validation RMSE of every parameter combination: ``(trial, <params>, rmse)``.
+
+    The moments of the training rows give all models, and one pass over the
+    validation rows scores them all.
+    """
+    settings = [dict(zip(params, values)) for values in product(*params.values())]
+    scored = score_all(validation, solve_all(train.sparkSession, moments(train, horizon), settings), horizon)
     names = ["config_" + "_".join(f"({k}={v})" for k, v in s.items()) for s in settings]
     listed = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(t).alias("trial"), *[F.lit(v).alias(k) for k, v in s.items()]) for i, (t, s) in enumerate(zip(names, settings))])
     table = train.sparkSession.range(1).select(F.inline(listed))

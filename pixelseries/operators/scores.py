@@ -115,6 +115,20 @@ def rmse(pairs: DataFrame, by: Sequence[str] = (), pred: str = "pred", truth: st
     return per_sample.groupBy(*by).agg(F.sqrt(F.sum("sse") / (F.max("n_steps") * batches)).alias("rmse"))
 
 
+def metric_states(pairs: DataFrame, by: Sequence[str] = ("run", "track"), pred: str = "pred", truth: str = "truth") -> DataFrame:
+    """``by..., sse, n``: what the error of any union of these pairs can be told from.
+
+    Pairs with a missing side count nowhere; a group of such pairs has ``n`` 0.
+    """
+    error = _squared_error(pred, truth)
+    return pairs.groupBy(*by).agg(F.coalesce(F.sum(error), F.lit(0.0)).alias("sse"), F.count(error).alias("n"))
+
+
+def merged_rmse(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., n, rmse`` of stored states, without a look at the predictions; NULL where there is no pair."""
+    return states.groupBy(*by).agg(F.sum("n").alias("n"), F.sqrt(F.try_divide(F.sum("sse"), F.sum("n"))).alias("rmse"))
+
+
 def merge_scores(parts: DataFrame, sample: str = "sample_id") -> DataFrame:
     """One row per sample from the scores of several workers: of several, the one with the smallest values."""
     return one_per_key(parts, [sample])

@@ -135,6 +135,26 @@ def read_scores(spark: SparkSession, paths: Sequence[str] | str, metric: str = "
     )
 
 
+def add_score_lists(scores: DataFrame, path: str, metric: str = "RMSE_drought") -> None:
+    """``trial, epoch, rmse`` as score lists, a folder per trial; lists that are there stay."""
+    entry = F.struct(F.col("rmse").cast("string").alias(metric), F.col("epoch").cast("string").alias("epoch"))
+    lists = scores.groupBy("trial").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("value"))  # one entry per epoch
+    lists.write.mode("append").partitionBy("trial").text(path)
+
+
+def score_lists(spark: SparkSession, path: str, metric: str = "RMSE_drought") -> DataFrame:
+    """``trial, epoch, rmse`` of all lists that :func:`add_score_lists` wrote to ``path``; none if there are none."""
+    if not is_stored(spark, path):
+        return spark.createDataFrame([], "trial string, epoch int, rmse double")
+    found = read_scores(spark, f"{path}/trial=*/*.txt", metric)
+    return found.withColumn("trial", F.url_decode(F.regexp_replace("trial", "^trial=", "")))  # as the writer escapes folder names
+
+
+def write_states(states: DataFrame, path: str) -> None:
+    """Metric states by ``run``; a run written again replaces its old states, others stay."""
+    _write(states, path, ["run"])
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """All epochs of all trials as CSV."""
     scores.write.mode("overwrite").option("header", True).csv(path)
