@@ -9,6 +9,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,40 +146,62 @@ def dense_tiles(cells: DataFrame, radius: int, size: int = TILE, hole: str | Non
     return found.withColumnRenamed("__hole", hole) if hole else found.drop("__hole")
 
 
+def _sliding_sum(a: np.ndarray, radius: int, first: int, n: int) -> np.ndarray:
+    """Sums over ``radius`` rows up and down of the rows ``first .. first + n - 1``, from running sums."""
+    upto = np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)])
+    return upto[first + radius + 1 : first + radius + 1 + n] - upto[first - radius : first - radius + n]
+
+
+def _sliding_extreme(a: np.ndarray, radius: int, first: int, n: int, least: bool) -> np.ndarray:
+    """Least or greatest over the same rows: two running extremes, forth and back in blocks as wide as the window, meet in any window."""
+    pick, width = (np.minimum if least else np.maximum), 2 * radius + 1
+    blocks = np.concatenate([a, np.full((-len(a) % width, *a.shape[1:]), np.inf if least else -np.inf)]).reshape(-1, width, *a.shape[1:])
+    forth = pick.accumulate(blocks, axis=1).reshape(-1, *a.shape[1:])
+    back = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1, *a.shape[1:])
+    return pick(back[first - radius : first - radius + n], forth[first + radius : first + radius + n])
+
+
+def _tile_boxes(rx: int, ry: int, halo: int, size: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The box statistics of one tile's own cells."""
+        row, col, z, tr, tc = (table.column(c).to_numpy() for c in ("row", "col", "z", "tr", "tc"))
+        at, values = (row - int(tr[0]) * size + halo, col - int(tc[0]) * size + halo), np.full((size + 2 * halo,) * 2, np.nan)
+        values[at] = z
+        base, known = z.min(), ~np.isnan(values)
+        above = np.where(known, values - base, 0.0)
+
+        def boxes(a: np.ndarray, along, across) -> np.ndarray:
+            return across(along(a.T, rx).T, ry)
+
+        total = lambda a, r: _sliding_sum(a, r, halo, size)
+        n, s, q = (boxes(a, total, total) for a in (known.astype(float), above, above * above))
+        low, high = (boxes(np.where(known, values, f), *[lambda a, r, f=f: _sliding_extreme(a, r, halo, size, f > 0)] * 2) for f in (np.inf, -np.inf))
+        own = known[halo : halo + size, halo : halo + size]
+        n, s, q, low, high = (a[own] for a in (n, s, q, low, high))
+        mean, flat = s / n, low == high
+        sd = np.where(flat, 0.0, np.sqrt(np.maximum(q / n - mean * mean, 0.0)))
+        rows, cols = np.nonzero(own)
+        columns = {"row": (rows + int(tr[0]) * size).astype(np.int32), "col": (cols + int(tc[0]) * size).astype(np.int32), "z": values[halo : halo + size, halo : halo + size][own]}
+        return pa.table(columns | {"n": np.rint(n).astype(np.int64), "mean": np.where(flat, low, base + mean), "sd": sd, "z_min": low, "z_max": high})
+
+    return run
+
+
 def box_statistics(cells: DataFrame, filter_x: int, filter_y: int, size: int = TILE) -> DataFrame:
     """Count, mean, standard deviation, min and max of ``z`` in a box around each cell.
 
-    The box is separable: first along the row, then along the column. Heights count
-    from the tile's lowest, so that squares of high, flat ground do not cancel.
+    The box is separable: first along the row, then along the column, each with running
+    sums and extremes, so the work for a cell does not grow with the box; the
+    halo that tiles share does. Heights count from the tile's lowest, so that
+    squares of high, flat ground do not cancel; a box without any difference is flat exactly.
     """
     if filter_x % 2 == 0 or filter_y % 2 == 0:
         raise ValueError("filter sizes must be odd")
     rx, ry = filter_x // 2, filter_y // 2
-    along = Window.partitionBy("tr", "tc", "row").orderBy("col").rowsBetween(-rx, rx)
-    across = Window.partitionBy("tr", "tc", "col").orderBy("row").rowsBetween(-ry, ry)
-    tiles = dense_tiles(cells, max(rx, ry), size).withColumn("__base", F.min("z").over(Window.partitionBy("tr", "tc")))
-    above = F.col("z") - F.col("__base")
-    rows = tiles.withColumns(
-        {
-            "__n": F.count("z").over(along),
-            "__s": F.sum(above).over(along),
-            "__q": F.sum(above * above).over(along),
-            "__lo": F.min("z").over(along),
-            "__hi": F.max("z").over(along),
-        }
-    )
-    box = rows.withColumns(
-        {
-            "n": F.sum("__n").over(across),
-            "__sum": F.sum("__s").over(across),
-            "__sq": F.sum("__q").over(across),
-            "z_min": F.min("__lo").over(across),
-            "z_max": F.max("__hi").over(across),
-        }
-    ).filter(F.col("z").isNotNull() & in_core(size))
-    mean = F.col("__sum") / F.col("n")
-    variance = F.greatest(F.col("__sq") / F.col("n") - mean * mean, F.lit(0.0))
-    return box.select("row", "col", "z", "n", (F.col("__base") + mean).alias("mean"), F.sqrt(variance).alias("sd"), "z_min", "z_max")
+    known = cells.filter(F.col("z").isNotNull()).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("z").cast("double").alias("z"))
+    halo = max(rx, ry)
+    run = _tile_boxes(rx, ry, halo, size)
+    return tiled(known, halo, size).groupBy("tr", "tc").applyInArrow(run, "row int, col int, z double, n long, mean double, sd double, z_min double, z_max double")
 
 
 def fill_nodata(cells: DataFrame, max_distance: int = 10, size: int = TILE) -> DataFrame:

@@ -188,6 +188,20 @@ def test_burn_with_gaps_in_the_numbering(spark):
     assert raster.burn_polygons(vertices, raster.GridMeta(0.0, 8.0, 1.0, 1.0, 8, 8)).count() == 16
 
 
+@pytest.mark.parametrize("fx, fy, size", [(1, 1, 4), (1, 9, 5), (21, 3, 8), (41, 31, 7), (101, 101, 16)])
+def test_boxes_of_any_size(spark, fx, fy, size):
+    rng = np.random.default_rng(fx)
+    a = rng.integers(0, 9, (23, 31)).astype(float)
+    a[rng.random(a.shape) < 0.2] = np.nan
+    a[5:12, 5:12] = 3.0
+    for r in raster.box_statistics(cells(spark, a), fx, fy, size).collect():
+        box = a[max(0, r.row - fy // 2) : r.row + fy // 2 + 1, max(0, r.col - fx // 2) : r.col + fx // 2 + 1]
+        box = box[~np.isnan(box)]
+        assert (r.z, r.n, r.z_min, r.z_max) == (a[r.row, r.col], len(box), box.min(), box.max())
+        assert r.mean == pytest.approx(box.mean()) and r.sd == pytest.approx(box.std(), abs=1e-6)
+        assert box.std() > 0 or r.sd == 0
+
+
 def test_deviation_of_high_flat_ground(spark):
     cells = spark.range(100).select((F.col("id") % 10).cast("int").alias("row"), F.floor(F.col("id") / 10).cast("int").alias("col"), (F.lit(4e8) + F.col("id") % 2).alias("z"))
     found = raster.box_statistics(cells, 11, 11).filter("row = 5 and col = 5").first()
