@@ -18,15 +18,19 @@ from .common import spare
 from .graph import link
 
 #: Similar lines differ in at most one word in so many; shorter ones are similar only if equal.
-WORDS_AN_EDIT = 33
+WORDS_AN_EDIT = 20
 #: Of 128 bits, blocks of so many bits; similar lines are looked for where two blocks are equal.
-BITS, BLOCKS, WIDTH = 128, 9, 14
+BITS, BLOCKS, WIDTH = 128, 10, 12
 #: Lines meet in classes of word counts, each this much wider than the one before.
-CLASS = 1.15
+CLASS = 1.2
 #: Rows of one block value that a task holds at once; beyond it they are passed on unsorted.
 HELD = 1 << 20
+#: Rows that share two blocks are compared there and then, if they are no more than this.
+FEW = 64
 #: Numbers of 64 bits that hold the parities of a line's words.
 SIGNS = 4
+#: Two of these numbers each are folded to one where lines meet.
+FOLDS = [f"fold{i}" for i in range(SIGNS // 2)]
 REMEMBERED = 120_000
 #: Text bytes worked on at once.
 BATCH = 4 << 20
@@ -164,32 +168,78 @@ def _block(number: int):
     return F.shiftleft(bits("high", start, 64 - start), stop - 64) + bits("low", 0, stop - 64)
 
 
+def _cut(high: np.ndarray, low: np.ndarray, number: int) -> np.ndarray:
+    """The same in numpy."""
+    start, stop = number * WIDTH, (number + 1) * WIDTH
+    words = high.view(np.uint64), low.view(np.uint64)
+    bits = lambda word, at, n: words[word] >> np.uint64(64 - at - n) & np.uint64((1 << n) - 1)
+    if stop <= 64:
+        found = bits(0, start, WIDTH)
+    elif start >= 64:
+        found = bits(1, start - 64, WIDTH)
+    else:
+        found = bits(0, start, 64 - start) << np.uint64(stop - 64) | bits(1, 0, stop - 64)
+    return found.astype(np.int64)
+
+
 def _class(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS))).cast("long")
 
 
-def _entries(part: np.ndarray, blocks: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, shared_only: bool) -> pa.RecordBatch:
-    """``bucket, node`` for every later second block, or for those alone that another row of the part has."""
-    first, buckets, found = part >> WIDTH & 15, [], []
-    for second in range(1, BLOCKS):
-        some = np.flatnonzero(first < second)
-        key = part[some] << 4 + WIDTH | second << WIDTH | blocks[some, second]
-        if shared_only and len(some):
-            order = np.argsort(key, kind="stable")
-            some, key = some[order], key[order]
-            run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-            n = np.bincount(run)
-            low, high = (f.reduceat(sizes[some], np.cumsum(n) - n) for f in (np.minimum, np.maximum))
-            # Two rows alone whose word counts are too far apart have nothing to compare.
-            shared = (n > 1) & ~((n == 2) & (high - low > high // WORDS_AN_EDIT))
-            some, key = some[shared[run]], key[shared[run]]
-        buckets.append(key)
-        found.append(nodes[some])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(found))], names=["bucket", "node"])
+class Entered:
+    """Rows of ``_buckets`` in a task: their part, node, word count, SimHash and folded parities."""
+
+    NAMES = "part", "node", "n_words", "high", "low", *FOLDS
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
+        self.part, self.nodes, self.sizes, self.high, self.low, *self.folds = columns
+
+    @classmethod
+    def of(cls, held: list[list[np.ndarray]]) -> Entered:
+        return cls([np.concatenate(c) for c in zip(*held)])
+
+    def some(self, start: int, stop: int) -> Entered:
+        return Entered([c[start:stop] for c in self.columns])
+
+    def may_be_similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As ``_may_be_similar``, on parities folded to fewer bits: no similar pair fails it."""
+        edits, apart = np.maximum(self.sizes[a], self.sizes[b]) // WORDS_AN_EDIT, np.abs(self.sizes[a] - self.sizes[b])
+        differing = sum(np.bitwise_count((f[a] ^ f[b]).view(np.uint64)).astype(np.int64) for f in self.folds)
+        return (apart <= edits) & (differing <= 2 * edits - apart)
+
+    def partnered(self, key: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``key`` and the rows ``some`` that have it, those with a row of the same key that they may be similar to.
+
+        Rows of a key that more than ``FEW`` share all stay.
+        """
+        order = np.argsort(key, kind="stable")
+        some, key = some[order], key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[starts, len(key)])
+        kept, ends = np.repeat(n > FEW, n), np.repeat(np.where(n > FEW, 0, starts + n), n)
+        at, step = np.arange(len(key)), 1
+        while len(at := at[at + step < ends[at]]):
+            near = at[self.may_be_similar(some[at], some[at + step])]
+            kept[near] = kept[near + step] = True
+            step += 1
+        return key[kept], some[kept]
+
+    def entries(self, partnered_only: bool) -> pa.RecordBatch:
+        """``bucket, node`` for every later second block, or for those alone where a row has a partner."""
+        first, buckets, found = self.part >> WIDTH & 15, [], []
+        for second in range(1, BLOCKS):
+            some = np.flatnonzero(first < second)
+            key = self.part[some] << 4 + WIDTH | second << WIDTH | _cut(self.high[some], self.low[some], second)
+            if partnered_only and len(some):
+                key, some = self.partnered(key, some)
+            buckets.append(key)
+            found.append(self.nodes[some])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(found))], names=["bucket", "node"])
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``bucket, node`` of rows that share a second block with another of their ``part``; rows come in its order.
+    """``bucket, node`` of rows that share a second block with another of their ``part`` which may be similar; rows come in its order.
 
     Whole parts are sorted in memory. Of a part beyond ``HELD`` rows all entries are given,
     as they come: who shares one is found later, as for all buckets.
@@ -197,33 +247,35 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, n, enough, broken = [], 0, 1 << 16, None
     for batch in chain(batches, [None]):
         if batch is not None:
-            columns = [batch.column(c).to_numpy() for c in ("part", "node", "n_words", *(f"b{i}" for i in range(BLOCKS)))]
-            held.append([*columns[:3], np.stack(columns[3:], axis=1)])
+            held.append([batch.column(c).to_numpy() for c in Entered.NAMES])
             n += batch.num_rows
             if n < enough:
                 continue
         if not n:
             continue
-        part, nodes, sizes, blocks = (np.concatenate(c) for c in zip(*held))
+        rows = Entered.of(held)
+        part = rows.part
         begun = int(np.searchsorted(part, broken, side="right")) if part[0] == broken else 0
         stop = n if batch is None else max(begun, int(np.searchsorted(part, part[-1])))  # the last part may go on
         last, broken = (n, part[-1]) if n - stop > HELD else (stop, broken)
-        for low, high, shared_only in ((0, begun, False), (begun, stop, True), (stop, last, False)):
+        for low, high, partnered_only in ((0, begun, False), (begun, stop, True), (stop, last, False)):
             if high > low:
-                yield _entries(part[low:high], blocks[low:high], nodes[low:high], sizes[low:high], shared_only)
-        held, n = [[part[last:], nodes[last:], sizes[last:], blocks[last:]]], n - last
+                yield rows.some(low, high).entries(partnered_only)
+        held, n = [rows.some(last, n).columns], n - last
         enough = max(1 << 16, 2 * n)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
     """``bucket, node``: two equal blocks, and a class that holds the word counts of similar lines.
 
-    Lines are dealt by one block and class; the second block is compared there.
+    Lines are dealt by one block and class; the second block is compared there, and
+    with the parities it is seen who has nothing to be compared with.
     """
     longest = F.col("n_words") + F.floor(F.col("n_words") / (WORDS_AN_EDIT - 1))
     classes = F.explode(F.array_distinct(F.array(_class(F.col("n_words")), _class(longest)))).alias("class")
-    rows = nodes.select("node", "n_words", *(_block(i).cast("int").alias(f"b{i}") for i in range(BLOCKS)), classes)
-    parts = [F.shiftleft(F.col("class"), 4 + WIDTH) + (i << WIDTH) + F.col(f"b{i}") for i in range(BLOCKS - 1)]
+    folds = [F.col(f"sign{2 * i}").bitwiseXOR(F.col(f"sign{2 * i + 1}")).alias(name) for i, name in enumerate(FOLDS)]
+    rows = nodes.select("node", "n_words", "high", "low", *folds, classes)
+    parts = [F.shiftleft(F.col("class"), 4 + WIDTH) + (i << WIDTH) + _block(i) for i in range(BLOCKS - 1)]
     rows = rows.withColumn("part", F.explode(F.array(*parts))).drop("class")
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_paired, "bucket long, node long")
 
@@ -328,8 +380,8 @@ def dedup_lines(docs: DataFrame, n_lines: str | None = None, n_dropped: str | No
 
     Lines are compared in lower case, without ASCII marks and with 0 for each digit.
     Equal lines form groups, and with them lines that differ in at most one word of
-    ``WORDS_AN_EDIT`` (of the longer line) if their SimHashes agree in two blocks, as
-    most such pairs do (README). Of each connected group the line of
+    ``WORDS_AN_EDIT`` (of the longer line): all whose SimHashes agree in two blocks, as
+    most such pairs do (README), and some others. Of each connected group the line of
     the smallest id stays (of one document's lines the first) and the others go, in
     all documents. Lines without a word stay. Null texts stay null; a null id counts after all
     others. Rows alike in id and text are treated alike. ``n_lines`` and ``n_dropped``
