@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelseries.session import cut_lineage
@@ -29,8 +30,6 @@ HELD = 1 << 20
 FEW = 64
 #: Numbers of 64 bits that hold the parities of a line's words.
 SIGNS = 4
-#: Two of these numbers each are folded to one where lines meet.
-FOLDS = [f"fold{i}" for i in range(SIGNS // 2)]
 REMEMBERED = 120_000
 #: Text bytes worked on at once.
 BATCH = 4 << 20
@@ -187,13 +186,13 @@ def _class(n):
 
 
 class Entered:
-    """Rows of ``_buckets`` in a task: their part, node, word count, SimHash and folded parities."""
+    """Rows of ``_buckets`` in a task: their part, node, word count, SimHash and parities, folded to one number."""
 
-    NAMES = "part", "node", "n_words", "high", "low", *FOLDS
+    NAMES = "part", "node", "n_words", "high", "low", "fold"
 
     def __init__(self, columns: list[np.ndarray]):
         self.columns = columns
-        self.part, self.nodes, self.sizes, self.high, self.low, *self.folds = columns
+        self.part, self.nodes, self.sizes, self.high, self.low, self.fold = columns
 
     @classmethod
     def of(cls, held: list[list[np.ndarray]]) -> Entered:
@@ -203,9 +202,9 @@ class Entered:
         return Entered([c[start:stop] for c in self.columns])
 
     def may_be_similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """As ``_may_be_similar``, on parities folded to fewer bits: no similar pair fails it."""
+        """As ``_may_be_similar``, on the folded parities: no similar pair fails it."""
         edits, apart = np.maximum(self.sizes[a], self.sizes[b]) // WORDS_AN_EDIT, np.abs(self.sizes[a] - self.sizes[b])
-        differing = sum(np.bitwise_count((f[a] ^ f[b]).view(np.uint64)).astype(np.int64) for f in self.folds)
+        differing = np.bitwise_count((self.fold[a] ^ self.fold[b]).view(np.uint64)).astype(np.int64)
         return (apart <= edits) & (differing <= 2 * edits - apart)
 
     def partnered(self, key: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,8 +272,8 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     """
     longest = F.col("n_words") + F.floor(F.col("n_words") / (WORDS_AN_EDIT - 1))
     classes = F.explode(F.array_distinct(F.array(_class(F.col("n_words")), _class(longest)))).alias("class")
-    folds = [F.col(f"sign{2 * i}").bitwiseXOR(F.col(f"sign{2 * i + 1}")).alias(name) for i, name in enumerate(FOLDS)]
-    rows = nodes.select("node", "n_words", "high", "low", *folds, classes)
+    fold = reduce(Column.bitwiseXOR, (F.col(f"sign{i}") for i in range(SIGNS))).alias("fold")
+    rows = nodes.select("node", "n_words", "high", "low", fold, classes)
     parts = [F.shiftleft(F.col("class"), 4 + WIDTH) + (i << WIDTH) + _block(i) for i in range(BLOCKS - 1)]
     rows = rows.withColumn("part", F.explode(F.array(*parts))).drop("class")
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_paired, "bucket long, node long")

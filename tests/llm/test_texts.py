@@ -455,7 +455,7 @@ def test_buckets_equal_the_blocks(spark):
     def near(a, b):
         a, b = by_node[a], by_node[b]
         edits, apart = max(a[1], b[1]) // lines.WORDS_AN_EDIT, abs(a[1] - b[1])
-        folds = [(r[4] ^ r[5]) & 2**64 - 1 | ((r[6] ^ r[7]) & 2**64 - 1) << 64 for r in (a, b)]
+        folds = [(r[4] ^ r[5] ^ r[6] ^ r[7]) & 2**64 - 1 for r in (a, b)]
         return apart <= edits and (folds[0] ^ folds[1]).bit_count() <= 2 * edits - apart
 
     partnered = [frozenset(x for x in m if len(m) > lines.FEW or any(x != y and near(x, y) for y in m)) for m in want.values()]
@@ -468,7 +468,7 @@ def test_buckets_equal_the_blocks(spark):
 def test_partners_are_found_and_crowds_stay_whole(monkeypatch):
     rng = np.random.default_rng(5)
     n = 600
-    rows = lines.Entered([np.zeros(n, np.int64), np.arange(n), rng.integers(20, 60, n), *np.zeros((2, n), np.int64), *rng.integers(0, 16, (2, n))])
+    rows = lines.Entered([np.zeros(n, np.int64), np.arange(n), rng.integers(20, 60, n), *np.zeros((2, n), np.int64), rng.integers(0, 256, n)])
     key, some = rng.integers(0, 60, n) ** 2 // 60, rng.permutation(n)
     sizes = Counter(key.tolist())
     for few in (4, 12, 1000):
@@ -487,7 +487,7 @@ def test_parts_beyond_the_limit_are_passed_on_whole():
 
     rng, rows = np.random.default_rng(4), []
     for part, n in ((1, 5), (2, 300_000), (3, 10), (4, 200_000), (5, 1)):
-        rows.append(np.column_stack([np.full(n, part << 16), rng.integers(0, 2**40, n), np.full(n, 30), rng.integers(-(2**63), 2**63, (n, 2)), np.zeros((n, 2), np.int64)]))
+        rows.append(np.column_stack([np.full(n, part << 16), rng.integers(0, 2**40, n), np.full(n, 30), rng.integers(-(2**63), 2**63, (n, 2)), np.zeros(n, np.int64)]))
     table = np.concatenate(rows)
     names = lines.Entered.NAMES
     batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table[at : at + 10_000].T], names=names) for at in range(0, len(table), 10_000)]
