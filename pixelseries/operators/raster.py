@@ -119,33 +119,6 @@ def with_neighbours(cells: DataFrame, size: int = TILE) -> DataFrame:
     )
 
 
-def dense_tiles(cells: DataFrame, radius: int, size: int = TILE, hole: str | None = None) -> DataFrame:
-    """Tiles with halo where every position has a row; positions without a cell have a NULL ``z``.
-
-    Only tiles that own a row of ``cells`` come out. The cells are read and shuffled
-    once: the first row of a tile brings its blank positions along. ``hole`` names a
-    column that is true for the positions of rows with a NULL ``z``.
-    """
-    def owned(c: str, t: str) -> Column:
-        return F.sequence(F.col(t) * size - radius, (F.col(t) + 1) * size - 1 + radius)
-
-    def position(row: Column, col: Column, z: Column, missing: Column) -> Column:
-        return F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), z.alias("z"), missing.alias("__hole"))
-
-    none, no = F.lit(None).cast("double"), F.lit(False)
-    blank = F.flatten(F.transform(owned("row", "tr"), lambda r: F.transform(owned("col", "tc"), lambda c: position(r, c, none, no))))
-    tile = Window.partitionBy("tr", "tc")
-    own = F.array(position(F.col("row"), F.col("col"), F.col("z").cast("double"), F.col("z").isNull()))
-    rows = (
-        tiled(cells.select("row", "col", "z"), radius, size)
-        .withColumns({"__owns": F.max(in_core(size)).over(tile), "__first": F.row_number().over(tile.orderBy("row", "col")) == 1})
-        .filter("__owns")
-        .select("tr", "tc", F.inline(F.when(F.col("__first"), F.concat(own, blank)).otherwise(own)))
-    )
-    found = rows.groupBy("tr", "tc", "row", "col").agg(F.max("z").alias("z"), F.max("__hole").alias("__hole"))
-    return found.withColumnRenamed("__hole", hole) if hole else found.drop("__hole")
-
-
 def _sliding_sum(a: np.ndarray, radius: int, first: int, n: int) -> np.ndarray:
     """Sums over ``radius`` rows up and down of the rows ``first .. first + n - 1``, from running sums."""
     upto = np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)])
@@ -204,40 +177,58 @@ def box_statistics(cells: DataFrame, filter_x: int, filter_y: int, size: int = T
     return tiled(known, halo, size).groupBy("tr", "tc").applyInArrow(run, "row int, col int, z double, n long, mean double, sd double, z_min double, z_max double")
 
 
+#: Row and column steps in which fills look for a valid cell: there and back along rows, columns and both diagonals.
+LINES = (((0, -1), (0, 1)), ((-1, 0), (1, 0)), ((-1, -1), (1, 1)), ((-1, 1), (1, -1)))
+
+
+def _tile_fill(max_distance: int, size: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The cells a tile owns, the missing ones filled."""
+        row, col, tr, tc = (table.column(c).to_numpy() for c in ("row", "col", "tr", "tc"))
+        held = table.column("z").is_valid().to_numpy(zero_copy_only=False)
+        z = table.column("z").fill_null(0.0).to_numpy()
+        # Of several rows of a cell the largest value counts: it is written last.
+        order = np.lexsort((z, held))
+        top, left = int(tr[0]) * size - max_distance, int(tc[0]) * size - max_distance
+        at, side = (row[order] - top, col[order] - left), size + 2 * max_distance
+        values, known, present = np.zeros((side, side)), np.zeros((side, side), bool), np.zeros((side, side), bool)
+        values[at], known[at], present[at] = z[order], held[order], True
+        own = np.zeros((side, side), bool)
+        own[max_distance : max_distance + size, max_distance : max_distance + size] = True
+        holes = np.nonzero(own & present & ~known)
+        above, below = np.zeros(len(holes[0])), np.zeros(len(holes[0]))
+        for steps in LINES:
+            for down, across in steps:
+                unit = math.sqrt(2) if down and across else 1.0
+                part, weight, left_over = np.zeros(len(above)), np.zeros(len(above)), np.arange(len(above))
+                for step in range(1, int(max_distance / unit) + 1):
+                    there = holes[0][left_over] + step * down, holes[1][left_over] + step * across
+                    hit = known[there]
+                    weight[left_over[hit]] = 1.0 / (step * unit)
+                    part[left_over[hit]] = 1.0 / (step * unit) * values[there][hit]
+                    left_over = left_over[~hit]
+                above, below = above + part, below + weight
+        filled = known.copy()
+        filled[holes] = below > 0
+        values[holes] = above / np.where(below > 0, below, 1.0)
+        rows, cols = np.nonzero(own & present)
+        columns = [(rows + top).astype(np.int32), (cols + left).astype(np.int32), pa.array(values[rows, cols], mask=~filled[rows, cols]), ~known[rows, cols]]
+        return pa.table(columns, names=["row", "col", "z", "was_missing"])
+
+    return run
+
+
 def fill_nodata(cells: DataFrame, max_distance: int = 10, size: int = TILE) -> DataFrame:
     """Fill missing cells from the nearest valid cell in each of eight directions.
 
     Inverse-distance weights; cells with no valid cell within ``max_distance``
     in any direction stay missing.  Cells to fill are rows with a NULL ``z``.
+    Rows are sorted by tile once and a tile is filled at a time, so a task holds
+    one sort of its narrow rows and a single tile besides.
     """
-    tiles = dense_tiles(cells, max_distance, size, hole="__hole")
-    diagonal = int(max_distance / math.sqrt(2))
-    lines = [
-        (["row"], "col", 1.0, max_distance),
-        (["col"], "row", 1.0, max_distance),
-        ([F.col("row") - F.col("col")], "row", math.sqrt(2), diagonal),
-        ([F.col("row") + F.col("col")], "row", math.sqrt(2), diagonal),
-    ]
-    at = F.when(F.col("z").isNotNull(), F.struct("row", "col", "z"))
-    found = tiles
-    for i, (line, order, _, reach) in enumerate(lines):
-        w = Window.partitionBy("tr", "tc", *line).orderBy(order)
-        found = found.withColumns(
-            {
-                f"__b{i}": F.last(at, ignorenulls=True).over(w.rowsBetween(-reach, -1)),
-                f"__a{i}": F.first(at, ignorenulls=True).over(w.rowsBetween(1, reach)),
-            }
-        )
-    weights, parts = [], []
-    for i, (_, order, unit, _) in enumerate(lines):
-        for name in (f"__b{i}", f"__a{i}"):
-            w = F.lit(1.0) / (F.abs(F.col(f"{name}.{order}") - F.col(order)) * unit)
-            weights.append(F.coalesce(w, F.lit(0.0)))
-            parts.append(F.coalesce(w * F.col(f"{name}.z"), F.lit(0.0)))
-    estimate = F.try_divide(sum(parts[1:], parts[0]), sum(weights[1:], weights[0]))
-    core = found.filter(in_core(size) & (F.col("z").isNotNull() | F.col("__hole")))
-    known = core.select("row", "col", "z", estimate.alias("__fill"))
-    return known.select("row", "col", F.coalesce("z", "__fill").alias("z"), F.col("z").isNull().alias("was_missing"))
+    rows = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("z").cast("double").alias("z"))
+    run = _tile_fill(max_distance, size)
+    return tiled(rows, max_distance, size).groupBy("tr", "tc").applyInArrow(run, "row int, col int, z double, was_missing boolean")
 
 
 # --- resampling and alignment ------------------------------------------------

@@ -77,6 +77,23 @@ def test_fill_nodata(spark, size):
     assert math.isnan(filled[16, 15])
 
 
+def test_fill_nodata_sorts_its_rows_once(spark):
+    """A sort per search direction held all rows of a task, wider each time."""
+    spread = cells(spark, rugged(20, 20, 0.3))
+    plan = raster.fill_nodata(spread, 10, 12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Window" not in plan
+
+
+def test_fill_nodata_of_repeated_cells_and_nan(spark):
+    """The largest value of a cell counts, NaN is one, and nobody's positions stay absent."""
+    rows = [(0, 0, 3.0), (0, 0, 1.0), (0, 0, None), (0, 1, None), (0, 1, None), (0, 3, 9.0), (50, 50, None), (90, 90, NAN), (90, 92, None), (None, 4, 1.0)]
+    found = {(r.row, r.col): (r.z, r.was_missing) for r in raster.fill_nodata(spark.createDataFrame(rows, "row int, col int, z double"), 10, 12).collect()}
+    assert len(found) == 6
+    assert found[0, 0] == (3.0, False) and found[0, 3] == (9.0, False) and found[50, 50] == (None, True)
+    assert found[0, 1] == (pytest.approx((3.0 / 1 + 9.0 / 2) / 1.5), True)
+    assert math.isnan(found[90, 90][0]) and math.isnan(found[90, 92][0]) and found[90, 92][1]
+
+
 META = GridMeta(0.0, 10.0, 1.0, 1.0, 12, 10)
 
 
