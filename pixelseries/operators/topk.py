@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +28,30 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return whole.drop("__rn", "__salt", *names)
 
 
-def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per key, that with the smallest other values: the same whatever the order of the rows."""
+def one_per_key(df: DataFrame, key: Sequence[str], taken: DataFrame | None = None, by: Sequence[str] | None = None) -> DataFrame:
+    """One row per key, that with the smallest other values: the same whatever the order of the rows.
+
+    Keys that occur in ``taken`` are left out; a key with a NULL occurs nowhere. One
+    grouping does both. A single other column is kept as a plain minimum, so that
+    numbers need no sort; a NULL is the smallest value. Rows meet in tasks by the key or
+    those of its columns that ``by`` names: of many values, with few keys each.
+    """
     rest = [c for c in df.columns if c not in key]
-    if not rest:
-        return df.distinct()
-    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__rest")).select(*[c if c in key else F.col(f"__rest.{c}").alias(c) for c in df.columns])
+    if taken is not None:
+        known = taken.select(*key).filter(reduce(and_, (F.col(k).isNotNull() for k in key)))
+        df = df.withColumn("__taken", F.lit(False)).unionByName(known.withColumn("__taken", F.lit(True)), allowMissingColumns=True)
+    found = [] if taken is None else [F.max("__taken").alias("__taken")]
+    if len(rest) == 1:
+        found += [F.max(F.col(rest[0]).isNull()).alias("__null"), F.min(rest[0]).alias("__rest")]
+        values = {rest[0]: F.when(~F.col("__null"), F.col("__rest"))}
+    else:
+        found += [F.min(F.struct(*rest)).alias("__rest")] if rest else []
+        values = {c: F.col(f"__rest.{c}") for c in rest}
+    # Keys seldom repeat within a task, so a grouping before the shuffle would be lost work.
+    rows = df.repartition(*(by or key)).groupBy(*key).agg(*found) if found else df.distinct()
+    if taken is not None:
+        rows = rows.filter(~F.col("__taken"))
+    return rows.select(*[values[c].alias(c) if c in values else c for c in df.columns if c != "__taken"])
 
 
 def first_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

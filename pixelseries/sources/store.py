@@ -117,13 +117,12 @@ def write_predictions(predictions: DataFrame, path: str, key: Sequence[str] = ("
     """Append the predictions whose key is not stored yet: the first write wins.
 
     Of several rows of one batch with the same key the one with the smallest other
-    values is taken.
+    values is taken. Rows meet by the first column of the key, so that the steps of
+    a sample stay together: there should be many samples of few steps each.
     """
     spark = predictions.sparkSession
-    new = one_per_key(predictions, key)
-    if is_stored(spark, path):
-        new = new.join(spark.read.schema(predictions.schema).parquet(path).select(*key), list(key), "left_anti")
-    new.write.mode("append").parquet(path)
+    stored = spark.read.schema(predictions.schema).parquet(path) if is_stored(spark, path) else None
+    one_per_key(predictions, key, stored, key[:1]).write.mode("append").parquet(path)
 
 
 def read_scores(spark: SparkSession, paths: Sequence[str] | str, metric: str = "RMSE_drought") -> DataFrame:

@@ -8,6 +8,7 @@ from checks.queries import samples as query_samples
 from pixelseries.functions import bands as B
 from pixelseries.functions import keys as K
 from pixelseries.operators import sampling, stats
+from pixelseries.operators.topk import one_per_key
 from pixelseries.plans.dataset import DatasetConfig, build_dataset, prepare_frames, write_dataset
 from pixelseries.session import cut_lineage
 from pixelseries.sources import bands as band_source
@@ -162,6 +163,19 @@ def test_predictions_of_one_batch_are_unique(spark, tmp_path):
         store.write_predictions(rows.drop("step"), str(tmp_path / "p"))
 
 
+def test_first_predictions_are_found_by_one_grouping_without_a_sort(spark):
+    rows = spark.createDataFrame([("a", 0, 2.0), ("a", 0, 1.0), ("b", 0, 5.0), ("c", 0, None), ("c", 0, 4.0), (None, 1, 3.0), ("d", 2, float("nan")), ("d", 2, 7.0)], "sample_id string, step int, pred double")
+    stored = rows.filter("sample_id = 'b' or sample_id is null")
+    found = one_per_key(rows, ["sample_id", "step"], stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "HashAggregate" in plan and found.columns == rows.columns
+    assert {tuple(r) for r in found.collect()} == {("a", 0, 1.0), ("c", 0, None), (None, 1, 3.0), ("d", 2, 7.0)}
+    two = rows.withColumn("more", F.lit("x"))
+    assert {tuple(r) for r in one_per_key(two, ["sample_id", "step"], stored).collect()} == {("a", 0, 1.0, "x"), ("c", 0, None, "x"), (None, 1, 3.0, "x"), ("d", 2, 7.0, "x")}
+    keys = rows.select("sample_id", "step")
+    assert {tuple(r) for r in one_per_key(keys, ["sample_id", "step"], stored).collect()} == {("a", 0), ("c", 0), (None, 1), ("d", 2)}
+
+
 def test_weather_without_an_image_is_kept(spark):
     """Per-scene pixel ids, images on some frames only: weather comes from the readings of every frame."""
     config = DatasetConfig(n_frames=6, max_gap=None)
