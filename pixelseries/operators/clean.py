@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import bands_with_prefix, smoothable_bands
@@ -23,12 +23,20 @@ def weekly_quantile(df: DataFrame, band: str, q: float, keys: Sequence[str] = PI
     return df.groupBy(*keys, F.weekofyear(ts).alias("week")).agg(F.percentile(band, F.lit(q)).alias("q"), F.count(band).alias("n"))
 
 
+def _quantile(values: Column, q: float) -> Column:
+    """As ``percentile``, of sorted values: a few per pixel and week, so arrays cost less than its hash tables."""
+    place = (F.size(values) - 1) * F.lit(float(q))
+    below, above = F.floor(place).cast("int"), F.ceil(place).cast("int")
+    low, high = F.get(values, below).cast("double"), F.get(values, above).cast("double")
+    return F.when(low == high, low).otherwise((above - place) * low + (place - below) * high)
+
+
 def drop_low_values(df: DataFrame, bands: Sequence[str], q: float, keys: Sequence[str] = PIXEL, ts: str = "ts") -> DataFrame:
     """Values below the pixel's quantile of that week of year go missing; the quantile itself stays."""
     week = Window.partitionBy(*keys, F.weekofyear(ts))
-    floor = {f"__q{i}": F.percentile(b, F.lit(q)).over(week) for i, b in enumerate(bands)}
-    kept = {b: F.when(F.col(b) >= F.col(f"__q{i}"), F.col(b)) for i, b in enumerate(bands)}
-    return df.withColumns(floor).withColumns(kept).drop(*floor)
+    pooled = {f"__q{i}": F.collect_list(b).over(week) for i, b in enumerate(bands)}
+    kept = {b: F.when(F.col(b) >= _quantile(F.sort_array(f"__q{i}"), q), F.col(b)) for i, b in enumerate(bands)}
+    return df.withColumns(pooled).withColumns(kept).drop(*pooled)
 
 
 def clean_series(df: DataFrame, max_gap: int, remove_pct: float, loess_frac: float, passes: int = PASSES, keys: Sequence[str] = PIXEL) -> DataFrame:

@@ -76,6 +76,20 @@ def test_frame_index_and_change(spark):
     assert values_of(series.change(gappy, "v"), "change") == [N, N, 1.5]
 
 
+def test_drop_low_values_agrees_with_the_weekly_quantile_without_hash_tables(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, p, t, DAY + datetime.timedelta(days=5 * t), N if rng.uniform() < 0.3 else float(rng.integers(0, 9)) + 0.1) for p in range(3) for t in range(150)]
+    rows += [(0, 9, t, DAY, v) for t, v in enumerate([N, N])] + [(0, 10, t, DAY, v) for t, v in enumerate([2.0, float("nan"), -float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "scene_id int, pixel_id int, t int, ts date, v double")
+    for q in (0.0, 0.05, 0.3, 1.0):
+        found = clean.drop_low_values(df, ["v"], q)
+        assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()
+        limits = clean.weekly_quantile(df, "v", q)
+        joined = df.withColumn("week", F.weekofyear("ts")).join(limits, ["scene_id", "pixel_id", "week"])
+        expected = joined.select("pixel_id", "t", F.when(F.col("v") >= F.col("q"), F.col("v")).alias("v"))
+        assert [str(v) for v in values_of(found)] == [str(v) for v in values_of(expected)]
+
+
 def test_drop_low_values_keeps_the_quantile_and_pools_years(spark):
     week1 = [datetime.date(y, 3, 3) for y in (2018, 2019, 2020)]  # ISO weeks 9, 9, 10
     rows = [(0, 0, i, d, v) for i, (d, v) in enumerate(zip(week1 + [datetime.date(2021, 1, 1), datetime.date(2020, 12, 31)], [1.0, 2.0, 0.5, 4.0, 3.0]))]
