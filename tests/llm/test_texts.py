@@ -506,6 +506,82 @@ def test_parts_beyond_the_limit_are_passed_on_whole():
     assert whole == broken and many >= few
 
 
+def test_lines_of_a_buffer_equal_the_split():
+    texts = [messy.sentence(1, 30), "", "\n\n", " a\t b\v\fc \r\nΟΔΟΣ", "Σας\n", "x\x1cy z\x85 12-34, ..\n!!\nend", messy.LONG, "a a\x00 a\x00\x00 abcdefgh abcdefghi abcdefgh\x00"]
+    found = lines.Lines(texts)
+    want = [(i, k, words) for i, t in enumerate(texts) for k, words in enumerate(lines.normalised(t)) if words]
+    assert list(zip(found.rows.tolist(), found.numbers.tolist(), found.texts)) == [(i, k, b" ".join(words)) for i, k, words in want]
+    assert found.sizes.tolist() == [len(words) for *_, words in want]
+    for some in (np.arange(len(want)), np.arange(1, len(want), 2), np.arange(0)):
+        numbers, words = found.words_of(some)
+        assert [words[i] for i in numbers] == [w for i in some for w in want[i][2]] and len(set(words)) == len(words)
+    assert lines.Lines(["", "\n"]).texts == []
+
+
+def crossing_rows():
+    """Many near-copies that share some of their blocks, of word counts in one class and two."""
+    rng, rows = np.random.default_rng(12), []
+    for group in range(60):
+        high, low, n, fold = (int(x) for x in (*rng.integers(-(2**63), 2**63, 2), rng.integers(40, 60), rng.integers(-(2**63), 2**63)))
+        for _ in range(int(rng.integers(2, 12))):
+            flips = [1 << int(b) for b in rng.integers(0, 62, 4)]
+            rows.append((len(rows) // 2 * 2, n + int(rng.integers(0, 3)), high ^ flips[0] ^ flips[1], low ^ flips[2] ^ flips[3], fold ^ (1 << int(rng.integers(0, 9))), 0, 0, 0))
+    return [(i, *r[1:]) for i, r in enumerate(rows)] + [(i, *r[1:]) for i, r in enumerate(rows) if i % 7 == 0]  # some nodes twice
+
+
+def met_pairs(found, rows):
+    """Of entries ``bucket, node`` all pairs that may be similar."""
+    sizes, folds = {r[0]: r[1] for r in rows}, {r[0]: r[4] & 2**64 - 1 for r in rows}
+    members, met = defaultdict(set), set()
+    for bucket, node in found:
+        members[bucket].add(node)
+    for m in members.values():
+        for a in m:
+            for b in m:
+                edits, apart = max(sizes[a], sizes[b]) // lines.WORDS_AN_EDIT, abs(sizes[a] - sizes[b])
+                if a < b and apart <= edits and (folds[a] ^ folds[b]).bit_count() <= 2 * edits - apart:
+                    met.add((a, b))
+    return met
+
+
+def test_buckets_met_before_are_left_out_and_no_pair_is_lost(spark):
+    rows = crossing_rows()
+    names = ["node", "n_words", "high", "low", *(f"sign{i}" for i in range(4))]
+    nodes = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c == 'n_words' else 'long'}" for c in names))
+    every, once = ([(r.bucket, r.node) for r in lines._buckets(nodes, once).collect()] for once in (False, True))
+    assert len(met_pairs(every, rows)) > 300 and met_pairs(once, rows) == met_pairs(every, rows)
+    assert set(once) < set(every) and len(set(once)) < 0.5 * len(set(every)) and len(once) == len(set(once))
+
+
+def test_slots_beyond_the_limit_lose_no_pair(monkeypatch):
+    import pyarrow as pa
+
+    rows = crossing_rows()
+    names = ["node", "n_words", "high", "low", *(f"sign{i}" for i in range(4))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, zip(*rows))], names=names)
+    monkeypatch.setattr(lines, "DEALT", 50)
+    dealt = list(lines._dealt(2)(batch.slice(at, 40) for at in range(0, len(rows), 40)))
+    slots = sorted((x for b in dealt for x in b.to_pylist()), key=lambda x: x["slot"])
+    again = [pa.RecordBatch.from_pylist(slots[at : at + 3], dealt[0].schema) for at in range(0, len(slots), 3)]
+    met = []
+    for held in (1 << 20, 3000, 200):
+        monkeypatch.setattr(lines, "HELD", held)
+        met.append(met_pairs([(x["bucket"], x["node"]) for b in lines._met(True)(iter(again)) for x in b.to_pylist()], rows))
+    assert len(met[0]) > 300 and met[0] == met[1] == met[2]
+
+
+def test_line_scratch_goes_but_for_what_is_read(spark):
+    import os
+
+    from pixelseries.session import scratch_scope
+
+    with scratch_scope() as made:
+        found = lines.dedup_lines(messy.frame(spark, line_rows()), "all", "gone")
+    left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert len(made) > 5 and len(left) == 1
+    assert sum(r.gone for r in found.collect()) > 10
+
+
 def test_edit_distance_equals_the_table():
     rng = np.random.default_rng(6)
     for _ in range(300):
