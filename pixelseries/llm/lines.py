@@ -26,7 +26,7 @@ CLASS = 1.2
 #: Rows of one block value, or of a slot, that a task holds at once; beyond it they are passed on unsorted.
 HELD = 1 << 20
 #: Lines dealt at once, and entries of one slot: block values are dealt over slots, rows of a slot travel packed.
-DEALT, SLOT = 1 << 16, 1 << 16
+DEALT, SLOT = 1 << 15, 1 << 17
 #: Rows that share two blocks are compared there and then, if they are no more than this.
 FEW = 64
 #: Numbers of 64 bits that hold the parities of a line's words.
@@ -108,7 +108,7 @@ class Lines:
 
 
 class Words:
-    """What a worker knows of words: weighted bits as 128 counters of one byte, eight to a number, and one bit each for parities."""
+    """What a task knows of words: weighted bits as 128 counters of one byte, eight to a number, and one bit each for parities."""
 
     def __init__(self, room: int = 0):
         self.ids: dict[bytes, int] = {}
@@ -152,9 +152,6 @@ class Words:
         return np.packbits(2 * ones > total[:, None], axis=1).view(np.int64), signs.view(np.int64)
 
 
-_WORDS = Words()
-
-
 def _described(docs: DataFrame) -> DataFrame:
     """``doc_id, key, line, node`` for every line with a word; a node is a normalised line.
 
@@ -163,6 +160,7 @@ def _described(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()  # goes with the task: later stages need the memory
         for batch in slices(batches, most=BATCH):
             lines = Lines(batch.column("text").to_pylist())
             if not lines.texts:
@@ -176,7 +174,7 @@ def _described(docs: DataFrame) -> DataFrame:
             sims, signs = np.empty((0, 2), np.int64), np.empty((0, SIGNS), np.int64)
             if len(at):
                 numbers, words = lines.words_of(at)
-                sims, signs = _WORDS.summed(_WORDS.lookup(words)[numbers], lines.sizes[at])
+                sims, signs = known.summed(known.lookup(words)[numbers], lines.sizes[at])
             values = [pa.array([lines.texts[i] for i in at], pa.binary()), pa.array(lines.sizes[at], pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in (*sims.T, *signs.T))]
             take = pa.array(lines.rows)
             columns = [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(lines.numbers, pa.int32()), pa.array(nodes, pa.int64())]
